@@ -54,3 +54,14 @@ def row_key() -> list[Column]:
 def lower_ascii(column: Column) -> Column:
     """A-Z to lower case and nothing else."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+#: A side of at most so many rows and bytes of strings may be broadcast; larger ones are shuffled.
+BROADCAST_ROWS, BROADCAST_TEXT = 500_000, 32 << 20
+
+
+def small_side(df: DataFrame, text_columns: tuple[str, ...] = ()) -> DataFrame:
+    """df, hinted for broadcast if a count shows that it is small; df should be a written table."""
+    size = F.coalesce(F.sum(sum((F.length(F.col(c).cast("string")) for c in text_columns), F.lit(0))), F.lit(0))
+    n, chars = df.agg(F.count(F.lit(1)), size).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and chars <= BROADCAST_TEXT else df

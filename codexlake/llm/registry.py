@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from codexlake.llm import packing, token_files
+from codexlake.llm import decontamination, line_dedup, packing, token_files
 
 QUERIES = {
+    "op1_decontamination": decontamination.op1_decontamination,
     "op2_packing": packing.op2_packing,
     "op5_token_files": token_files.op5_token_files,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_decontamination": decontamination.ORACLE,
+    "op6_line_dedup": line_dedup.ORACLE,
+}
