@@ -51,10 +51,10 @@ def anchors(grams: DataFrame, docs: DataFrame) -> DataFrame:
 def _bit_table(terms: DataFrame) -> str:
     """SQL for an array of 2**INDEX_BITS bits, in longs, with a bit for each term."""
     h = F.xxhash64("term").bitwiseAND(F.lit((1 << INDEX_BITS) - 1))
-    rows = terms.select(F.shiftright(h, 6).alias("k"), F.expr(f"shiftleft(1L, cast(xxhash64(term) & 63 as int))").alias("bit")).groupBy("k").agg(F.bit_or("bit").alias("bits")).collect()  # 2**(INDEX_BITS - 6) rows at most
+    rows = terms.select(F.shiftright(h, 6).alias("k"), F.expr("shiftleft(1L, cast(xxhash64(term) & 63 as int))").alias("bit")).groupBy("k").agg(F.bit_or("bit").alias("bits")).collect()  # 2**(INDEX_BITS - 6) rows at most
     held = {r["k"]: r["bits"] for r in rows}
     text = ",".join(str(held.get(k, 0)) for k in range(1 << (INDEX_BITS - 6)))
-    return f"transform(split('{text}', ','), b -> cast(b as bigint))"
+    return f"cast(split('{text}', ',') as array<bigint>)"  # folded to a constant
 
 
 def postings(docs: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
