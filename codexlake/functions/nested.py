@@ -18,9 +18,11 @@ def abstract_text(index: Column, collisions: bool = True) -> Column:
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(F.filter(e["value"], lambda p: p >= 0), lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
     numbered = F.transform(pairs, lambda x, i: F.struct(x["p"].alias("p"), i.alias("i"), x["w"].alias("w")))
     ordered = F.array_sort(numbered)
+    kept = F.transform(ordered, lambda x: x["w"])
     if collisions:
-        ordered = F.filter(ordered, lambda x, i: (i + 1 >= F.size(ordered)) | (F.get(ordered, i + 1)["p"] != x["p"]))
-    text = F.array_join(F.transform(ordered, lambda x: x["w"]), " ")
+        following = F.slice(F.transform(ordered, lambda x: x["p"]), F.lit(2), F.greatest(F.size(ordered), F.lit(1)))
+        kept = F.array_compact(F.zip_with(ordered, following, lambda x, p: F.when(p.isNull() | (p != x["p"]), x["w"])))
+    text = F.array_join(kept, " ")
     return F.when(F.trim(text) != "", text)
 
 

@@ -81,7 +81,7 @@ def id_url(c: Column, prefix: str) -> Column:
 
 def ordered_distinct(a: Column) -> Column:
     """Trimmed values that aren't blank, each once, in the order of first sight."""
-    return F.array_distinct(F.filter(F.transform(a, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(a, lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def pipe_joined(a: Column) -> Column:

@@ -98,7 +98,12 @@ def merged_clusters(c: DataFrame, least: float = 0.9, target: int = 1) -> DataFr
 def grams(c: Column, stopwords: list[str], low: int = 2, high: int = 4) -> Column:
     """Word n-grams of letters, stop-words removed first."""
     words = F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"\b[a-zA-Z]{2,}\b"), F.lit(0)), lambda x: ~x.isin(stopwords))
-    each = [F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i, n=n: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)]
+
+    def of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1)))
+        return F.when(F.size(words) >= n, F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    each = [of(n) for n in range(low, high + 1)]
     return F.concat(*each)
 
 

@@ -1,10 +1,5 @@
 """Every query of the library's own operators, with its SQL."""
 
-from __future__ import annotations
+from codexlake.plans.queries import ORACLE, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
