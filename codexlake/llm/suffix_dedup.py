@@ -243,7 +243,7 @@ def dedup(docs: DataFrame, where: str, keep: str = "first") -> DataFrame:
     copied = written(rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id")).filter("copies > 1"), where, "copied")
     r, c = rows.alias("r"), small_side(copied).alias("c")
     marked = r.join(c, (F.col("r.k1") == F.col("c.k1")) & (F.col("r.k2") == F.col("c.k2")), "left").select("r.doc_id", "r.k1", "r.text", "c.copies", (F.col("c.copies").isNull() | F.col("r.doc_id").eqNullSafe(F.col("c.first_id"))).alias("stands"))
-    found = small_side(spans(marked.filter("stands").select("doc_id", "k1", "text"), where, keep), ("spans",)).alias("f")
+    found = spans(marked.filter("stands").select("doc_id", "k1", "text"), where, keep).hint("shuffle_merge").alias("f")  # as large as the repeated parts of the corpus
     m = marked.alias("m")
     whole = F.col("m.copies").isNotNull() if keep == "none" else ~F.col("m.stands")
     each = m.join(found, F.col("m.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("m.k1") == F.col("f.k1")), "left").select("m.doc_id", "m.text", whole.alias("whole"), "f.spans")
