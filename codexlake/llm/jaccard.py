@@ -6,7 +6,7 @@ partner cannot hold all of it: rare shingles count one each and are indexed alon
 counts c - 1 and is indexed by its pairs. Two sets that reach the similarity therefore share an index entry; parts depend on the size's step, and every set is indexed
 under its own step and the next.
 
-In each entry all sets are first compared with the smallest (a star, not all pairs); sets so linked form components. Only between
+Pairs that meet are first held against a bound from the sets' histograms, which spares most of the others, and then compared. In each entry all sets are first compared with the smallest (a star, not all pairs); sets so linked form components. Only between
 components that still meet in an entry are the other pairs of that entry compared, so no link between different texts is lost, and a large group of near copies costs
 its size and not its square. Comparisons are exact, on the whole sets of 64-bit shingle hashes.
 
@@ -33,6 +33,9 @@ SHINGLE, PERCENT = 5, 80
 #: The sketch: rows, counters a row (a power of two), counters in a piece of it; shingles of FREQUENT documents or more, by its estimate, are frequent.
 SKETCH_ROWS, SKETCH_BITS, PIECE_BITS, FREQUENT = 2, 20, 14, 64
 STEP, PART = 1.2501, 4
+#: Buckets by hash of a set's histogram, whose sums of minima bound intersections from above.
+BUCKETS = 128
+BLOCK_TOKENS = 2_000_000
 SEEN = 50_000
 
 _MASK = (1 << 64) - 1
@@ -90,6 +93,12 @@ def set_key(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64)) if len(s) else 0
 
 
+def histogram(s: np.ndarray) -> np.ndarray | None:
+    """A set's sizes by bucket, None for the empty set and for very large ones, which no bound then spares the comparison."""
+    counts = np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=BUCKETS)
+    return counts.astype(np.int16) if len(s) and counts.max() < 1 << 15 else None
+
+
 def cells(s: np.ndarray) -> list[np.ndarray]:
     return [((s >> np.uint64(k * 21)) & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64) for k in range(SKETCH_ROWS)]
 
@@ -143,22 +152,21 @@ def scanned(docs: DataFrame) -> DataFrame:
         sketch, rows = np.zeros((SKETCH_ROWS, 1 << SKETCH_BITS), dtype=np.uint32), 0
         for b in batches:
             sets = [shingle_set(x) for x in b.column(1).to_pylist()]
-            for s in sets:
-                for row, at in zip(sketch, cells(s), strict=True):
-                    row += np.bincount(at, minlength=1 << SKETCH_BITS).astype(np.uint32) if len(at) > 1 << 17 else 0
-                    if len(at) <= 1 << 17:
-                        np.add.at(row, at, np.uint32(1))
+            joined = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
+            for k in range(0, len(joined), 1 << 22):
+                for row, at in zip(sketch, cells(joined[k : k + (1 << 22)]), strict=True):
+                    row += np.bincount(at, minlength=1 << SKETCH_BITS).astype(np.uint32)
             rows += len(sets)
             n = len(sets)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([histogram(s) for s in sets], pa.list_(pa.int16())), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=names)
         if rows:
             pieces = sketch.reshape(-1, 1 << PIECE_BITS)
             for k, piece in enumerate(pieces):
                 if piece.any():
-                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([k], pa.int64()), pa.array([piece.astype("<u4").tobytes()], pa.binary())], names=names)
+                    yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(3)), pa.nulls(1, pa.list_(pa.int16())), pa.array([k], pa.int64()), pa.array([piece.astype("<u4").tobytes()], pa.binary())], names=names)
 
-    names = ["doc_id", "key", "n", "piece", "counts"]
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, key long, n long, piece long, counts binary")
+    names = ["doc_id", "key", "n", "hist", "piece", "counts"]
+    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, key long, n long, hist array<smallint>, piece long, counts binary")
 
 
 def order_classes(scan: DataFrame) -> tuple[np.ndarray, int]:
@@ -167,13 +175,13 @@ def order_classes(scan: DataFrame) -> tuple[np.ndarray, int]:
     def added(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(1 << PIECE_BITS, dtype=np.uint64)
         for x in pdf["counts"]:
-            total += np.frombuffer(x, dtype="<u4")
+            total += np.frombuffer(x, dtype="<u8" if len(x) == 8 << PIECE_BITS else "<u4")
         return pd.DataFrame({"piece": [pdf["piece"].iloc[0]], "counts": [total.astype("<u8").tobytes()]})
 
     counts = np.zeros((SKETCH_ROWS << SKETCH_BITS) >> PIECE_BITS << PIECE_BITS, dtype=np.uint64).reshape(-1, 1 << PIECE_BITS)
     parts = scan.filter("n is null and piece is not null").select("piece", "counts", F.pmod(F.xxhash64("counts"), F.lit(8)).alias("salt"))
     half = parts.groupBy("piece", "salt").applyInPandas(added, "piece long, counts binary")
-    for r in half.collect():  # at most 8 parts of each of a fixed number of pieces
+    for r in half.groupBy("piece").applyInPandas(added, "piece long, counts binary").toLocalIterator():  # a fixed number of pieces
         counts[r["piece"]] += np.frombuffer(r["counts"], dtype="<u8")
     counts = counts.reshape(SKETCH_ROWS, -1)
     load = counts.mean()
@@ -210,34 +218,72 @@ def indexed(docs: DataFrame, classes: np.ndarray, frequent: int) -> DataFrame:
 
 
 def token_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """id, tokens of nodes (id, key)."""
+    """id, tokens, blocks of nodes (id, key, blocks); a row twice where documents has it twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(x) for x in b.column(2).to_pylist()]
+            sets = [shingle_set(x) for x in b.column(3).to_pylist()]
             same = pa.array([set_key(s) == k for s, k in zip(sets, b.column(1).to_pylist(), strict=True)], pa.bool_())
-            out = pa.RecordBatch.from_arrays([b.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "tokens"])
+            out = pa.RecordBatch.from_arrays([b.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), b.column(2)], names=["id", "tokens", "blocks"])
             yield out.filter(same)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text")).join(small_side(nodes), "id").select("id", "key", "text")
-    return rows.mapInArrow(run, "id long, tokens array<bigint>").dropDuplicates(["id"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text")).join(small_side(nodes, ("blocks",)), "id").select("id", "key", "blocks", "text")
+    return rows.mapInArrow(run, f"id long, tokens array<bigint>, blocks array<{BLOCK}>")
+
+
+def possible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs whose histograms allow the similarity: no set's intersection exceeds the sum of the buckets' minima."""
+    of = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("hist").alias(f"h{x}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    most = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.least(x, y).cast("long")), F.lit(0).cast("long"), lambda t, x: t + x)
+    return both.filter(F.col("ha").isNull() | F.col("hb").isNull() | ((100 + PERCENT) * most >= PERCENT * (F.col("na") + F.col("nb")))).select("a", "b")
+
+
+BLOCK = "struct<c: bigint, x: bigint, y: bigint>"
 
 
 def linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, where: str, name: str) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose sets reach the similarity."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    nodes = written(ids.join(reps.select("id", "key"), "id"), where, f"{name}_nodes")
-    sets = written(token_sets(docs, nodes), where, f"{name}_sets")
-    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b").join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a")
-    shared = F.size(F.array_intersect("ta", "tb"))
-    return written(both.filter(100 * shared >= PERCENT * (F.size("ta") + F.size("tb") - shared)).select("a", "b"), where, f"{name}_links")
+    """The pairs (a, b) of doc_ids whose sets reach the similarity.
+
+    Pairs are compared in blocks, so that a set is sent once for a block and not for each of its pairs: what possible pairs connect is cut into parts of
+    about BLOCK_TOKENS tokens, and a block holds the pairs between two parts."""
+    pairs = written(possible(pairs, reps), where, f"{name}_possible")
+    near = components(pairs, f"{where}/{name}_near").select(F.col("node").alias("id"), F.col("component").alias("c"))
+    sized = near.join(reps.select("id", "key", "n"), "id")
+    parts = sized.groupBy("c").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("parts"))
+    slots = written(sized.join(parts, "c").select("id", "key", "c", F.pmod(F.xxhash64("id"), "parts").alias("part")), where, f"{name}_slots")
+    of = lambda x: slots.select(F.col("id").alias(x), "c", F.col("part").alias(f"part_{x}"))
+    block = F.struct("c", F.least("part_a", "part_b").alias("x"), F.greatest("part_a", "part_b").alias("y"))
+    dealt = written(pairs.join(of("a"), "a").join(of("b").drop("c"), "b").select("a", "b", block.alias("block")), where, f"{name}_dealt")
+    wanted = dealt.select(F.col("a").alias("id"), "block").union(dealt.select(F.col("b").alias("id"), "block")).groupBy("id").agg(F.collect_set("block").alias("blocks"))
+    nodes = written(wanted.join(slots.select("id", "key"), "id"), where, f"{name}_nodes")
+    sets = token_sets(docs, nodes).select("id", "tokens", F.explode("blocks").alias("block"))
+
+    def compare(these: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        tokens = dict(zip(held["id"].tolist(), held["tokens"], strict=True))
+        out = []
+        for a, of_a in these.groupby("a")["b"]:
+            ta = np.sort(tokens[a]) if a in tokens else None
+            for b in of_a:
+                tb = tokens.get(b)
+                if ta is None or tb is None:
+                    continue
+                at = np.searchsorted(ta, tb)
+                at[at == len(ta)] = 0
+                shared = int(np.count_nonzero(ta[at] == tb))
+                if 100 * shared >= PERCENT * (len(ta) + len(tb) - shared):
+                    out.append((a, b))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    found = dealt.groupBy("block.c", "block.x", "block.y").cogroup(sets.groupBy("block.c", "block.x", "block.y")).applyInPandas(compare, "a long, b long")
+    return written(found, where, f"{name}_links")
 
 
 def classes_of(docs: DataFrame, where: str) -> DataFrame:
     """doc_id, key, n, component of each document; component is the smallest doc_id that links reach."""
     scan = written(scanned(docs), where, "scan")
     members = scan.filter("n is not null").select("doc_id", "key", "n")
-    reps = written(members.filter("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("id")).filter("id is not null"), where, "classes")
+    reps = written(scan.filter("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("id"), F.max("hist").alias("hist")).filter("id is not null"), where, "classes")
     index = indexed(docs, *order_classes(scan))
     me = F.struct("n", "key")
     star = index.withColumn("least", F.min(me).over(W.partitionBy("entry"))).filter(me != F.col("least")).select("entry", "key", "n", F.col("least.key").alias("key0"), F.col("least.n").alias("n0"))
