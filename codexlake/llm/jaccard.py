@@ -6,7 +6,8 @@ partner cannot hold all of it: rare shingles count one each and are indexed alon
 counts c - 1 and is indexed by its pairs. Two sets that reach the similarity therefore share an index entry; parts depend on the size's step, and every set is indexed
 under its own step and the next.
 
-Pairs that meet are first held against a bound from the sets' histograms, which spares most of the others, and then compared. In each entry all sets are first compared with the smallest (a star, not all pairs); sets so linked form components. Only between
+Pairs that meet are first held against a bound from the sets' histograms, which spares most of the others, and then compared. In each entry all sets are first compared with the one of least
+part of rare shingles, which edited copies have most in common with (a star, not all pairs); sets so linked form components. Only between
 components that still meet in an entry are the other pairs of that entry compared, so no link between different texts is lost, and a large group of near copies costs
 its size and not its square. Comparisons are exact, on the whole sets of 64-bit shingle hashes.
 
@@ -192,14 +193,14 @@ def order_classes(scan: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def indexed(docs: DataFrame, classes: np.ndarray, frequent: int) -> DataFrame:
-    """entry, key, n: the index, for each set at least once."""
+    """entry, key, n, rare: the index, for each set at least once; rare: how many in a thousand of the set's shingles are."""
     shared = docs.sparkSession.sparkContext.broadcast((classes, frequent))  # SKETCH_ROWS * 2**SKETCH_BITS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, often = shared.value
         seen: set[int] = set()
         for b in batches:
-            held, keys, sizes = [], [], []
+            held, keys, sizes, parts = [], [], [], []
             for text in b.column(0).to_pylist():
                 s = shingle_set(text)
                 key = set_key(s)
@@ -207,14 +208,16 @@ def indexed(docs: DataFrame, classes: np.ndarray, frequent: int) -> DataFrame:
                     continue
                 if len(seen) < SEEN:
                     seen.add(key)
-                e = entries(s, np.min([row[at] for row, at in zip(of, cells(s), strict=True)], axis=0), often)
+                classes = np.min([row[at] for row, at in zip(of, cells(s), strict=True)], axis=0)
+                e = entries(s, classes, often)
                 held.append(e)
                 keys.append(np.full(len(e), key, dtype=np.int64))
                 sizes.append(np.full(len(e), len(s), dtype=np.int32))
+                parts.append(np.full(len(e), 1000 * np.count_nonzero(classes < often) // len(s), dtype=np.int16))
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes))], names=["entry", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(parts))], names=["entry", "key", "n", "rare"])
 
-    return docs.select(text_or_empty().alias("text")).mapInArrow(run, "entry long, key long, n int")
+    return docs.select(text_or_empty().alias("text")).mapInArrow(run, "entry long, key long, n int, rare smallint")
 
 
 def token_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -285,7 +288,7 @@ def classes_of(docs: DataFrame, where: str) -> DataFrame:
     members = scan.filter("n is not null").select("doc_id", "key", "n")
     reps = written(scan.filter("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("id"), F.max("hist").alias("hist")).filter("id is not null"), where, "classes")
     index = indexed(docs, *order_classes(scan))
-    me = F.struct("n", "key")
+    me = F.struct("rare", "n", "key")
     star = index.withColumn("least", F.min(me).over(W.partitionBy("entry"))).filter(me != F.col("least")).select("entry", "key", "n", F.col("least.key").alias("key0"), F.col("least.n").alias("n0"))
     met = written(star.distinct(), where, "met")
     of = reps.select("key", F.col("n").cast("int").alias("n"), "id")
