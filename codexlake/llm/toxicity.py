@@ -117,19 +117,22 @@ EFFECT = {"I": {"plain": 1}, "T": {"threat": 1}, "d": {"denied": 1}, "q": {"quot
 
 
 def clause_counts(classes: str) -> list[int]:
-    """For each of KINDS, the clauses that hold it; then the matched clauses."""
-    total, state = [0] * (len(KINDS) + 1), 0
-    clause: Counter = Counter()
-    for x in classes + END_MARK:
-        state, out = ARCS[state, x]
-        if out == END_MARK:
-            found = [k for k in KINDS if clause[k] > 0]
-            for k in found:
-                total[KINDS.index(k)] += 1
-            total[-1] += bool(found)
-            clause = Counter()
-        elif out in EFFECT:
-            clause.update(EFFECT[out])
+    """For each of KINDS, the clauses that hold it; then the matched clauses. A clause's end leads back to the first state, so clauses without an insult
+    or threat, which write nothing that counts, aren't read."""
+    total = [0] * (len(KINDS) + 1)
+    for part in classes.split(END_MARK):
+        if INSULT_MARK not in part and THREAT_MARK not in part:
+            continue
+        state = 0
+        clause: Counter = Counter()
+        for x in part:
+            state, out = ARCS[state, x]
+            if out in EFFECT:
+                clause.update(EFFECT[out])
+        found = [k for k in KINDS if clause[k] > 0]
+        for k in found:
+            total[KINDS.index(k)] += 1
+        total[-1] += bool(found)
     return total
 
 
