@@ -8,8 +8,8 @@ under its own step and the next.
 
 Pairs that meet are first held against a bound from the sets' histograms, which spares most of the others, and then compared. In each entry all sets are first compared with the one of least
 part of rare shingles, which edited copies have most in common with (a star, not all pairs); sets so linked form components. Only between
-components that still meet in an entry are the other pairs of that entry compared, so no link between different texts is lost, and a large group of near copies costs
-its size and not its square. Comparisons are exact, on the whole sets of 64-bit shingle hashes.
+components that still meet in an entry are the other pairs of that entry compared, so no link between different texts is lost. A group of near copies that the star
+links costs its size; copies edited so far that they meet and stay unlinked are still compared pair by pair. Comparisons are exact, on the whole sets of 64-bit shingle hashes.
 
 Null and empty texts and texts without words have an empty set and are linked with nothing. A row without doc_id gets the component of its class, null if
 no row of it has an id. Repeated rows get equal results, each its own row.
