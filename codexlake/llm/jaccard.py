@@ -36,7 +36,7 @@ SKETCH_ROWS, SKETCH_BITS, PIECE_BITS, FREQUENT = 2, 20, 14, 64
 STEP, PART = 1.2501, 4
 #: Buckets by hash of a set's histogram, whose sums of minima bound intersections from above.
 BUCKETS = 128
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS, FINE_TOKENS = 2_000_000, 8_000_000
 SEEN = 50_000
 
 _MASK = (1 << 64) - 1
@@ -220,18 +220,18 @@ def indexed(docs: DataFrame, classes: np.ndarray, frequent: int) -> DataFrame:
     return docs.select(text_or_empty().alias("text")).mapInArrow(run, "entry long, key long, n int, rare smallint")
 
 
-def token_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """id, tokens, blocks of nodes (id, key, blocks); a row twice where documents has it twice."""
+def token_sets(docs: DataFrame, nodes: DataFrame, fine: bool) -> DataFrame:
+    """id, tokens, blocks of nodes (id, key, blocks); a row twice where documents has it twice. tokens: the sorted set, or if ``fine`` its upper 16 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(x) for x in b.column(3).to_pylist()]
             same = pa.array([set_key(s) == k for s, k in zip(sets, b.column(1).to_pylist(), strict=True)], pa.bool_())
-            out = pa.RecordBatch.from_arrays([b.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), b.column(2)], names=["id", "tokens", "blocks"])
-            yield out.filter(same)
+            held = [((s >> np.uint64(48)).astype("<u2") if fine else s.astype("<u8")).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.binary()), b.column(2)], names=["id", "tokens", "blocks"]).filter(same)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text")).join(small_side(nodes, ("blocks",)), "id").select("id", "key", "blocks", "text")
-    return rows.mapInArrow(run, f"id long, tokens array<bigint>, blocks array<{BLOCK}>")
+    return rows.mapInArrow(run, f"id long, tokens binary, blocks array<{BLOCK}>")
 
 
 def possible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -245,43 +245,54 @@ def possible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 BLOCK = "struct<c: bigint, x: bigint, y: bigint>"
 
 
-def linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, where: str, name: str) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose sets reach the similarity.
+def most_shared(a: np.ndarray, others: list[np.ndarray]) -> list[int]:
+    """The sizes of a's intersections with the others as multisets of 16-bit values, each from above those of the sets."""
+    counts = np.bincount(a, minlength=1 << 16)
+    out = []
+    for b in others:
+        begins = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+        out.append(int(np.minimum(counts[b[begins]], np.diff(np.append(begins, len(b)))).sum()))
+    return out
 
-    Pairs are compared in blocks, so that a set is sent once for a block and not for each of its pairs: what possible pairs connect is cut into parts of
-    about BLOCK_TOKENS tokens, and a block holds the pairs between two parts."""
-    pairs = written(possible(pairs, reps), where, f"{name}_possible")
+
+def compared(pairs: DataFrame, reps: DataFrame, docs: DataFrame, where: str, name: str, fine: bool) -> DataFrame:
+    """Of the pairs (a, b) of doc_ids those whose sets reach the similarity; if ``fine``, those that may, by the upper 16 bits of their shingles' hashes.
+
+    Pairs are compared in blocks, so that a set is sent once for a block and not for each of its pairs: what pairs connect is cut into parts of
+    about BLOCK_TOKENS tokens (FINE_TOKENS of the short ones), and a block holds the pairs between two parts."""
     near = components(pairs, f"{where}/{name}_near").select(F.col("node").alias("id"), F.col("component").alias("c"))
     sized = near.join(reps.select("id", "key", "n"), "id")
-    parts = sized.groupBy("c").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("parts"))
+    parts = sized.groupBy("c").agg(F.ceil(F.sum("n") / (FINE_TOKENS if fine else BLOCK_TOKENS)).alias("parts"))
     slots = written(sized.join(parts, "c").select("id", "key", "c", F.pmod(F.xxhash64("id"), "parts").alias("part")), where, f"{name}_slots")
     of = lambda x: slots.select(F.col("id").alias(x), "c", F.col("part").alias(f"part_{x}"))
     block = F.struct("c", F.least("part_a", "part_b").alias("x"), F.greatest("part_a", "part_b").alias("y"))
     dealt = written(pairs.join(of("a"), "a").join(of("b").drop("c"), "b").select("a", "b", block.alias("block")), where, f"{name}_dealt")
     wanted = dealt.select(F.col("a").alias("id"), "block").union(dealt.select(F.col("b").alias("id"), "block")).groupBy("id").agg(F.collect_set("block").alias("blocks"))
     nodes = written(wanted.join(slots.select("id", "key"), "id"), where, f"{name}_nodes")
-    sets = token_sets(docs, nodes).select("id", "tokens", F.explode("blocks").alias("block"))
+    sets = token_sets(docs, nodes, fine).select("id", "tokens", F.explode("blocks").alias("block"))
 
     def compare(these: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        tokens = dict(zip(held["id"].tolist(), held["tokens"], strict=True))
+        tokens = {i: np.frombuffer(x, dtype="<u2" if fine else "<u8") for i, x in zip(held["id"].tolist(), held["tokens"], strict=True)}
         out = []
         for a, of_a in these.groupby("a")["b"]:
-            ta = np.sort(tokens[a]) if a in tokens else None
-            for b in of_a:
-                tb = tokens.get(b)
-                if ta is None or tb is None:
-                    continue
-                at = np.searchsorted(ta, tb)
-                at[at == len(ta)] = 0
-                shared = int(np.count_nonzero(ta[at] == tb))
-                if 100 * shared >= PERCENT * (len(ta) + len(tb) - shared):
-                    out.append((a, b))
+            ta = tokens.get(a)
+            bs = [b for b in of_a if b in tokens]
+            if ta is None or not bs:
+                continue
+            shared = most_shared(ta, [tokens[b] for b in bs]) if fine else [exactly_shared(ta, tokens[b]) for b in bs]
+            out += [(a, b) for b, n in zip(bs, shared, strict=True) if 100 * n >= PERCENT * (len(ta) + len(tokens[b]) - n)]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     found = dealt.groupBy("block.c", "block.x", "block.y").cogroup(sets.groupBy("block.c", "block.x", "block.y")).applyInPandas(compare, "a long, b long")
     return written(found, where, f"{name}_links")
 
 
+def exactly_shared(a: np.ndarray, b: np.ndarray) -> int:
+    at = np.searchsorted(a, b)
+    at[at == len(a)] = 0
+    return int(np.count_nonzero(a[at] == b))
+
+
 def classes_of(docs: DataFrame, where: str) -> DataFrame:
     """doc_id, key, n, component of each document; component is the smallest doc_id that links reach."""
     scan = written(scanned(docs), where, "scan")
@@ -296,7 +307,7 @@ def classes_of(docs: DataFrame, where: str) -> DataFrame:
     met = written(met.join(of, ["key", "n"]).join(of0, ["key0", "n0"]).select("entry", "id", "n", "id0", "n0"), where, "met_ids")
     near = lambda n, m: 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
     pairs = written(met.filter(near(F.col("n"), F.col("n0"))).select(F.col("id0").alias("a"), F.col("id").alias("b")).distinct(), where, "pairs1")
-    links = linked(pairs, reps, docs, where, "first")
+    links = compared(written(possible(pairs, reps), where, "possible1"), reps, docs, where, "first", False)
     label = components(links, f"{where}/first")
     inside = met.select("entry", "id", "n").union(met.select("entry", F.col("id0").alias("id"), F.col("n0").alias("n"))).distinct()
     placed = written(inside.join(label.select(F.col("node").alias("id"), "component"), "id", "left").select("entry", "id", "n", F.coalesce("component", "id").alias("c")), where, "placed")
@@ -306,7 +317,8 @@ def classes_of(docs: DataFrame, where: str) -> DataFrame:
     rest = x.join(y, meet).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs2 = written(rest.join(done, ["a", "b"], "left_anti"), where, "pairs2")
-    label = components(links.union(linked(pairs2, reps, docs, where, "second")), f"{where}/all")
+    may = compared(written(possible(pairs2, reps), where, "possible2"), reps, docs, where, "fine", True)
+    label = components(links.union(compared(may, reps, docs, where, "second", False)), f"{where}/all")
     found = reps.join(label.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "n", F.coalesce("component", "id").alias("component"))
     return members.join(found, ["key", "n"], "left").select("doc_id", "key", "n", F.coalesce("component", "doc_id").alias("component"))
 
