@@ -6,7 +6,7 @@ partner cannot hold all of it: rare shingles count one each and are indexed alon
 counts c - 1 and is indexed by its pairs. Two sets that reach the similarity therefore share an index entry; parts depend on the size's step, and every set is indexed
 under its own step and the next.
 
-Pairs that meet are first held against a bound from the sets' histograms, which spares most of the others, and then compared. In each entry all sets are first compared with the one of least
+Pairs that meet are first held against a bound from the sets' histograms and, in the second round, against one from 16 bits of each shingle's hash, and then compared. In each entry all sets are first compared with the one of least
 part of rare shingles, which edited copies have most in common with (a star, not all pairs); sets so linked form components. Only between
 components that still meet in an entry are the other pairs of that entry compared, so no link between different texts is lost. A group of near copies that the star
 links costs its size; copies edited so far that they meet and stay unlinked are still compared pair by pair. Comparisons are exact, on the whole sets of 64-bit shingle hashes.

@@ -136,6 +136,17 @@ def test_jaccard_components(spark, docs, none):
     assert jaccard.classes_of(none, where(spark)).count() == 0
 
 
+def test_short_hashes_bound_intersections():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) // np.uint64(1 << 40) * np.uint64(1 << 40)) for n in (1, 40, 900, 70_000)]
+    sets += [np.unique(np.concatenate([s[::2], sets[2][:300]])) for s in sets]
+    short = [(s >> np.uint64(48)).astype("<u2") for s in sets]
+    for a, x in zip(sets, short):
+        exact = [len(np.intersect1d(a, b)) for b in sets]
+        assert [jaccard.exactly_shared(a, b) for b in sets] == exact
+        assert all(n <= m <= min(len(a), len(b)) for n, m, b in zip(exact, jaccard.most_shared(x, short), sets))
+
+
 def test_repeated_strings(spark, docs, none):
     rng = np.random.default_rng(5)
     words = [f"t{i}" for i in range(5000)]
