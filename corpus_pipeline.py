@@ -19,7 +19,7 @@ STAGES = [
     ("packing", packing.stage),
 ]
 
-#: Scoring, components and token ids are beyond SQL; tests/llm/test_pipeline.py holds the stages against brute force.
+#: Scoring, components and token ids are beyond SQL; tests/llm/test_operators.py holds the operators against brute force and runs the stages on edge cases.
 ORACLE_SQL = None
 
 
