@@ -99,12 +99,12 @@ def grams(c: Column, stopwords: list[str], low: int = 2, high: int = 4) -> Colum
     """Word n-grams of letters, stop-words removed first."""
     words = F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"\b[a-zA-Z]{2,}\b"), F.lit(0)), lambda x: ~x.isin(stopwords))
 
-    def of(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1)))
-        return F.when(F.size(words) >= n, F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    def of(w: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1)))
+        return F.when(F.size(w) >= n, F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
-    each = [of(n) for n in range(low, high + 1)]
-    return F.concat(*each)
+    # bound as a variable, the words are found once a text and not once an n-gram
+    return F.flatten(F.transform(F.array(words), lambda w: F.concat(*(of(w, n) for n in range(low, high + 1)))))
 
 
 def class_tfidf(df: DataFrame, stopwords: list[str], low: int = 2, high: int = 4, least: int = 3, most: float = 0.35, top: int = 10) -> DataFrame:

@@ -234,8 +234,8 @@ k as (select term, sum(texts) t, count(*) df from b group by term having sum(tex
 z as (select "cluster", sum(n) size from c group by 1), w as (select c."cluster", term, cast(n as bigint) n, n / (size + 1e-12) * (ln(((select count(distinct "cluster") from d) + 1) / (df + 1)) + 1) weight from c join z on c."cluster" = z."cluster")
 select "cluster", term, n, round(weight, 6) weight from (select *, row_number() over (partition by "cluster" order by round(weight, 9) desc, term) r from w) where r <= 10""")
 def class_tfidf(t):
-    d = t("documents", "source", "text", "n_chars").filter("n_chars < 600").select(F.col("source").alias("cluster"), "text")
-    ranked = C.class_tfidf(d, ["the", "of"], 2, 2, top=1_000_000)
+    d = t("documents", "source", "text").select(F.col("source").alias("cluster"), "text")
+    ranked = C.class_tfidf(d, ["the", "of"], 2, 4, top=2**31 - 1)
     from pyspark.sql import Window as W
 
     return ranked.withColumn("r", F.row_number().over(W.partitionBy("cluster").orderBy(F.desc(F.round("weight", 9)), "term"))).filter("r <= 10").select("cluster", "term", "n", r6(F.col("weight"), "weight"))
