@@ -37,3 +37,10 @@ def test_class_tfidf_counts_long_texts_and_longer_grams(spark, tmp_path):
     spark.createDataFrame([(c, t, len(t or "")) for c, t in rows], "source string, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     got = {(r["cluster"], r["term"], r["n"], r["weight"]) for r in QUERIES["class_tfidf"](spark, str(tmp_path)).collect()}
     assert got == brute_class_tfidf(rows) and any(t.count(" ") == 3 for _, t, _, _ in got)
+
+
+def test_abstracts_have_all_words(spark, tmp_path):
+    rows = [(1, " ".join(f"w{i % 70}" for i in range(500))), (2, "a  b\n a"), (3, " "), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["abstract"] for r in QUERIES["inverted_index_abstracts"](spark, str(tmp_path)).collect()}
+    assert got == {1: rows[0][1], 2: "a b a"}
