@@ -48,26 +48,34 @@ def representatives(df: DataFrame, k: int = 5) -> DataFrame:
     return near.withColumn("rank", F.row_number().over(W.partitionBy("cluster").orderBy(F.desc("similarity"), "id"))).filter(F.col("rank") <= k).select("cluster", "id", "similarity", "rank")
 
 
-def diverse_order(df: DataFrame, weight: float = 0.7, pool: int = 200) -> DataFrame:
-    """cluster, id, rank: maximal marginal relevance among the ``pool`` members nearest the centroid, which bounds a group."""
-    near = df.join(centroids(df).select("cluster", "centroid"), "cluster").withColumn("relevance", cosine(F.col("vector"), F.col("centroid")))
-    bounded = near.withColumn("r", F.row_number().over(W.partitionBy("cluster").orderBy(F.desc("relevance"), "id"))).filter(F.col("r") <= pool)
+def diverse_order(df: DataFrame, weight: float = 0.7, block: int = 4096) -> DataFrame:
+    """cluster, id, rank: all members of each cluster by maximal marginal relevance.
+
+    Sequential by nature: a cluster is one task, which holds its vectors once and their largest similarity with the chosen ones, and takes the square
+    of the cluster's size in time. Vectors are compared in blocks of ``block``; chosen ones leave as they become half. A zero vector is similar to nothing."""
+    near = df.join(centroids(df).select("cluster", "centroid"), "cluster").withColumn("relevance", F.coalesce(cosine(F.col("vector"), F.col("centroid")), F.lit(0.0)))
 
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["relevance", "id"], ascending=[False, True])
-        v = np.stack(pdf["vector"].to_numpy()).astype(float)
-        v /= np.linalg.norm(v, axis=1, keepdims=True)
-        rel, most, chosen = pdf["relevance"].to_numpy(), np.full(len(pdf), -np.inf), []
-        left = np.ones(len(pdf), dtype=bool)
+        v = np.empty((len(pdf), len(pdf["vector"].iloc[0])))
+        for k, x in enumerate(pdf.pop("vector")):
+            v[k] = x
+        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+        rel, most, at = pdf["relevance"].to_numpy(), np.full(len(pdf), -np.inf), np.arange(len(pdf))
+        left, chosen = np.ones(len(pdf), dtype=bool), []
         for k in range(len(pdf)):
             value = np.where(left, rel if k == 0 else weight * rel - (1 - weight) * most, -np.inf)
             i = int(np.argmax(value))
-            chosen.append(i)
+            chosen.append(at[i])
             left[i] = False
-            most = np.maximum(most, v @ v[i])
+            last = v[i].copy()
+            for b in range(0, len(v), block):
+                np.maximum(most[b : b + block], v[b : b + block] @ last, out=most[b : b + block])
+            if 2 * (len(pdf) - k - 1) < len(v):
+                v, rel, most, at, left = v[left], rel[left], most[left], at[left], left[left]
         return pd.DataFrame({"cluster": pdf["cluster"].iloc[0], "id": pdf["id"].to_numpy()[chosen], "rank": np.arange(1, len(pdf) + 1)})
 
-    return bounded.select("cluster", "id", "vector", "relevance").groupBy("cluster").applyInPandas(order, "cluster int, id long, rank int")
+    return near.select("cluster", "id", "vector", "relevance").groupBy("cluster").applyInPandas(order, "cluster int, id long, rank int")
 
 
 def merged_clusters(c: DataFrame, least: float = 0.9, target: int = 1) -> DataFrame:

@@ -4,6 +4,8 @@ import collections
 import math
 import re
 
+import numpy as np
+
 from codexlake.plans.queries import QUERIES
 
 
@@ -44,3 +46,23 @@ def test_abstracts_have_all_words(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: r["abstract"] for r in QUERIES["inverted_index_abstracts"](spark, str(tmp_path)).collect()}
     assert got == {1: rows[0][1], 2: "a b a"}
+
+
+def test_diverse_ranking_is_a_permutation_of_each_cluster(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    sizes = {0: 450, 1: 3, 2: 1}
+    rows = [(i, c, rng.normal(c, 1, 8).round(3).tolist()) for i, c in enumerate(c for c, n in sizes.items() for _ in range(n))] + [(999, 1, [0.0] * 8)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = collections.defaultdict(list)
+    for r in QUERIES["diverse_ranking"](spark, str(tmp_path)).orderBy("cluster", "rank").collect():
+        assert r["rank"] == len(got[r["cluster"]]) + 1
+        got[r["cluster"]].append(r["id"])
+    for c in sizes:
+        members = {i: np.array(x, dtype=np.float32).astype(float) for i, k, x in rows if k == c}
+        assert sorted(got[c]) == sorted(members)
+        centre = np.mean(list(members.values()), axis=0)
+        unit = {i: x / max(np.linalg.norm(x), 1e-300) for i, x in members.items()}
+        relevance = {i: x @ centre / np.linalg.norm(centre) for i, x in unit.items()}
+        for k, i in enumerate(got[c]):
+            value = lambda j: 0.7 * relevance[j] - 0.3 * max((unit[j] @ unit[x] for x in got[c][:k]), default=0)  # noqa: B023, E731
+            assert value(i) > max(map(value, got[c][k : k + 40])) - 1e-9
