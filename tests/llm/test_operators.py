@@ -239,3 +239,19 @@ def test_pipeline_stages_on_edges(spark, docs, none):
             df = common.written(stage(spark, df, DATA), where(spark), "stage")
             assert set(df.columns) == {"doc_id", "text", "lang", "source", "n_chars"}
         corpus_pipeline.STAGES[-1][1](spark, df, DATA).count()
+
+
+def test_quality_bounds_and_labelled_texts(spark):
+    rng = np.random.default_rng(6)
+    cov = np.cov(rng.normal(size=(quality.D, 50)) * np.array(quality.FLOOR)[:, None] * np.array([[0.1], [3], [1], [0], [2], [0.5], [4]]))
+    got = quality.bounded(cov)
+    floor = np.diag(np.square(quality.FLOOR))
+    assert np.linalg.eigvalsh(got - floor).min() > -1e-9 and np.linalg.eigvalsh(got - cov).min() > -1e-9
+    assert np.allclose(quality.bounded(floor * 2), floor * 2) and np.allclose(quality.bounded(floor / 9), floor)
+    bins = quality.bin_of(np.full(9, 0.5))
+    import pandas as pd
+
+    assert quality._middle(pd.DataFrame({"pool": "p", "bin": bins, "n": 1})).scale[0] < 0.1
+    rows = registry.QUERIES["op4_quality"](spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").filter("not base_failed")
+    n = {(r["quality"], r["kept"]): r["count"] for r in rows.groupBy("quality", "kept").count().collect()}
+    assert n.get((0, True), 0) <= 0.02 * (n.get((0, True), 0) + n[0, False]) and n.get((1, False), 0) <= 0.005 * n[1, True]
