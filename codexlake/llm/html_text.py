@@ -5,9 +5,9 @@ and text is a slot. The distinct skeletons of a host, far fewer than its pages,
 match merge, those without a counterpart become optional, runs become repeated groups. Hosts can hold a third of all pages and any number of skeletons, so
 skeletons are first made distinct by an aggregate, aligned within SALTS parts of a host, and the parts' wrappers aligned with each other.
 
-A wrapper's text slots are main text if they lie in its article or main element (in the whole body where it has none) and in no element that is
-furniture by name (FURNITURE) or by a word of its class or id (FURNITURE_WORDS). Every page is matched with its host's wrapper, and the text of its main slots is
-the result: character references decoded, white space inside a block one space, blocks in page order, one a line.
+A wrapper's text slots are main text if they lie in no element that is furniture by name (FURNITURE) or by a word of its class or id (FURNITURE_WORDS).
+Every page is matched with its host's wrapper, and of the slots that it matches those in an article are the result, those in a main element where it has none, else
+all of them, as pages of one host can have several templates: character references decoded, white space inside a block one space, blocks in page order, one a line.
 
 Null or empty html gives empty text; pages without a host share one wrapper; broken markup closes where HTML would close it; repeated pages each get their
 row; a page nested deeper than DEPTH keeps its deeper text in the element at that depth.
@@ -39,7 +39,7 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "d
 P_ENDERS = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|noscript|iframe|template|svg|math)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*+>|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^>]*+>",
+    r"<!--.*?(?:-->|\Z)|<(?:svg|math)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?<=/)>|<(?P<raw>script|style|textarea|noscript|iframe|template|svg|math)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*+>|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^>]*+>",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
@@ -189,8 +189,8 @@ def furniture(name: str) -> bool:
     return tag in FURNITURE or mark in FURNITURE_WORDS and tag not in ("html", "body", *MAIN)
 
 
-def main_paths(wrapper: list) -> frozenset[tuple[str, ...]]:
-    """The paths of a wrapper's text slots that are main text."""
+def body_paths(wrapper: list) -> frozenset[tuple[str, ...]]:
+    """The paths of a wrapper's text slots that are no furniture."""
     slots: list[tuple[str, ...]] = []
 
     def walk(node: list, path: tuple[str, ...]) -> None:
@@ -201,21 +201,22 @@ def main_paths(wrapper: list) -> frozenset[tuple[str, ...]]:
                 walk(c, (*path, c[0]))
 
     walk(wrapper, ())
-    inside = lambda path, tag: any(x.partition(".")[0] == tag for x in path)
-    for tag in ("article", "main"):
-        if any(inside(p, tag) for p in slots):
-            return frozenset(p for p in slots if inside(p, tag))
     return frozenset(slots)
 
 
 @lru_cache(maxsize=512)
-def _paths_of(wrapper: str) -> frozenset[tuple[str, ...]]:
-    return main_paths(json.loads(wrapper))
+def _paths_of(wrapper: str) -> dict[tuple[str, ...], int]:
+    """Its body paths, each with its level: 0 in an article, 1 in a main element, 2 elsewhere."""
+    names = lambda path: {x.partition(".")[0] for x in path}
+    return {p: 0 if "article" in (of := names(p)) else 1 if "main" in of else 2 for p in body_paths(json.loads(wrapper))}
 
 
 def extract(page: str, wrapper: str) -> str:
-    paths = _paths_of(wrapper)
-    return "\n".join(text for path, text in blocks(page) if text is not None and path in paths)
+    """The text of the slots that the page matches: those in an article if there are any, else in a main element, else all."""
+    levels = _paths_of(wrapper)
+    found = [(levels[path], text) for path, text in blocks(page) if text is not None and path in levels]
+    least = min((level for level, _ in found), default=0)
+    return "\n".join(text for level, text in found if level == least)
 
 
 def host(url: str = "url") -> Column:

@@ -241,6 +241,15 @@ def test_pipeline_stages_on_edges(spark, docs, none):
         corpus_pipeline.STAGES[-1][1](spark, df, DATA).count()
 
 
+def test_pages_of_one_host_with_several_templates(spark):
+    bodies = ["<body><article><p>in article</article><p>out", "<body><main><p>in main</main><p>out", "<body><div><p>in div</div>", "<body><article><nav>no</nav></article><div><p>in div too</div>", "<body><p>a<svg viewBox='0'/><p>b<math />c<svg><p>no</svg>"]
+    want = ["in article", "in main", "in div", "in div too", "a\nbc"]
+    urls = ["http://one.host/x", None, "relative/x", "http:/bad", "http://one.host/y"]
+    pages = [(10 * k + j, url, body) for k, url in enumerate(urls) for j, body in enumerate(bodies)]
+    got = {r["page_id"]: r["text"] for r in html_text.extracted(spark.createDataFrame(pages, "page_id long, url string, html string"), where(spark)).collect()}
+    assert got == {10 * k + j: text for k in range(len(urls)) for j, text in enumerate(want)}
+
+
 def test_quality_bounds_and_labelled_texts(spark):
     rng = np.random.default_rng(6)
     cov = np.cov(rng.normal(size=(quality.D, 50)) * np.array(quality.FLOOR)[:, None] * np.array([[0.1], [3], [1], [0], [2], [0.5], [4]]))
