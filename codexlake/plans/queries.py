@@ -154,7 +154,8 @@ def combined_text_functions(t):
 
 @query(r"""select doc_id, array_to_string(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')[1:60], ' ') abstract from documents where length(trim(text)) > 0""")
 def inverted_index_abstracts(t):
-    words = t("documents", "doc_id", "text").filter("length(trim(text)) > 0").select("doc_id", F.posexplode(F.split(T.collapsed(F.col("text")), " ")).alias("at", "w"))
+    texts = t("documents", "doc_id", "text").filter("length(trim(text)) > 0").repartition("doc_id")  # moved once, before they become words
+    words = texts.select("doc_id", F.posexplode(F.split(T.collapsed(F.col("text")), " ")).alias("at", "w"))
     index = words.groupBy("doc_id", "w").agg(F.collect_list("at").alias("at")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "at"))).alias("index"))
     return index.select("doc_id", N.abstract_text(F.col("index")).alias("abstract"))
 
