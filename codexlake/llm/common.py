@@ -16,11 +16,12 @@ BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder's URI below spark.checkpoint.dir; where that is unset (tests), below a local temporary folder."""
+    """A new folder's URI below spark.checkpoint.dir. Where that is unset, a local session (tests) gets a temporary folder and any other an error."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-        spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/codexlake-{uuid.uuid4().hex}"
 
 
@@ -31,10 +32,32 @@ def written(df: DataFrame, where: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, where: str, *names: str) -> None:
+    """Remove written tables that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for name in names:
+        path = jvm.org.apache.hadoop.fs.Path(f"{where}/{name}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it no column of df."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches, which can otherwise hold thousands of very long texts, and send this package to the executors."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Bound the session's Arrow batches, which can otherwise hold thousands of very long texts (smaller bounds stay), and send this package to the executors."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
     return ship(spark)
 
 

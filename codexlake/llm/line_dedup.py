@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexlake.llm.common import prepare, row_key, shared_dir, table, written
+from codexlake.llm.common import prepare, row_key, shared_dir, table, unused, written
 
 WINDOW = 3
 
@@ -37,26 +37,30 @@ def repeated_lines(windows: DataFrame, size: int = WINDOW) -> DataFrame:
 
 
 def dedup(docs: DataFrame, where: str, size: int = WINDOW) -> DataFrame:
-    """docs with text reduced to the lines that stay, and _lines and _removed, their numbers before."""
-    gone = repeated_lines(written(line_windows(docs, size), where, "windows"), size).select(F.col("doc_id").alias("_op6_id"), F.col("text_key").alias("_op6_key"), F.col("covered").alias("_op6_gone"))
-    joined = docs.join(gone, (docs["doc_id"] == F.col("_op6_id")) & (F.xxhash64(docs["text"]) == F.col("_op6_key")), "left")
+    """docs with text reduced to the lines that stay, and two columns at the end, the numbers of its lines before and of those removed."""
+    id_, key, covered, n_lines, n_removed = unused(docs, "id", "key", "covered", "n_lines", "n_removed")
+    gone = repeated_lines(written(line_windows(docs.select("doc_id", "text"), size), where, "windows"), size).toDF(id_, key, covered)
+    joined = docs.join(gone, (docs["doc_id"] == F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(key)), "left")
     lines = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_op6_gone"))
-    text = F.when(F.col("_op6_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(covered))
+    text = F.when(F.col(covered).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
-    return joined.withColumns({"_lines": n, "_removed": F.coalesce(F.size("_op6_gone"), F.lit(0)).cast("long"), "text": text}).drop("_op6_id", "_op6_key", "_op6_gone")
+    return joined.withColumns({n_lines: n, n_removed: F.coalesce(F.size(covered), F.lit(0)).cast("long"), "text": text}).drop(id_, key, covered)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document: its lines, how many went, and the sum of what stays."""
     docs = dedup(table(spark, sf_dir, "documents", "doc_id", "text"), shared_dir(spark))
-    return docs.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return docs.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with repeated passages of lines removed; n_chars, where there is such a column, follows."""
+    """docs with repeated passages of lines removed; n_chars, where there is such a column, follows. A document that is left without a word (all of it
+    stands in earlier ones) goes; one that had none before stays."""
     prepare(spark)
-    out = dedup(docs, shared_dir(spark)).drop("_lines", "_removed")
+    out = dedup(docs, shared_dir(spark))
+    n_lines, n_removed = out.columns[-2:]
+    out = out.filter((F.col(n_removed) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop(n_lines, n_removed)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
