@@ -3,11 +3,12 @@
 A file holds documents in ascending order of doc_id. Layout, all integers little-endian:
 
 * data frames: the ids of whole documents, unsigned, 2 or 4 bytes each; a frame ends with the document that brings it to FRAME_BYTES;
-* a skippable frame (0x184D2A5D): a zstandard frame with the directory, (doc_id or the smallest long, frame, offset in ids, ids) as four longs a document;
-* a skippable frame (0x184D2A5E): the seek table, (compressed bytes, bytes, xxh64's low 32 bits) a data frame, then the number
-  of frames, a byte with the width of an id and the magic 0x8F92EAB1.
+* a skippable frame (0x184D2A5D): a zstandard frame with the directory in rows of four longs, first (width of an id, documents, 0, 0), then
+  (doc_id or the smallest long, frame, offset in ids, ids) for each document;
+* a skippable frame (0x184D2A5E): the seek table in the public seekable layout, (compressed bytes, bytes, xxh64's low 32 bits) for each frame before it (the directory's
+  holds 0 bytes), then the number of frames, the descriptor byte 0x80 (there are checksums) and the magic 0x8F92EAB1.
 
-Readers take the seek table from the file's end, then the directory, and decompress no frame but those of the documents asked for.
+Readers take the seek table from the file's end, then the directory, and decompress no frame but those of the documents asked for. An id that doesn't fit the width is an error.
 A null doc_id comes first; rows with equal ids are ordered by text and stay separate documents; a null text is empty and has the
 end id alone. Task retries write files of their own and only a file that a finished task names is read, so lost executors do no harm.
 """
@@ -30,7 +31,7 @@ from codexlake.llm.tokens import tokenizer, vocabulary_path
 
 FRAME_BYTES = 1 << 18
 DIRECTORY_MAGIC, TABLE_MAGIC, FOOTER_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
-NO_ID = -(1 << 63)
+NO_ID, CHECKSUMS = -(1 << 63), 0x80
 ENTRY = struct.Struct("<III")
 FOOTER = struct.Struct("<IBI")
 SKIPPABLE = struct.Struct("<II")
@@ -55,6 +56,8 @@ class TokenFileWriter:
         self._width, self._frames, self._entries, self._held, self._held_ids = width, [], [], [], 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        if len(ids) and int(ids.max()) >> (8 * self._width):
+            raise ValueError(f"id {int(ids.max())} doesn't fit {self._width} bytes")
         self._entries.append((NO_ID if doc_id is None else doc_id, len(self._frames), self._held_ids, len(ids)))
         self._held.append(ids.astype(f"<u{self._width}").tobytes())
         self._held_ids += len(ids)
@@ -73,9 +76,10 @@ class TokenFileWriter:
 
     def close(self) -> None:
         self._flush()
-        directory = self._zstd.compress(np.array(self._entries, dtype="<i8").tobytes())
+        directory = self._zstd.compress(np.array([(self._width, len(self._entries), 0, 0), *self._entries], dtype="<i8").tobytes())
         self._out.write(SKIPPABLE.pack(DIRECTORY_MAGIC, len(directory)) + directory)
-        body = b"".join(ENTRY.pack(*x) for x in self._frames) + FOOTER.pack(len(self._frames), self._width, FOOTER_MAGIC)
+        frames = [*self._frames, (SKIPPABLE.size + len(directory), 0, 0)]
+        body = b"".join(ENTRY.pack(*x) for x in frames) + FOOTER.pack(len(frames), CHECKSUMS, FOOTER_MAGIC)
         self._out.write(SKIPPABLE.pack(TABLE_MAGIC, len(body)) + body)
         self._out.close()
 
@@ -90,16 +94,17 @@ class TokenFileReader:
         self._in = store.open_input_file(path)
         self._zstd = zstandard.ZstdDecompressor()
         size = self._in.size()
-        n, self._width, magic = FOOTER.unpack(self._at(size - FOOTER.size, FOOTER.size))
-        if magic != FOOTER_MAGIC:
-            raise ValueError(f"{uri}: no seek table")
+        n, descriptor, magic = FOOTER.unpack(self._at(size - FOOTER.size, FOOTER.size))
+        if magic != FOOTER_MAGIC or not descriptor & CHECKSUMS:
+            raise ValueError(f"{uri}: no seek table with checksums")
         at = size - FOOTER.size - n * ENTRY.size
-        self._frames = list(ENTRY.iter_unpack(self._at(at, n * ENTRY.size)))
+        self._frames = list(ENTRY.iter_unpack(self._at(at, n * ENTRY.size)))[:-1]
         self._starts = np.concatenate([[0], np.cumsum([x[0] for x in self._frames], dtype=np.int64)]).astype(np.int64)
         magic, length = SKIPPABLE.unpack(self._at(int(self._starts[-1]), SKIPPABLE.size))
         if magic != DIRECTORY_MAGIC:
             raise ValueError(f"{uri}: no directory")
-        self.directory = np.frombuffer(self._zstd.decompress(self._at(int(self._starts[-1]) + SKIPPABLE.size, length)), dtype="<i8").reshape(-1, 4)
+        rows = np.frombuffer(self._zstd.decompress(self._at(int(self._starts[-1]) + SKIPPABLE.size, length)), dtype="<i8").reshape(-1, 4)
+        self._width, self.directory = int(rows[0, 0]), rows[1:]
         self.frames_read = 0
 
     def _at(self, start: int, length: int) -> bytes:
