@@ -1,7 +1,7 @@
 """Packing documents into training sequences, in order, by dynamic programming over the places where a sequence may end.
 
-A sequence may end after a document (free), after a sentence (SENTENCE_CUT; of sentences that end within SPACING tokens, the first) or, where a sentence is longer than GRID tokens, on
-a grid inside it (HARD_CUT); it costs its padding and the penalty of its end. best(j) = min over i with pos(j) - pos(i) <= length of
+A sequence may end after a document (free), after any sentence (SENTENCE_CUT) or, where neither comes within a sequence's length, after any token
+between (HARD_CUT); it costs its padding and the penalty of its end. best(j) = min over i with pos(j) - pos(i) <= length of
 best(i) + pos(i), plus length - pos(j) + penalty(j): the inner minimum over a sliding range comes from a monotone queue, so the work is
 linear in the places. A sequence whose length is a power of two is not padded; those transitions are few and are tried one by one.
 
@@ -24,7 +24,7 @@ from codexlake.llm.common import prepare, table, text_or_empty
 from codexlake.llm.tokens import tokenizer, vocabulary_path
 
 LENGTH, END_ID = 4096, 2
-SENTENCE_CUT, HARD_CUT, GRID, SPACING = 6, 40, 64, 32
+SENTENCE_CUT, HARD_CUT = 6, 40
 RUN_TOKENS = 1 << 21
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
 
@@ -34,18 +34,15 @@ def sentence_end_ids(names: list[str]) -> np.ndarray:
     return np.array([x.removesuffix("</w>").endswith((".", "!", "?")) for x in names])
 
 
-def places(doc_ends: np.ndarray, sentence_ends: np.ndarray, grid: int = GRID) -> tuple[np.ndarray, np.ndarray]:
+def places(doc_ends: np.ndarray, sentence_ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Positions after which a sequence may end, from 0 on, and their penalties."""
     total = int(doc_ends[-1])
     kind = np.full(total + 1, HARD_CUT, dtype=np.int64)
-    first = np.ones(len(sentence_ends), dtype=bool)
-    first[1:] = sentence_ends[1:] // SPACING != sentence_ends[:-1] // SPACING
-    kind[sentence_ends[first]] = SENTENCE_CUT
+    kind[sentence_ends] = SENTENCE_CUT
     kind[doc_ends] = 0
     kind[0] = 0
     firm = np.flatnonzero(kind < HARD_CUT)
-    gaps = np.diff(firm)
-    more = [np.arange(firm[k] + grid, firm[k + 1], grid) for k in np.flatnonzero(gaps > grid)]
+    more = [np.arange(firm[k] + 1, firm[k + 1]) for k in np.flatnonzero(np.diff(firm) > length)]
     pos = np.sort(np.concatenate([firm, *more]))
     return pos, kind[pos]
 
@@ -89,7 +86,7 @@ def pack_run(doc_ids: list, ids: list[np.ndarray], is_end: np.ndarray, first: in
     """Rows of SCHEMA for some documents, whole, and the next sequence's number."""
     stream = np.concatenate(ids)
     doc_ends = np.cumsum([len(x) for x in ids])
-    pos, penalty = places(doc_ends, np.flatnonzero(is_end[stream]) + 1, min(GRID, length))
+    pos, penalty = places(doc_ends, np.flatnonzero(is_end[stream]) + 1, length)
     rows, d, begin = [], 0, 0
     for end in window_ends(pos, penalty, length):
         at = begin
