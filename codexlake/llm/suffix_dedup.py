@@ -1,17 +1,20 @@
 """Repeated byte strings through longest-previous-factor arrays over suffixes.
 
 A byte goes if a string of LENGTH bytes that covers it also starts elsewhere: at an earlier place (keep="first", the first copy stays) or anywhere
-(keep="none"). Suffixes are compared up to LENGTH bytes, and never all in one place:
+(keep="none"). Besides, passages are reported: runs of bytes that strings of LEAST bytes which also start elsewhere cover. Suffixes are compared up to LENGTH bytes, and
+never all in one place:
 
-1. Each start of a LENGTH-byte string belongs to its anchor, the K-gram of least hash inside it. Equal strings have equal anchors, so suffixes that can share
-   LENGTH bytes meet under one anchor's hash. The starts of an anchor's occurrence are a block, its bytes the block's context.
+1. Each start of a LEAST-byte string belongs to its anchor, the K-gram of least hash inside it. Equal strings have equal anchors, so suffixes that can share
+   LEAST bytes meet under one anchor's hash. The starts of an anchor's occurrence are a block, its bytes (LENGTH from the last start on) the block's context.
 2. Anchors that occur once are dropped by an aggregate. Of the rest, equal contexts are represented once, with their number.
-3. The contexts under an anchor are joined and their suffixes put in order by prefix doubling on ranks; in that order, previous and next
-   smaller positions give each start's longest previous factor, and in reverse its longest later one. Starts that reach LENGTH give spans.
-4. An anchor with more than HOT different contexts isn't brought into one task: its starts are matched by 128-bit hashes of their LENGTH bytes with an
-   aggregate, which gives the same starts.
-
-Texts that occur whole more than once are judged once. Positions are ordered by doc_id, text hash and place. Null text is empty; texts shorter than LENGTH
+3. The contexts under an anchor are joined and their suffixes put in order by prefix tripling on ranks, from which the longest common prefix of any two follows. In
+   that order the previous and next places with smaller text positions give each start's longest previous factor; those with larger ones its longest later factor.
+   Factors of LEAST and of LENGTH give passages and spans.
+4. An anchor with more than HOT different contexts is extended: its blocks are split by the distance of a start from the anchor into ranges of RANGE, and keyed by
+   all bytes that the strings of a range share. What is still as frequent then is extended to the whole string, which is one start; equal keys are equal
+   strings there, and an aggregate finds them.
+
+Texts that occur whole more than once are judged once. Positions are ordered by doc_id, text hash and place. Null text is empty; texts shorter than LEAST
 bytes lose nothing; repeated rows are copies of each other, so with keep="none" they lose all, with keep="first" nothing if their ids are equal too.
 """
 
@@ -24,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexlake.llm.common import shared_dir, small_side, table, text_or_empty, written
+from codexlake.llm.common import forget, shared_dir, small_side, table, text_or_empty, written
 from codexlake.llm.jaccard import _BYTES, mix, powers
 
-LENGTH, K = 400, 128
+LENGTH, LEAST, K = 400, 256, 64
+#: A passage counts if it has more words than this.
+PASSAGE_WORDS = 50
 CHUNK = 1 << 18
-HOT, JOINED = 2000, 4 << 20
+HOT, RANGE, JOINED = 2000, 24, 1 << 21
 
 
 def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
@@ -44,57 +49,129 @@ def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(after[: n - w + 1], before[w - 1 : n])
 
 
-def blocks_of(raw: bytes, length: int = LENGTH, k: int = K) -> Iterator[tuple[int, int, int, int]]:
-    """(anchor's hash, context's hash, first start, last start); together the blocks hold every start once."""
+def blocks_of(raw: bytes, least: int = LEAST, k: int = K, length: int = LENGTH) -> Iterator[tuple[int, int, int, int, int]]:
+    """(anchor's hash, context's hash, first start, last start, anchor's place); together the blocks hold every start of ``least`` bytes once."""
     import xxhash
 
-    window = length - k + 1
+    window = least - k + 1
     whole = np.frombuffer(raw, dtype=np.uint8)
-    for begin in range(0, len(raw) - length + 1, CHUNK):
-        part = whole[begin : begin + CHUNK + length - 1]
+    for begin in range(0, len(raw) - least + 1, CHUNK):
+        part = whole[begin : begin + CHUNK + least - 1]
         n = len(part)
         up, down = powers(n + 1)
         sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(_BYTES[part] * up[:n], out=sums[1:])
         h = mix((sums[k:] - sums[:-k]) * down[: n - k + 1])
-        least = sliding_min(h, window)
-        runs = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1, [len(least)]]).tolist()
+        lowest = sliding_min(h, window)
+        runs = np.concatenate([[0], np.flatnonzero(lowest[1:] != lowest[:-1]) + 1, [len(lowest)]]).tolist()
         for lo, stop in zip(runs, runs[1:], strict=False):
             while lo < stop:
                 at = lo + int(h[lo : lo + window].argmin())
                 hi = min(stop - 1, at)
-                yield int(h[at].astype(np.int64)), xxhash.xxh3_64_intdigest(raw[begin + lo : begin + hi + length]) - (1 << 63), begin + lo, begin + hi
+                yield int(h[at].astype(np.int64)), xxhash.xxh3_64_intdigest(raw[begin + lo : begin + hi + length]) - (1 << 63), begin + lo, begin + hi, begin + at
                 lo = hi + 1
 
 
-def suffix_ranks(joined: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """The rank of each start's first ``length`` bytes in the order of suffixes; equal strings have equal ranks."""
-    n = len(joined)
-    rank, have = joined.astype(np.int64), 1
-    step = lambda a, b: np.unique(a * (int(b.max()) + 2) + b, return_inverse=True)[1].astype(np.int64)
-    shifted = lambda r, by: np.concatenate([r[by:] + 1, np.zeros(min(by, n), dtype=np.int64)])[:n]
-    packed = np.zeros(n, dtype=np.uint64)
-    if length >= 7:  # seven bytes at once
-        for k in range(7):
-            packed = packed * np.uint64(256) + np.concatenate([joined[k:], np.zeros(min(k, n), dtype=np.uint8)])[:n].astype(np.uint64)
-        rank, have = np.unique(packed, return_inverse=True)[1].astype(np.int64), 7
-    while have * 2 < length:
-        rank, have = step(rank, shifted(rank, have)), have * 2
-    return step(rank[starts], shifted(rank, length - have)[starts]) if have < length else rank[starts]
-
-
-def factor_reaches(ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For starts in text order with suffix ranks: whether the longest previous, and the longest later, factor has the full length.
-
-    In suffix order, equal prefixes are runs; as ties stand in text order, the previous smaller position of all but a run's first is its
-    neighbour, so the two arrays need no stack."""
-    order = np.argsort(ranks, kind="stable")
-    r = ranks[order]
-    same = r[1:] == r[:-1]
-    earlier, later = np.zeros(len(ranks), dtype=bool), np.zeros(len(ranks), dtype=bool)
-    earlier[order[1:]] = same
-    later[order[:-1]] = same
-    return earlier, later
+def numbered(x: np.ndarray) -> np.ndarray:
+    """Each value's number among the distinct ones in order."""
+    by = np.argsort(x)
+    of = np.empty(len(x), dtype=np.int64)
+    y = x[by]
+    of[by] = np.cumsum(np.concatenate([[0], (y[1:] != y[:-1])]))
+    return of
+
+
+class SuffixOrder:
+    """The order of the suffixes of joined byte strings (contexts), each compared up to its context's end and to ``length`` bytes."""
+
+    def __init__(self, joined: np.ndarray, sizes: list[int], length: int) -> None:
+        self.length, self.bytes = length, joined
+        self.rest = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(joined))  # bytes to the context's end
+        self.levels: list[tuple[int, np.ndarray]] = []
+        n, packed, symbols = len(joined), np.zeros(len(joined), dtype=np.int64), joined.astype(np.int64)
+        for k in range(7):  # seven bytes at once, each plus 1
+            packed = packed * 512 + self._shifted(symbols, k)
+        rank, have = numbered(packed), 7
+        self.levels.append((have, rank))
+        while have * 3 <= length:
+            rank, have = numbered((rank * (n + 1) + self._shifted(rank, have)) * (n + 1) + self._shifted(rank, 2 * have)), have * 3  # under 2**63 for n < 2**21
+            self.levels.append((have, rank))
+
+    def _shifted(self, values: np.ndarray, by: int) -> np.ndarray:
+        """Of each place the value ``by`` places on, plus 1; 0 beyond the context's end."""
+        out = np.zeros(len(values), dtype=np.int64)
+        out[: max(0, len(values) - by)] = values[by:] + 1
+        out[self.rest <= by] = 0
+        return out
+
+    def ranks(self, starts: np.ndarray) -> np.ndarray:
+        """Ranks of the suffixes at starts; equal ones have equal ``length`` bytes, or less up to both ends."""
+        have, rank = self.levels[-1]
+        key, covered = rank[starts], have
+        while covered < self.length:
+            more = min(have, self.length - covered)
+            at = covered - (have - more)
+            key = numbered(key) * (len(rank) + 1) + self._shifted(rank, at)[starts]
+            covered += more
+        return numbered(key)
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The longest common prefixes of suffixes a and b, of ``length`` at most."""
+        at, live = np.zeros(len(a), dtype=np.int64), np.ones(len(a), dtype=bool)
+        most = np.minimum(np.minimum(self.rest[a], self.rest[b]), self.length)
+        for have, rank in reversed(self.levels):
+            for _ in range(3):
+                live = at < most
+                x, y = (a + at)[live], (b + at)[live]
+                same = rank[x] == rank[y]
+                at[np.flatnonzero(live)[same]] += have
+        for _ in range(6):
+            live = np.flatnonzero(at < most)
+            x, y = (a + at)[live], (b + at)[live]
+            at[live[self.bytes[x] == self.bytes[y]]] += 1
+        return np.minimum(at, most)
+
+
+def previous_smaller(x: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """For each place the nearest before it with a smaller value, not before begin; -1 if there is none. Places between a place and its pointer are always larger, so
+    pointers may jump along pointers, all at once."""
+    p = np.arange(len(x)) - 1
+    p[p < begin] = -1
+    todo = np.flatnonzero(p >= 0)
+    while len(todo):
+        todo = todo[x[p[todo]] > x[todo]]
+        p[todo] = p[p[todo]]
+        todo = todo[p[todo] >= 0]
+    return p
+
+
+def factors(order: SuffixOrder, starts: np.ndarray, group: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """For starts, in text order within each group, the lengths of the longest previous and the longest later factor in the group; 0 for those under ``least``."""
+    by = np.lexsort((order.ranks(starts), group))
+    previous, later = np.zeros(len(starts), dtype=np.int64), np.zeros(len(starts), dtype=np.int64)
+    if len(by) < 2:
+        return previous, later
+    same = group[by[1:]] == group[by[:-1]]
+    near = np.zeros(len(by) - 1, dtype=np.int64)
+    near[same] = order.common(starts[by[:-1][same]], starts[by[1:][same]])
+    joined = near >= least  # a factor of ``least`` reaches neither over a smaller common prefix
+    inside = np.concatenate([joined, [False]]) | np.concatenate([[False], joined])
+    held = by[inside]
+    if len(held) == 0:
+        return previous, later
+    opens = np.concatenate([[True], ~joined])[inside]
+    run = np.cumsum(opens) - 1
+    begin = np.flatnonzero(opens)[run]
+    last = np.append(np.flatnonzero(opens)[1:], len(held))[run] - 1
+    mirrored = len(held) - 1 - last[::-1]
+    for out, x in ((previous, held), (later, -held)):
+        before = previous_smaller(x, begin)
+        after = previous_smaller(x[::-1], mirrored)[::-1]
+        after = np.where(after >= 0, len(held) - 1 - after, -1)
+        for to in (before, after):
+            at = np.flatnonzero(to >= 0)
+            out[held[at]] = np.maximum(out[held[at]], order.common(starts[held[at]], starts[held[to[at]]]))
+    return previous, later
 
 
 def spans_of(hit: np.ndarray, lo: int, length: int) -> list[tuple[int, int]]:
@@ -103,128 +180,159 @@ def spans_of(hit: np.ndarray, lo: int, length: int) -> list[tuple[int, int]]:
     return [(lo + a, lo + b - 1 + length) for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True)]
 
 
-PLACE = "doc_id long, k1 long, lo int, hi int"
-SPAN = "doc_id long, k1 long, s int, e int"
+PLACE = "doc_id long, k1 long, lo int, hi int, anchor int"
+#: whole: the span is one of strings of LENGTH, not LEAST.
+SPAN = "doc_id long, k1 long, s int, e int, whole boolean"
+BLOCKS = pa.schema([("core", pa.int64()), ("ctx", pa.int64()), ("doc_id", pa.int64()), ("k1", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("anchor", pa.int32()), ("size", pa.int32())])
+CONTEXTS = pa.schema([("core", pa.int64()), ("c", pa.int64()), ("doc_id", pa.int64()), ("k1", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("anchor", pa.int32()), ("bytes", pa.binary())])
+SPANS = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("whole", pa.bool_())])
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    """core, ctx and PLACE of every block of docs (doc_id, k1, text)."""
+    """core, ctx, PLACE and size (the text's bytes) of every block of docs (doc_id, k1, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
             for doc_id, k1, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                rows += [(core, ctx, doc_id, k1, lo, hi) for core, ctx, lo, hi in blocks_of(text.encode("utf-8", "surrogatepass"))]
+                raw = text.encode("utf-8", "surrogatepass")
+                rows += [(core, ctx, doc_id, k1, lo, hi, at, len(raw)) for core, ctx, lo, hi, at in blocks_of(raw)]
             if rows:
-                kinds = [pa.int64()] * 4 + [pa.int32()] * 2
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["core", "ctx", "doc_id", "k1", "lo", "hi"])
+                yield _batch(rows, BLOCKS)
 
-    return docs.select("doc_id", "k1", "text").mapInArrow(run, f"core long, ctx long, {PLACE}")
+    return docs.select("doc_id", "k1", "text").mapInArrow(run, f"core long, ctx long, {PLACE}, size int")
 
 
-def _contexts(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """reps (core, ctx, c, PLACE) with bytes."""
-    lists = reps.groupBy("doc_id", "k1").agg(F.collect_list(F.struct("core", "ctx", "c", "lo", "hi")).alias("cut"))
+def _contexts(docs: DataFrame, reps: DataFrame, where: str, name: str) -> DataFrame:
+    """reps (core, c, PLACE) with bytes."""
+    lists = written(reps.groupBy("doc_id", "k1").agg(F.collect_list(F.struct("core", "c", "lo", "hi", "anchor")).alias("cut")), where, name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for doc_id, k1, text, cut in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
                 for k in range(0, len(cut), 2000):
-                    some = cut[k : k + 2000]
-                    n = len(some)
-                    columns = [pa.array([x[f] for x in some], t) for f, t in (("core", pa.int64()), ("ctx", pa.int64()), ("c", pa.int64()))]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array([doc_id] * n, pa.int64()), pa.array([k1] * n, pa.int64()), pa.array([x["lo"] for x in some], pa.int32()), pa.array([x["hi"] for x in some], pa.int32()), pa.array([raw[x["lo"] : x["hi"] + LENGTH] for x in some], pa.binary())], names=names)
+                    yield _batch([(x["core"], x["c"], doc_id, k1, x["lo"], x["hi"], x["anchor"], raw[x["lo"] : x["hi"] + LENGTH]) for x in cut[k : k + 2000]], CONTEXTS)
 
-    names = ["core", "ctx", "c", "doc_id", "k1", "lo", "hi", "bytes"]
     d, c = docs.alias("d"), small_side(lists, ("cut",)).alias("c")
     joined = d.join(c, F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.k1") == F.col("c.k1"))).select("d.doc_id", "d.k1", "d.text", "c.cut")
-    return joined.mapInArrow(run, f"core long, ctx long, c long, {PLACE}, bytes binary")
+    return joined.mapInArrow(run, f"core long, c long, {PLACE}, bytes binary")
 
 
 def _ordered(contexts: DataFrame, keep: str) -> DataFrame:
-    """SPAN of the repeated starts, by suffix order under each anchor."""
+    """SPAN of the repeated starts, by suffix order under each core."""
 
     def solve(groups: list[list[tuple]]) -> Iterator[tuple]:
         rows = [r for g in groups for r in g]
-        joined = np.frombuffer(b"".join(r[-1] for r in rows), dtype=np.uint8)
         sizes = [len(r[-1]) for r in rows]
-        begins = np.cumsum([0, *sizes[:-1]])
-        starts = np.concatenate([np.arange(b, b + s - LENGTH + 1) for b, s in zip(begins, sizes, strict=True)])
-        group = np.repeat(np.repeat(np.arange(len(groups)), [len(g) for g in groups]), [s - LENGTH + 1 for s in sizes])
-        rank = suffix_ranks(joined, starts, LENGTH)
-        earlier, later = factor_reaches(rank * len(groups) + group)
-        hit = earlier if keep == "first" else earlier | later
+        numbers = [r[5] - r[4] + 1 for r in rows]
+        order = SuffixOrder(np.frombuffer(b"".join(r[-1] for r in rows), dtype=np.uint8), sizes, LENGTH)
+        starts = np.concatenate([np.arange(b, b + n) for b, n in zip(np.cumsum([0, *sizes[:-1]]).tolist(), numbers, strict=True)])
+        previous, later = factors(order, starts, np.repeat(np.repeat(np.arange(len(groups)), [len(g) for g in groups]), numbers), LEAST)
+        reach = previous if keep == "first" else np.maximum(previous, later)
         at = 0
-        for r, s in zip(rows, sizes, strict=True):
-            n = s - LENGTH + 1
-            if r[2] == 1 or keep == "first":
-                for a, b in spans_of(hit[at : at + n], r[5], LENGTH):
-                    yield r[3], r[4], a, b
+        for r, n in zip(rows, numbers, strict=True):
+            if r[1] == 1 or keep == "first":
+                for whole, length in ((False, LEAST), (True, LENGTH)):
+                    for a, b in spans_of(reach[at : at + n] >= length, r[4], length):
+                        yield r[2], r[3], a, b, whole
             at += n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready: list[list[tuple]] = []
         held, core = 0, None
         for b in batches:
-            for r in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
+            for r in zip(*(b.column(i).to_pylist() for i in range(len(CONTEXTS))), strict=True):
                 if r[0] != core:
-                    if held > JOINED:
-                        yield _span_batch(list(solve(ready)))
+                    if held > JOINED // 3:  # a core has at most HOT contexts, so all together stay under JOINED
+                        yield _batch(list(solve(ready)), SPANS)
                         ready, held = [], 0
                     ready.append([])
                     core = r[0]
                 ready[-1].append(r)
                 held += len(r[-1])
         if ready:
-            yield _span_batch(list(solve(ready)))
+            yield _batch(list(solve(ready)), SPANS)
 
     return contexts.repartition("core").sortWithinPartitions("core", "doc_id", "k1", "lo").mapInArrow(run, SPAN)
 
 
-def _span_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-    columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "k1", "s", "e"])
+def _extended(contexts: DataFrame) -> DataFrame:
+    """contexts, split by the distance of their starts from the anchor, with cores of all bytes that the strings of a range share."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            rows = []
+            for core, c, doc_id, k1, lo, hi, anchor, raw in zip(*(b.column(i).to_pylist() for i in range(len(CONTEXTS))), strict=True):
+                for k in range((anchor - hi) // RANGE, (anchor - lo) // RANGE + 1):
+                    near, far = k * RANGE, (k + 1) * RANGE - 1  # distances of the range
+                    first, last = max(lo, anchor - far), min(hi, anchor - near)
+                    shared = raw[anchor - near - lo : anchor - far + LEAST - lo]
+                    rows.append((xxhash.xxh3_64_intdigest(shared, seed=(core ^ k) & ((1 << 64) - 1)) - (1 << 63), c, doc_id, k1, first, last, anchor, raw[first - lo : last - lo + LENGTH]))
+            yield _batch(rows, CONTEXTS)
+
+    return contexts.mapInArrow(run, f"core long, c long, {PLACE}, bytes binary")
 
-def _hashed(contexts: DataFrame, keep: str) -> DataFrame:
-    """SPAN of the repeated starts of anchors with very many contexts, each start on its own."""
+
+def _single(contexts: DataFrame, keep: str) -> DataFrame:
+    """SPAN of the repeated starts of cores that are as frequent when extended: each start's string on its own."""
+    schema = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("v", pa.int64()), ("c", pa.int64()), ("doc_id", pa.int64()), ("k1", pa.int64()), ("s", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        half = 1 << 63
         for b in batches:
-            for _, _, c, doc_id, k1, lo, hi, raw in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
-                n = hi - lo + 1
-                w = [xxhash.xxh3_128_intdigest(raw[i : i + LENGTH]) for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([(x >> 64) - (1 << 63) for x in w]), pa.array([(x & ((1 << 64) - 1)) - (1 << 63) for x in w]), pa.array([c] * n), pa.array([doc_id] * n, pa.int64()), pa.array([k1] * n), pa.array(range(lo, hi + 1), pa.int32())], names=["w1", "w2", "c", "doc_id", "k1", "s"])
-
-    starts = contexts.mapInArrow(run, "w1 long, w2 long, c long, doc_id long, k1 long, s int")
+            for _, c, doc_id, k1, lo, hi, _, raw in zip(*(b.column(i).to_pylist() for i in range(len(CONTEXTS))), strict=True):
+                rows = []
+                for i in range(hi - lo + 1):
+                    w, more = xxhash.xxh3_128_intdigest(raw[i : i + LEAST]), raw[i + LEAST : i + LENGTH]
+                    rows.append(((w >> 64) - half, (w & ((1 << 64) - 1)) - half, xxhash.xxh3_64_intdigest(more) - half if len(more) == LENGTH - LEAST else None, c, doc_id, k1, lo + i))
+                yield _batch(rows, schema)
+
+    starts = contexts.mapInArrow(run, "w1 long, w2 long, v long, c long, doc_id long, k1 long, s int")
     here = F.struct("doc_id", "k1", "s")
-    repeated = starts.groupBy("w1", "w2").agg(F.min(here).alias("first"), F.max(here).alias("last")).filter("first <> last").drop("last")
-    found = starts.join(repeated, ["w1", "w2"])
-    return found.filter(here != F.col("first") if keep == "first" else F.col("c") == 1).select("doc_id", "k1", "s", (F.col("s") + LENGTH).alias("e"))
+    out = None
+    for keys, length in ((["w1", "w2"], LEAST), (["w1", "w2", "v"], LENGTH)):
+        some = starts.filter("v is not null") if length == LENGTH else starts
+        repeated = some.groupBy(*keys).agg(F.min(here).alias("first"), F.max(here).alias("last")).filter("first <> last").drop("last")
+        found = some.join(repeated, keys).filter(here != F.col("first") if keep == "first" else F.col("c") == 1)
+        found = found.select("doc_id", "k1", "s", (F.col("s") + length).alias("e"), F.lit(length == LENGTH).alias("whole"))
+        out = out.union(found) if out else found
+    return out
 
 
 def spans(docs: DataFrame, where: str, keep: str = "first") -> DataFrame:
-    """doc_id, k1, spans (array of s, e in bytes, not merged) for the rows of docs (doc_id, k1, text) that lose something."""
+    """doc_id, k1, spans (array of s, e in bytes and whole, not merged) for the rows of docs (doc_id, k1, text) with repeated strings."""
     blocks = written(_blocks(docs), where, "blocks")
-    twice = blocks.groupBy("core").count().filter("count > 1").select("core")
-    shared = written(blocks.join(twice, "core"), where, "shared")
-    place = F.struct("doc_id", "k1", "lo", "hi")
+    twice = written(blocks.groupBy("core").count().filter("count > 1").select("core"), where, "twice")
+    shared = written(blocks.join(small_side(twice), "core"), where, "shared")
+    forget(docs.sparkSession, where, "blocks")
+    place = F.struct("doc_id", "k1", "lo", "hi", "anchor")
     contexts = written(shared.groupBy("core", "ctx").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("at")), where, "contexts")
     per_core = written(contexts.groupBy("core").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), where, "cores")
-    copied = contexts.filter("c > 1").select("core", "ctx", "at")
-    full = shared.join(copied, ["core", "ctx"])
-    full = (full.filter(place != F.col("at")) if keep == "first" else full).select("doc_id", "k1", F.col("lo").alias("s"), (F.col("hi") + LENGTH).alias("e"))
-    reps = written(contexts.join(per_core, "core").select("core", "ctx", "c", "m", "at.*"), where, "reps")
-    usual = _ordered(_contexts(docs, reps.filter(F.col("m") <= HOT)), keep)
-    parts = full.union(usual)
-    hot = reps.filter(F.col("m") > HOT)
+    full = shared.join(contexts.filter("c > 1").select("core", "ctx", "at"), ["core", "ctx"])
+    full = full.filter(place != F.col("at")) if keep == "first" else full
+    last = F.least("hi", F.col("size") - LENGTH)  # nearer to the text's end no string of LENGTH starts
+    ends = F.array(F.struct((F.col("hi") + LEAST).alias("e"), F.lit(False).alias("whole")), F.struct(F.when(last >= F.col("lo"), last + LENGTH).alias("e"), F.lit(True).alias("whole")))
+    parts = full.select("doc_id", "k1", F.col("lo").alias("s"), F.inline(ends)).filter("e is not null")
+    reps = written(contexts.join(per_core, "core").select("core", "c", "m", "at.*"), where, "reps")
+    parts = parts.union(_ordered(_contexts(docs, reps.filter(F.col("m") <= HOT).drop("m"), where, "lists"), keep))
+    hot = reps.filter(F.col("m") > HOT).drop("m")
     if not hot.isEmpty():
-        parts = parts.union(_hashed(written(_contexts(docs, hot), where, "hot"), keep))
-    return written(parts.groupBy("doc_id", "k1").agg(F.collect_list(F.struct("s", "e")).alias("spans")), where, "spans")
+        longer = written(_extended(_contexts(docs, hot, where, "hot_lists")), where, "extended")
+        often = written(longer.groupBy("core").count().filter(F.col("count") > HOT).select("core"), where, "often")
+        parts = parts.union(_ordered(longer.join(small_side(often), "core", "left_anti"), keep)).union(_single(longer.join(small_side(often), "core", "left_semi"), keep))
+    out = written(parts.groupBy("doc_id", "k1").agg(F.collect_list(F.struct("s", "e", "whole")).alias("spans")), where, "spans")
+    forget(docs.sparkSession, where, "twice", "shared", "contexts", "cores", "reps", "lists", "hot_lists", "extended", "often")
+    return out
 
 
 def merged(each: list) -> list[tuple[int, int]]:
@@ -238,7 +346,7 @@ def merged(each: list) -> list[tuple[int, int]]:
 
 
 def dedup(docs: DataFrame, where: str, keep: str = "first") -> DataFrame:
-    """doc_id, n_bytes, removed (array of s, e), kept (binary) for each row of docs (doc_id, text)."""
+    """doc_id, n_bytes, removed (array of s, e), kept (binary), passages (array of s, e, words) for each row of docs (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(7), "text")})
     copied = written(rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id")).filter("copies > 1"), where, "copied")
     r, c = rows.alias("r"), small_side(copied).alias("c")
@@ -250,21 +358,25 @@ def dedup(docs: DataFrame, where: str, keep: str = "first") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, removed, kept = [], [], []
+            sizes, removed, kept, passages = [], [], [], []
             for text, all_, each in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
-                gone = ([(0, len(raw))] if len(raw) >= LENGTH else []) if all_ else merged(each or [])
+                gone, long = (([(0, len(raw))] if len(raw) >= n else []) if all_ else merged([x for x in each or [] if x["whole"] == w]) for n, w in ((LENGTH, True), (LEAST, False)))
                 edges = [0, *(x for span in gone for x in span), len(raw)]
                 sizes.append(len(raw))
                 removed.append([{"s": s, "e": e} for s, e in gone])
                 kept.append(b"".join(raw[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)) if gone else raw)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "removed", "kept"])
+                passages.append([{"s": s, "e": e, "words": len(raw[s:e].split())} for s, e in long])
+            place = [("s", pa.int64()), ("e", pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.list_(pa.struct(place))), pa.array(kept, pa.binary()), pa.array(passages, pa.list_(pa.struct([*place, ("words", pa.int64())])))], names=["doc_id", "n_bytes", "removed", "kept", "passages"])
 
-    return each.mapInArrow(run, "doc_id long, n_bytes long, removed array<struct<s: bigint, e: bigint>>, kept binary")
+    return each.mapInArrow(run, "doc_id long, n_bytes long, removed array<struct<s: bigint, e: bigint>>, kept binary, passages array<struct<s: bigint, e: bigint, words: bigint>>")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole of documents without strings of 400 bytes that occur twice or more; every copy goes."""
+    """The whole of documents without strings of 400 bytes that occur twice or more; every copy goes. n_passages: passages of over PASSAGE_WORDS words that repeat,
+    by strings of LEAST bytes, whether or not they reach the 400 bytes at which text goes."""
     out = dedup(table(spark, sf_dir, "documents", "doc_id", "text"), shared_dir(spark), keep="none")
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"])
-    return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    n_passages = F.size(F.filter("passages", lambda x: x["words"] > PASSAGE_WORDS)).cast("long")
+    return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), n_passages.alias("n_passages"))
