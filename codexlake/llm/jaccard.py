@@ -6,13 +6,20 @@ partner cannot hold all of it: rare shingles count one each and are indexed alon
 counts c - 1 and is indexed by its pairs. Two sets that reach the similarity therefore share an index entry; parts depend on the size's step, and every set is indexed
 under its own step and the next.
 
-Pairs that meet are first held against a bound from the sets' histograms and, in the second round, against one from 16 bits of each shingle's hash, and then compared. In each entry all sets are first compared with the one of least
-part of rare shingles, which edited copies have most in common with (a star, not all pairs); sets so linked form components. Only between
-components that still meet in an entry are the other pairs of that entry compared, so no link between different texts is lost. A group of near copies that the star
-links costs its size; copies edited so far that they meet and stay unlinked are still compared pair by pair. Comparisons are exact, on the whole sets of 64-bit shingle hashes.
+Sets that share an entry are compared in three steps, so that no link between different texts is lost and no group's pairs become rows:
+
+1. In each entry all sets are compared with the one of least part of rare shingles, which edited copies have most in common with (a star). An entry that the sketch
+   takes for very frequent is dealt to salts of about SALTED sets, each with a star of its own, whose centres form one more star.
+2. Of entries with over PAIRED sets, those still in several components are cut into parts of one size step and bounded size; a block is two parts that share an
+   entry, and its task holds every set of one part against every set of the other: first by bitmaps in which each shingle flips a bit, whose distance is never more
+   than the sets' (one matrix product for a block), then exactly, and hands back links between components alone, fewer than it has sets.
+3. Of the other entries, which have at most PAIRED sets and so pairs in proportion to the index, the pairs between components are held against a
+   bound from the sets' histograms, one from 16 bits of each shingle's hash, and then compared.
+
+Comparisons are exact, on the whole sets of 64-bit shingle hashes. A group of copies that stay unlinked costs rows for members times blocks, and the square of its size in products of bits alone.
 
 Null and empty texts and texts without words have an empty set and are linked with nothing. A row without doc_id gets the component of its class, null if
-no row of it has an id. Repeated rows get equal results, each its own row.
+no row of it has an id. Repeated rows get equal results, each its own row; different texts under one doc_id are different classes.
 """
 
 from __future__ import annotations
@@ -27,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from codexlake.llm.common import prepare, shared_dir, small_side, table, text_or_empty, written
+from codexlake.llm.common import forget, prepare, shared_dir, small_side, table, text_or_empty, unused, written
 from codexlake.llm.components import components
 
 SHINGLE, PERCENT = 5, 80
@@ -36,7 +43,9 @@ SKETCH_ROWS, SKETCH_BITS, PIECE_BITS, FREQUENT = 2, 20, 14, 64
 STEP, PART = 1.2501, 4
 #: Buckets by hash of a set's histogram, whose sums of minima bound intersections from above.
 BUCKETS = 128
-BLOCK_TOKENS, FINE_TOKENS = 2_000_000, 8_000_000
+BLOCK_TOKENS, FINE_TOKENS, BLOCK_SETS = 2_000_000, 8_000_000, 4096
+#: Sets of an entry whose pairs become rows, at most; sets of a salt of a very frequent entry, about.
+PAIRED, SALTED = 16, 4096
 SEEN = 50_000
 
 _MASK = (1 << 64) - 1
@@ -109,28 +118,27 @@ def needed(n: int) -> int:
     return n - (PERCENT * n + 99) // 100 + 1
 
 
-def entries(s: np.ndarray, classes: np.ndarray, frequent: int) -> np.ndarray:
-    """A set's index entries; classes: each shingle's class in the order, from ``frequent`` on frequent."""
+def entries(s: np.ndarray, classes: np.ndarray, frequent: int) -> tuple[np.ndarray, np.ndarray]:
+    """A set's index entries and the least class of each entry's shingles; classes: each shingle's class in the order, from ``frequent`` on frequent."""
     n = len(s)
     if n == 0:
-        return s
+        return s, np.zeros(0, dtype=np.uint8)
     need = needed(n)
     order = np.lexsort((s, classes))
     s, classes = s[order], classes[order]
     rare = int(np.searchsorted(classes, frequent))
     if rare >= need:
-        return s[:need]
-    out = [s[:rare]]
-    often = s[rare:]
+        return s[:need], classes[:need]
+    out, levels = [s[:rare]], [classes[:rare]]
+    often, level = s[rare:], classes[rare:]
     for step in (size_step(n), size_step(n) + 1):
         parts = max(1, round(STEP**step * (100 - PERCENT) / 100 / PART))
         part = ((often >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
         first = np.zeros(len(often), dtype=bool)
         first[np.unique(part, return_index=True)[1]] = True
         upto = int(np.searchsorted(np.cumsum(~first), need - rare)) + 1
-        part, held = part[:upto], often[:upto]
-        by = np.argsort(part, kind="stable")
-        part, held = part[by], held[by]
+        by = np.argsort(part[:upto], kind="stable")
+        part, held, of = part[:upto][by], often[:upto][by], level[:upto][by]
         distance = 1
         while distance < len(held):
             same = np.flatnonzero(part[distance:] == part[:-distance])
@@ -138,8 +146,9 @@ def entries(s: np.ndarray, classes: np.ndarray, frequent: int) -> np.ndarray:
                 break
             low, high = np.minimum(held[same], held[same + distance]), np.maximum(held[same], held[same + distance])
             out.append(mix(low * _PLACE[0] + high * _PLACE[1] + np.uint64(step)))
+            levels.append(np.minimum(of[same], of[same + distance]))
             distance += 1
-    return np.concatenate(out)
+    return np.concatenate(out), np.concatenate(levels)
 
 
 def size_step(n: int) -> int:
@@ -147,27 +156,27 @@ def size_step(n: int) -> int:
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """doc_id, key, n of each document; besides, rows with n null, piece and counts: parts of a sketch, to be added up."""
+    """doc_id, text_key, key, n, hist of each document; besides, rows with n null, piece and counts: parts of a sketch, to be added up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, rows = np.zeros((SKETCH_ROWS, 1 << SKETCH_BITS), dtype=np.uint32), 0
         for b in batches:
-            sets = [shingle_set(x) for x in b.column(1).to_pylist()]
+            sets = [shingle_set(x) for x in b.column(2).to_pylist()]
             joined = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
             for k in range(0, len(joined), 1 << 22):
                 for row, at in zip(sketch, cells(joined[k : k + (1 << 22)]), strict=True):
                     row += np.bincount(at, minlength=1 << SKETCH_BITS).astype(np.uint32)
             rows += len(sets)
             n = len(sets)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([histogram(s) for s in sets], pa.list_(pa.int16())), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([histogram(s) for s in sets], pa.list_(pa.int16())), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=names)
         if rows:
             pieces = sketch.reshape(-1, 1 << PIECE_BITS)
             for k, piece in enumerate(pieces):
                 if piece.any():
-                    yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(3)), pa.nulls(1, pa.list_(pa.int16())), pa.array([k], pa.int64()), pa.array([piece.astype("<u4").tobytes()], pa.binary())], names=names)
+                    yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.nulls(1, pa.list_(pa.int16())), pa.array([k], pa.int64()), pa.array([piece.astype("<u4").tobytes()], pa.binary())], names=names)
 
-    names = ["doc_id", "key", "n", "hist", "piece", "counts"]
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, key long, n long, hist array<smallint>, piece long, counts binary")
+    names = ["doc_id", "text_key", "key", "n", "hist", "piece", "counts"]
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, text_key long, key long, n long, hist array<smallint>, piece long, counts binary")
 
 
 def order_classes(scan: DataFrame) -> tuple[np.ndarray, int]:
@@ -193,14 +202,15 @@ def order_classes(scan: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def indexed(docs: DataFrame, classes: np.ndarray, frequent: int) -> DataFrame:
-    """entry, key, n, rare: the index, for each set at least once; rare: how many in a thousand of the set's shingles are."""
+    """entry, salts, salt, key, n, rare: the index, for each set at least once; salts: how many its entry is dealt to, salt: the set's; rare: how many in a
+    thousand of the set's shingles are."""
     shared = docs.sparkSession.sparkContext.broadcast((classes, frequent))  # SKETCH_ROWS * 2**SKETCH_BITS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, often = shared.value
         seen: set[int] = set()
         for b in batches:
-            held, keys, sizes, parts = [], [], [], []
+            held: list[tuple] = []
             for text in b.column(0).to_pylist():
                 s = shingle_set(text)
                 key = set_key(s)
@@ -208,43 +218,44 @@ def indexed(docs: DataFrame, classes: np.ndarray, frequent: int) -> DataFrame:
                     continue
                 if len(seen) < SEEN:
                     seen.add(key)
-                classes = np.min([row[at] for row, at in zip(of, cells(s), strict=True)], axis=0)
-                e = entries(s, classes, often)
-                held.append(e)
-                keys.append(np.full(len(e), key, dtype=np.int64))
-                sizes.append(np.full(len(e), len(s), dtype=np.int32))
-                parts.append(np.full(len(e), 1000 * np.count_nonzero(classes < often) // len(s), dtype=np.int16))
+                levels = np.min([row[at] for row, at in zip(of, cells(s), strict=True)], axis=0)
+                e, level = entries(s, levels, often)
+                salts = np.minimum(1 << 14, np.ceil(np.exp2(level.astype(float)) / SALTED)).astype(np.int16)
+                rare = 1000 * np.count_nonzero(levels < often) // len(s)
+                held.append((e.view(np.int64), salts, np.uint64(key & _MASK) % salts.astype(np.uint64), np.full(len(e), key, dtype=np.int64), np.full(len(e), len(s), dtype=np.int32), np.full(len(e), rare, dtype=np.int16)))
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(parts))], names=["entry", "key", "n", "rare"])
+                columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+                columns[2] = columns[2].astype(np.int16)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["entry", "salts", "salt", "key", "n", "rare"])
+
+    return docs.select(text_or_empty().alias("text")).mapInArrow(run, "entry long, salts smallint, salt smallint, key long, n int, rare smallint")
 
-    return docs.select(text_or_empty().alias("text")).mapInArrow(run, "entry long, key long, n int, rare smallint")
+
+BLOCK = "struct<c: bigint, x: bigint, y: bigint>"
 
 
 def token_sets(docs: DataFrame, nodes: DataFrame, fine: bool) -> DataFrame:
-    """id, tokens, blocks of nodes (id, key, blocks); a row twice where documents has it twice. tokens: the sorted set, or if ``fine`` its upper 16 bits."""
+    """key, tokens, part, label, block of nodes (key, id, part, label, blocks); a row twice where documents has it twice. tokens: the sorted set, or if ``fine`` its upper 16 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(x) for x in b.column(3).to_pylist()]
-            same = pa.array([set_key(s) == k for s, k in zip(sets, b.column(1).to_pylist(), strict=True)], pa.bool_())
+            sets = [shingle_set(x) for x in b.column(4).to_pylist()]
+            same = pa.array([set_key(s) == k for s, k in zip(sets, b.column(0).to_pylist(), strict=True)], pa.bool_())
             held = [((s >> np.uint64(48)).astype("<u2") if fine else s.astype("<u8")).tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.binary()), b.column(2)], names=["id", "tokens", "blocks"]).filter(same)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.binary()), b.column(1), b.column(2), b.column(3)], names=["key", "tokens", "part", "label", "blocks"]).filter(same)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text")).join(small_side(nodes, ("blocks",)), "id").select("id", "key", "blocks", "text")
-    return rows.mapInArrow(run, f"id long, tokens binary, blocks array<{BLOCK}>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text")).join(small_side(nodes, ("blocks",)), "id").select("key", "part", "label", "blocks", "text")
+    return rows.mapInArrow(run, f"key long, tokens binary, part long, label long, blocks array<{BLOCK}>").select("key", "tokens", "part", "label", F.explode("blocks").alias("block"))
 
 
 def possible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs whose histograms allow the similarity: no set's intersection exceeds the sum of the buckets' minima."""
-    of = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("hist").alias(f"h{x}"))
+    of = lambda x: reps.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("hist").alias(f"h{x}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
     most = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.least(x, y).cast("long")), F.lit(0).cast("long"), lambda t, x: t + x)
     return both.filter(F.col("ha").isNull() | F.col("hb").isNull() | ((100 + PERCENT) * most >= PERCENT * (F.col("na") + F.col("nb")))).select("a", "b")
 
 
-BLOCK = "struct<c: bigint, x: bigint, y: bigint>"
-
-
 def most_shared(a: np.ndarray, others: list[np.ndarray]) -> list[int]:
     """The sizes of a's intersections with the others as multisets of 16-bit values, each from above those of the sets."""
     counts = np.bincount(a, minlength=1 << 16)
@@ -256,23 +267,23 @@ def most_shared(a: np.ndarray, others: list[np.ndarray]) -> list[int]:
 
 
 def compared(pairs: DataFrame, reps: DataFrame, docs: DataFrame, where: str, name: str, fine: bool) -> DataFrame:
-    """Of the pairs (a, b) of doc_ids those whose sets reach the similarity; if ``fine``, those that may, by the upper 16 bits of their shingles' hashes.
+    """Of the pairs (a, b) of keys those whose sets reach the similarity; if ``fine``, those that may, by the upper 16 bits of their shingles' hashes.
 
     Pairs are compared in blocks, so that a set is sent once for a block and not for each of its pairs: what pairs connect is cut into parts of
     about BLOCK_TOKENS tokens (FINE_TOKENS of the short ones), and a block holds the pairs between two parts."""
-    near = components(pairs, f"{where}/{name}_near").select(F.col("node").alias("id"), F.col("component").alias("c"))
-    sized = near.join(reps.select("id", "key", "n"), "id")
+    near = components(pairs, f"{where}/{name}_near").select(F.col("node").alias("key"), F.col("component").alias("c"))
+    sized = near.join(reps.select("key", "id", "n"), "key")
     parts = sized.groupBy("c").agg(F.ceil(F.sum("n") / (FINE_TOKENS if fine else BLOCK_TOKENS)).alias("parts"))
-    slots = written(sized.join(parts, "c").select("id", "key", "c", F.pmod(F.xxhash64("id"), "parts").alias("part")), where, f"{name}_slots")
-    of = lambda x: slots.select(F.col("id").alias(x), "c", F.col("part").alias(f"part_{x}"))
+    slots = written(sized.join(parts, "c").select("key", "id", "c", F.pmod(F.xxhash64("key"), "parts").alias("part")), where, f"{name}_slots")
+    of = lambda x: slots.select(F.col("key").alias(x), "c", F.col("part").alias(f"part_{x}"))
     block = F.struct("c", F.least("part_a", "part_b").alias("x"), F.greatest("part_a", "part_b").alias("y"))
     dealt = written(pairs.join(of("a"), "a").join(of("b").drop("c"), "b").select("a", "b", block.alias("block")), where, f"{name}_dealt")
-    wanted = dealt.select(F.col("a").alias("id"), "block").union(dealt.select(F.col("b").alias("id"), "block")).groupBy("id").agg(F.collect_set("block").alias("blocks"))
-    nodes = written(wanted.join(slots.select("id", "key"), "id"), where, f"{name}_nodes")
-    sets = token_sets(docs, nodes, fine).select("id", "tokens", F.explode("blocks").alias("block"))
+    wanted = dealt.select(F.col("a").alias("key"), "block").union(dealt.select(F.col("b").alias("key"), "block")).groupBy("key").agg(F.collect_set("block").alias("blocks"))
+    nodes = written(wanted.join(slots.select("key", "id", "part", F.col("c").alias("label")), "key"), where, f"{name}_nodes")
+    sets = token_sets(docs, nodes, fine)
 
     def compare(these: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        tokens = {i: np.frombuffer(x, dtype="<u2" if fine else "<u8") for i, x in zip(held["id"].tolist(), held["tokens"], strict=True)}
+        tokens = {i: np.frombuffer(x, dtype="<u2" if fine else "<u8") for i, x in zip(held["key"].tolist(), held["tokens"], strict=True)}
         out = []
         for a, of_a in these.groupby("a")["b"]:
             ta = tokens.get(a)
@@ -284,7 +295,9 @@ def compared(pairs: DataFrame, reps: DataFrame, docs: DataFrame, where: str, nam
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     found = dealt.groupBy("block.c", "block.x", "block.y").cogroup(sets.groupBy("block.c", "block.x", "block.y")).applyInPandas(compare, "a long, b long")
-    return written(found, where, f"{name}_links")
+    links = written(found, where, f"{name}_links")
+    forget(docs.sparkSession, where, *(f"{name}_{x}" for x in ("near", "slots", "dealt", "nodes")))
+    return links
 
 
 def exactly_shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -293,34 +306,132 @@ def exactly_shared(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(a[at] == b))
 
 
-def classes_of(docs: DataFrame, where: str) -> DataFrame:
-    """doc_id, key, n, component of each document; component is the smallest doc_id that links reach."""
-    scan = written(scanned(docs), where, "scan")
-    members = scan.filter("n is not null").select("doc_id", "key", "n")
-    reps = written(scan.filter("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("id"), F.max("hist").alias("hist")).filter("id is not null"), where, "classes")
-    index = indexed(docs, *order_classes(scan))
+def flips(sets: list[np.ndarray], width: int) -> np.ndarray:
+    """A row of bits for each set, in which each shingle flips one: two rows differ in at most as many bits as their sets in shingles."""
+    out = np.zeros((len(sets), width), dtype=np.float32)
+    for row, s in zip(out, sets, strict=True):
+        row[:] = np.bincount(((s >> np.uint64(20)) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return out
+
+
+def block_links(xs: list[np.ndarray], ys: list[np.ndarray] | None, labels_x: list[int], labels_y: list[int]) -> list[tuple[int, int]]:
+    """Links (place in xs, place in ys) that join the labels which any links join; without ys, among xs. Sets that differ in d shingles reach the
+    similarity if (100 + PERCENT) * d <= (100 - PERCENT) * (size + size)."""
+    own = ys is None
+    ys, labels_y = (xs, labels_x) if own else (ys, labels_y)
+    width = 256
+    while width < 4 * max(map(len, xs + ys)):
+        width *= 2
+    fx, nx = flips(xs, width), np.array([len(s) for s in xs])
+    fy, ny = (fx, nx) if own else (flips(ys, width), np.array([len(s) for s in ys]))
+    ox, oy, lx, ly = fx.sum(axis=1), fy.sum(axis=1), np.array(labels_x), np.array(labels_y)
+    up: dict[int, int] = {}
+
+    def top(a: int) -> int:
+        while (b := up.get(a, a)) != a:
+            up[a] = a = up.get(b, b)
+        return a
+
+    out = []
+    for at in range(0, len(xs), 256):
+        end = at + 256
+        apart = ox[at:end, None] + oy[None, :] - 2 * (fx[at:end] @ fy.T)
+        may = ((100 + PERCENT) * apart <= (100 - PERCENT) * (nx[at:end, None] + ny[None, :]) + 0.5) & (lx[at:end, None] != ly[None, :])
+        if own:
+            may &= np.arange(len(ys))[None, :] > np.arange(at, min(end, len(xs)))[:, None]
+        for i, j in zip(*map(np.ndarray.tolist, np.nonzero(may)), strict=True):
+            a, b = top(labels_x[at + i]), top(labels_y[j])
+            if a != b:
+                n = exactly_shared(xs[at + i], ys[j])
+                if 100 * n >= PERCENT * (len(xs[at + i]) + len(ys[j]) - n):
+                    up[max(a, b)] = min(a, b)
+                    out.append((at + i, j))
+    return out
+
+
+def block_compared(members: DataFrame, reps: DataFrame, docs: DataFrame, where: str) -> DataFrame:
+    """Links (a, b) that join the components c which any links join, among members (entry, key, n, c) of entries."""
+    spark = docs.sparkSession
+    step = F.floor(F.log(F.col("n").cast("double")) / math.log(STEP)).cast("long")
+    near = components(members.groupBy("entry").agg(F.min("key").alias("a")).join(members.select("entry", F.col("key").alias("b")), "entry").select("a", "b"), f"{where}/block_near")
+    distinct = members.select("key", F.col("n").cast("long").alias("n"), "c").distinct().join(near.select(F.col("node").alias("key"), F.col("component").alias("g")), "key", "left").withColumn("g", F.coalesce("g", "key")).withColumn("step", step)
+    sizes = distinct.groupBy("g", "step").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_TOKENS, F.count(F.lit(1)) / BLOCK_SETS)).alias("parts"))
+    part = F.shiftleft("step", 40) + F.pmod(F.xxhash64("key"), "parts")
+    slots = written(distinct.join(sizes, ["g", "step"]).select("key", "g", "step", "c", part.alias("part")), where, "block_slots")
+    met = members.join(slots.select("key", "g", "part"), "key").groupBy("entry").agg(F.min("g").alias("g"), F.array_sort(F.collect_set("part")).alias("parts"))
+    close = lambda p: F.filter("parts", lambda q: (q >= p) & (F.shiftright(q, 40) - F.shiftright(p, 40) <= 1))
+    each = F.flatten(F.transform("parts", lambda p: F.transform(close(p), lambda q: F.struct(p.alias("x"), q.alias("y")))))
+    blocks = met.select("g", F.inline(each)).distinct()
+    block = F.struct(F.col("g").alias("c"), "x", "y").alias("block")
+    of = blocks.select(F.col("g"), F.col("x").alias("part"), block).union(blocks.filter("x <> y").select(F.col("g"), F.col("y").alias("part"), block)).groupBy("g", "part").agg(F.collect_set("block").alias("blocks"))
+    nodes = written(slots.join(of, ["g", "part"]).join(reps.select("key", "id"), "key").select("key", "id", "part", F.col("c").alias("label"), "blocks"), where, "block_nodes")
+
+    def compare(block: tuple, held: pd.DataFrame) -> pd.DataFrame:
+        held = held.drop_duplicates("key")
+        sets = [np.frombuffer(x, dtype="<u8") for x in held["tokens"]]
+        keys, labels, left = held["key"].tolist(), held["label"].tolist(), (held["part"] == block[1]).tolist()
+        own = block[1] == block[2]
+        xs = [k for k in range(len(sets)) if left[k]]
+        ys = xs if own else [k for k in range(len(sets)) if not left[k]]
+        if not xs or not ys:
+            return pd.DataFrame([], columns=["a", "b"], dtype="int64")
+        found = block_links([sets[k] for k in xs], None if own else [sets[k] for k in ys], [labels[k] for k in xs], [labels[k] for k in ys])
+        return pd.DataFrame([(keys[xs[i]], keys[ys[j]]) for i, j in found], columns=["a", "b"], dtype="int64")
+
+    links = written(token_sets(docs, nodes, False).groupBy("block.c", "block.x", "block.y").applyInPandas(compare, "a long, b long"), where, "block_links")
+    forget(spark, where, "block_near", "block_slots", "block_nodes")
+    return links
+
+
+def starred(index: DataFrame, where: str) -> DataFrame:
+    """entry, key, n, key0, n0 of the index's sets (entry, salts, salt, key, n, rare) that aren't their entry's or salt's centre, which is key0."""
     me = F.struct("rare", "n", "key")
-    star = index.withColumn("least", F.min(me).over(W.partitionBy("entry"))).filter(me != F.col("least")).select("entry", "key", "n", F.col("least.key").alias("key0"), F.col("least.n").alias("n0"))
-    met = written(star.distinct(), where, "met")
-    of = reps.select("key", F.col("n").cast("int").alias("n"), "id")
-    of0 = reps.select(F.col("key").alias("key0"), F.col("n").cast("int").alias("n0"), F.col("id").alias("id0"))
-    met = written(met.join(of, ["key", "n"]).join(of0, ["key0", "n0"]).select("entry", "id", "n", "id0", "n0"), where, "met_ids")
+    least = F.min(me).over(W.partitionBy("entry", "salt"))  # a salt has a bounded number of sets
+    held = written(index.withColumn("least", least).filter((me != F.col("least")) | (F.col("salts") > 1)).select("entry", "key", "n", "rare", "least").distinct(), where, "starred")
+    centres = held.filter(me == F.col("least")).select("entry", "key", "n", "rare")
+    tops = centres.groupBy("entry").agg(F.min(me).alias("least"))
+    of = lambda df: df.filter(me != F.col("least")).select("entry", "key", "n", F.col("least.key").alias("key0"), F.col("least.n").alias("n0"))
+    return of(held).union(of(centres.join(tops, "entry")))
+
+
+def labelled(members: DataFrame, links: DataFrame, where: str, name: str) -> DataFrame:
+    """members (entry, key, n) with c, their component by the links."""
+    label = components(links, f"{where}/{name}").select(F.col("node").alias("key"), F.col("component").alias("of"))
+    return members.join(label, "key", "left").select("entry", "key", "n", F.coalesce("of", "key").alias("c"))
+
+
+def classes_of(docs: DataFrame, where: str) -> DataFrame:
+    """doc_id, text_key, key, n, component of each document; component is the smallest doc_id that links reach."""
+    spark = docs.sparkSession
     near = lambda n, m: 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
-    pairs = written(met.filter(near(F.col("n"), F.col("n0"))).select(F.col("id0").alias("a"), F.col("id").alias("b")).distinct(), where, "pairs1")
+    scan = written(scanned(docs), where, "scan")
+    members = scan.filter("n is not null").select("doc_id", "text_key", "key", "n")
+    reps = written(scan.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"), F.max("hist").alias("hist")).filter("id is not null"), where, "classes")
+    known = reps.select("key")
+    met = written(starred(indexed(docs, *order_classes(scan)), where).join(known, "key", "left_semi").join(known.withColumnRenamed("key", "key0"), "key0", "left_semi"), where, "met")
+    pairs = written(met.filter(near(F.col("n"), F.col("n0"))).select(F.col("key0").alias("a"), F.col("key").alias("b")).distinct(), where, "pairs1")
     links = compared(written(possible(pairs, reps), where, "possible1"), reps, docs, where, "first", False)
-    label = components(links, f"{where}/first")
-    inside = met.select("entry", "id", "n").union(met.select("entry", F.col("id0").alias("id"), F.col("n0").alias("n"))).distinct()
-    placed = written(inside.join(label.select(F.col("node").alias("id"), "component"), "id", "left").select("entry", "id", "n", F.coalesce("component", "id").alias("c")), where, "placed")
-    open_ = placed.join(placed.groupBy("entry").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("entry"), "entry")
-    x, y = open_.alias("x"), open_.alias("y")
-    meet = (F.col("x.entry") == F.col("y.entry")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & near(F.col("x.n"), F.col("y.n"))
-    rest = x.join(y, meet).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    inside = met.select("entry", "key", "n").union(met.select("entry", F.col("key0").alias("key"), F.col("n0").alias("n"))).distinct()
+    placed = written(labelled(inside, links, where, "label1"), where, "placed")
+    forget(spark, where, "starred", "met", "possible1", "label1")
+    sizes = placed.groupBy("entry").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("m")).filter("c0 <> c1").select("entry", "m")
+    open_ = written(placed.join(sizes, "entry"), where, "open")
+    many = open_.filter(F.col("m") > PAIRED).drop("m")
+    few = open_.filter(F.col("m") <= PAIRED).select("entry", "key", "n")
+    if not many.isEmpty():
+        links = links.union(block_compared(many, reps, docs, where))
+    listed = labelled(few, links, where, "label2").groupBy("entry").agg(F.array_sort(F.collect_list(F.struct("key", "n", "c"))).alias("s"))  # at most PAIRED
+    partners = lambda x: F.transform(F.filter("s", lambda y: (x["key"] < y["key"]) & (x["c"] != y["c"]) & near(x["n"], y["n"])), lambda y: F.struct(x["key"].alias("a"), y["key"].alias("b")))
+    rest = listed.select(F.inline(F.flatten(F.transform("s", partners)))).distinct()
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs2 = written(rest.join(done, ["a", "b"], "left_anti"), where, "pairs2")
-    may = compared(written(possible(pairs2, reps), where, "possible2"), reps, docs, where, "fine", True)
-    label = components(links.union(compared(may, reps, docs, where, "second", False)), f"{where}/all")
-    found = reps.join(label.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "n", F.coalesce("component", "id").alias("component"))
-    return members.join(found, ["key", "n"], "left").select("doc_id", "key", "n", F.coalesce("component", "doc_id").alias("component"))
+    pairs2 = written(possible(rest.join(done, ["a", "b"], "left_anti"), reps), where, "pairs2")
+    forget(spark, where, "placed", "open", "label2")
+    links = links.union(compared(compared(pairs2, reps, docs, where, "fine", True), reps, docs, where, "second", False))
+    label = components(links, f"{where}/all").select(F.col("node").alias("key"), F.col("component").alias("c"))
+    named = reps.join(label, "key", "left").select("key", "id", F.coalesce("c", "key").alias("c"))
+    found = written(named.join(named.groupBy("c").agg(F.min("id").alias("component")), "c").select("key", "component"), where, "found")
+    forget(spark, where, "all", "pairs1", "pairs2", "classes", "first_links", "fine_links", "second_links", "block_links")
+    return members.join(found, "key", "left").select("doc_id", "text_key", "key", "n", F.coalesce("component", F.when(F.col("n") == 0, F.col("doc_id"))).alias("component"))
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -330,13 +441,21 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component; rows without doc_id stay if their component has none."""
+    """One document of each component: that with its smallest doc_id, of several texts under this id the one of least hash, of repeated rows one. Rows
+    without words, and those without doc_id whose component has none, stay."""
     prepare(spark)
     where = shared_dir(spark)
-    members = written(classes_of(docs.select("doc_id", "text"), where), where, "members")
-    gone = written(members.filter("doc_id <> component or doc_id is null and component is not null").select("doc_id", F.col("component").alias("_op7_component")).distinct(), where, "gone")
-    key = F.col("_op7_id")
-    out = docs.join(small_side(gone.filter("doc_id is not null").select(F.col("doc_id").alias("_op7_id"))), docs["doc_id"] == key, "left_anti")
-    if members.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty():
+    rows = written(classes_of(docs.select("doc_id", "text"), where).filter("n > 0 and component is not null"), where, "members")
+    me = F.struct("key", "text_key")
+    first = rows.filter("doc_id = component")
+    clash = written(first.groupBy("doc_id").agg(F.min(me).alias("least"), F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1), where, "clash")
+    clashing = first.join(clash, "doc_id")
+    gone = rows.filter("doc_id is null or doc_id <> component").select("doc_id", "text_key").union(clashing.filter(me != F.col("least")).select("doc_id", "text_key")).distinct()
+    id_, key = unused(docs, "id", "key")
+    this = docs["doc_id"].eqNullSafe(F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(key))
+    out = docs.join(written(gone, where, "gone").toDF(id_, key), this, "left_anti")
+    if clash.isEmpty():
         return out
-    return out.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.filter("doc_id is null"))
+    twice = written(clashing.filter(me == F.col("least")).groupBy("doc_id", "text_key").count().filter(F.col("count") > 1).select("doc_id", "text_key"), where, "twice").toDF(id_, key)
+    this = out["doc_id"].eqNullSafe(F.col(id_)) & (F.xxhash64(out["text"]) == F.col(key))
+    return out.join(twice, this, "left_anti").unionByName(out.join(twice, this, "left_semi").dropDuplicates(["doc_id", "text"]))
