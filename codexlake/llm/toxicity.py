@@ -3,12 +3,15 @@
 A text becomes a string of word classes: insult (words or word beginnings that labelled training texts show to be marks of toxic texts), threat, target
 (second person), negation, reported speech, clause end, other. Three transducers read it in composition: reported speech turns the insults
 and threats after a verb of saying into quoted ones, negation turns those within NEAR words after it into denied ones, and target joins one with a
-second person up to NEAR words before or after it. What comes out, counted by clause, are a text's features; a logistic regression on the
-training texts weighs the kinds of clause, so lone words, denied and quoted ones get weights of their own. Features are counts of matched clauses and so don't depend on a
-text's language, source or id.
+second person up to NEAR words before or after it. An arc that reads an insult has the weight of its mark, the shrunk log odds of the texts with it. What comes out,
+clauses and weights by kind, are a text's features; a logistic regression on the training texts weighs the kinds of clause, so lone words, denied and quoted
+ones get weights of their own. Features don't depend on a text's language, source or id.
 
-Learned from at most about SAMPLE labelled texts, chosen by the hash of their ids. Null and empty texts have no clause and get the score of the bias. Rows with equal
-ids are scored each by its text; labels of null doc_id or null toxic are not learned from. Without any label nothing is toxic.
+The classes start from short lists and are extended by what the training texts show: a word near which marks are toxic less often than elsewhere denies (up to NEAR words
+before) or reports (further before, in the clause), one near which they are more often aims, and one near which a second person is toxic without any mark threatens.
+
+Learned from at most about SAMPLE labelled texts, chosen by the hash of their ids, which bounds the marks (each is in 4 of them or more). Null and empty texts have no
+clause and get the score of the bias. Rows with equal ids are scored each by its text; labels of null doc_id or null toxic are not learned from. Without any label nothing is toxic.
 """
 
 from __future__ import annotations
@@ -17,10 +20,11 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codexlake.llm.common import prepare, shared_dir, small_side, table, text_or_empty, written
@@ -29,10 +33,10 @@ from codexlake.llm.language import fold
 SAMPLE, FOLDS, HELD_FOLD = 40_000, 5, 0
 STEMS = (4, 5, 6, 8)
 NEAR = 4
-#: A mark's likelihood ratio statistic, and the least part of the texts with it that are toxic.
-LEAST_RATIO, LEAST_PART = 25.0, 0.6
-#: Kept marks at most; beyond, those with the largest statistic, which is a bound on the grammar and not on texts.
-MARKS = 20_000
+#: A mark's likelihood ratio statistic, the least part of the texts with it that are toxic, and the texts by which its log odds are shrunk.
+LEAST_RATIO, LEAST_PART, SHRUNK = 15.0, 0.5, 4.0
+#: The statistic of a word that changes what is near it.
+CONTEXT_RATIO = 25.0
 
 WORD = re.compile(r"[^\W\d_]+|[.!?;:\n]")
 END = set(".!?;:\n")
@@ -116,45 +120,64 @@ ARCS, _ = GRAMMAR.table(SYMBOLS)
 EFFECT = {"I": {"plain": 1}, "T": {"threat": 1}, "d": {"denied": 1}, "q": {"quoted": 1}, "A": {"aimed": 1}, "B": {"threat aimed": 1}, "a": {"plain": -1, "aimed": 1}, "b": {"threat": -1, "threat aimed": 1}}
 
 
-def clause_counts(classes: str) -> list[int]:
-    """For each of KINDS, the clauses that hold it; then the matched clauses. A clause's end leads back to the first state, so clauses without an insult
-    or threat, which write nothing that counts, aren't read."""
-    total = [0] * (len(KINDS) + 1)
-    for part in classes.split(END_MARK):
-        if INSULT_MARK not in part and THREAT_MARK not in part:
-            continue
-        state = 0
-        clause: Counter = Counter()
-        for x in part:
-            state, out = ARCS[state, x]
-            if out in EFFECT:
-                clause.update(EFFECT[out])
-        found = [k for k in KINDS if clause[k] > 0]
-        for k in found:
-            total[KINDS.index(k)] += 1
-        total[-1] += bool(found)
-    return total
+@dataclass(frozen=True)
+class Grammar:
+    """What is learned: weights of marks, and words by class besides the lists."""
+
+    marks: dict[str, float] = field(default_factory=dict)
+    classes: dict[str, str] = field(default_factory=dict)
+
+
+NO_MATCH = [0.0] * (2 * len(KINDS) + 2)
+
+
+def clause_counts(classes: str, weights: list[float]) -> list[float]:
+    """For each of KINDS, the clauses that hold it and the weight of its marks; then the matched clauses, and their part of all. A clause's end leads back to the first
+    state, so clauses without an insult or threat, which write nothing that counts, aren't read. weights: of the classes' words."""
+    clauses, weight = Counter(), Counter()
+    matched, begin, n = 0, 0, 1
+    while begin <= len(classes):
+        end = classes.find(END_MARK, begin)
+        end = len(classes) if end < 0 else end
+        n += end < len(classes)
+        part = classes[begin:end]
+        if INSULT_MARK in part or THREAT_MARK in part:
+            state, open_ = 0, 0.0
+            clause: Counter = Counter()
+            for k, x in enumerate(part):
+                state, out = ARCS[state, x]
+                if x in (INSULT_MARK, THREAT_MARK):
+                    open_ = weights[begin + k]
+                for kind, sign in EFFECT.get(out, {}).items():
+                    clause[kind] += sign
+                    weight[kind] += sign * open_
+            found = [k for k in KINDS if clause[k] > 0]
+            clauses.update(found)
+            matched += bool(found)
+        begin = end + 1
+    return [*(math.log1p(clauses[k]) for k in KINDS), *(math.log1p(max(0.0, weight[k])) for k in KINDS), math.log1p(matched), matched / n]
 
 
 class Lexicon:
-    """Word classes, with a bounded cache."""
+    """Word classes and weights, with a bounded cache."""
 
-    def __init__(self, marks: frozenset[str]) -> None:
-        self.marks = marks
+    def __init__(self, grammar: Grammar) -> None:
+        self.grammar = grammar
         self._held: dict[str, str] = {x: END_MARK for x in END}
 
+    def weight(self, word: str) -> float:
+        return max((self.grammar.marks.get(s, 0.0) for s in stems(word)), default=0.0)
+
     def of(self, word: str) -> str:
-        if word in TARGET:
-            return TARGET_MARK
-        if word in NEGATION:
-            return NEGATION_MARK
-        if word in REPORT:
-            return REPORT_MARK
-        if word in THREAT:
-            return THREAT_MARK
-        return INSULT_MARK if any(s in self.marks for s in stems(word)) else OTHER
-
-    def classes(self, text: str) -> str:
+        for known, mark in ((TARGET, TARGET_MARK), (NEGATION, NEGATION_MARK), (REPORT, REPORT_MARK), (THREAT, THREAT_MARK)):
+            if word in known:
+                return mark
+        if self.weight(word):
+            return INSULT_MARK
+        return self.grammar.classes.get(word, OTHER)
+
+    def read(self, text: str) -> tuple[list[str], str]:
+        """The words of a text, clause ends among them, and their classes."""
         held = self._held
         words = WORD.findall(text.lower())
         missing = [w for w in set(words) if w not in held]
@@ -162,29 +185,30 @@ class Lexicon:
             self._held = held = {x: END_MARK for x in END}
             missing = set(words) - END
         held.update((w, self.of(w)) for w in missing)
-        return "".join(map(held.__getitem__, words))
+        return words, "".join(map(held.__getitem__, words))
 
 
 def stems(word: str) -> list[str]:
     return ["=" + word, *(word[:k] for k in STEMS if len(word) >= k)]
 
 
-def features(classes: str) -> list[float]:
-    """The regression's inputs: 1, and log counts of clauses of each kind and of any, and their part of all clauses."""
+def features(text: str, lexicon: Lexicon) -> list[float]:
+    """The regression's inputs: 1 and clause_counts."""
+    words, classes = lexicon.read(text)
     if INSULT_MARK not in classes and THREAT_MARK not in classes:
-        return [1.0] + [0.0] * (len(KINDS) + 2)
-    n = clause_counts(classes)
-    return [1.0, *(math.log1p(x) for x in n), n[-1] / (classes.count(END_MARK) + 1)]
+        return [1.0, *NO_MATCH]
+    weights = [lexicon.weight(w) if c == INSULT_MARK else float(c == THREAT_MARK) for w, c in zip(words, classes, strict=True)]
+    return [1.0, *clause_counts(classes, weights)]
 
 
-def learned_marks(sample: DataFrame) -> frozenset[str]:
-    """Words and word beginnings that mark toxic texts; sample: text, toxic."""
+def counts_of(sample: DataFrame, keys) -> DataFrame:
+    """stem, a, b: the clean and the toxic texts of sample (text, toxic) that have each of keys(text), a set."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[int]] = {}
         for b in batches:
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for s in {s for w in set(WORD.findall(text.lower())) - END for s in stems(w)}:
+                for s in keys(text):
                     held.setdefault(s, [0, 0])[toxic] += 1
             if len(held) > 200_000:
                 yield _counted(held)
@@ -192,15 +216,77 @@ def learned_marks(sample: DataFrame) -> frozenset[str]:
         if held:
             yield _counted(held)
 
+    return sample.select("text", "toxic").mapInArrow(count, "stem string, clean long, bad long").groupBy("stem").agg(F.sum("clean").alias("a"), F.sum("bad").alias("b"))
+
+
+def _ratio(part: Column | float) -> Column:
+    """The likelihood ratio statistic of a and b against a toxic part."""
+    of, part = F.col("a") + F.col("b"), F.lit(part) if isinstance(part, float) else part
+    term = lambda n, p: F.when(n > 0, n * F.log(n / (of * p))).otherwise(0.0)
+    return 2 * (term(F.col("b"), part) + term(F.col("a"), 1 - part))
+
+
+def learned_marks(sample: DataFrame) -> dict[str, float]:
+    """Words and word beginnings that mark toxic texts, with weights; sample: text, toxic."""
     n, toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not toxic or toxic == n:
-        return frozenset()
+        return {}
     part = toxic / n
-    by_stem = sample.select("text", "toxic").mapInArrow(count, "stem string, clean long, bad long").groupBy("stem").agg(F.sum("clean").alias("a"), F.sum("bad").alias("b")).filter("b >= 4")
-    of = F.col("a") + F.col("b")
-    seen = F.col("b") * F.log(F.col("b") / (of * part)) + F.when(F.col("a") > 0, F.col("a") * F.log(F.col("a") / (of * (1 - part)))).otherwise(0.0)
-    kept = by_stem.withColumn("ratio", 2 * seen).filter((F.col("ratio") >= LEAST_RATIO) & (F.col("b") >= LEAST_PART * of))
-    return frozenset(r["stem"] for r in kept.orderBy(F.desc("ratio"), "stem").limit(MARKS).collect())
+    keys = lambda text: {s for w in set(WORD.findall(text.lower())) - END for s in stems(w)}
+    kept = counts_of(sample, keys).filter("b >= 4").withColumn("ratio", _ratio(part)).filter((F.col("ratio") >= LEAST_RATIO) & (F.col("b") >= LEAST_PART * (F.col("a") + F.col("b"))))
+    odds = F.log((F.col("b") + SHRUNK * part) / (F.col("a") + SHRUNK * (1 - part))) - math.log(part / (1 - part))
+    return {r["stem"]: r["odds"] for r in kept.select("stem", odds.alias("odds")).collect() if r["odds"] > 0}  # bounded by the sample
+
+
+#: What is counted for learned classes: a letter and a word; the letter alone for all texts that it is counted in.
+DENIES, REPORTS, AIMS, THREATENS = "N", "R", "Y", "T"
+
+
+def context_keys(text: str, lexicon: Lexicon) -> set[str]:
+    """The words near marks, or near a second person in texts without marks, by the class that they may belong to."""
+    words, classes = lexicon.read(text)
+    out = set()
+    if INSULT_MARK in classes:
+        out |= {DENIES, REPORTS, AIMS}
+        for k, x in enumerate(classes):
+            if x != INSULT_MARK:
+                continue
+            begin, end = classes.rfind(END_MARK, 0, k) + 1, classes.find(END_MARK, k)
+            end = len(words) if end < 0 else end
+            out.update(DENIES + words[i] for i in range(max(begin, k - NEAR), k) if classes[i] == OTHER)
+            out.update(REPORTS + words[i] for i in range(begin, max(begin, k - NEAR)) if classes[i] == OTHER)
+            out.update(AIMS + words[i] for i in range(max(begin, k - NEAR), min(end, k + NEAR + 1)) if classes[i] == OTHER)
+    elif TARGET_MARK in classes:
+        out.add(THREATENS)
+        for k, x in enumerate(classes):
+            if x == TARGET_MARK:
+                out.update(THREATENS + words[i] for i in range(max(0, k - NEAR), min(len(words), k + NEAR + 1)) if classes[i] == OTHER)
+    return out
+
+
+def learned_classes(sample: DataFrame, marks: dict[str, float]) -> dict[str, str]:
+    """Words that change what marks or second persons near them mean, with their classes."""
+    spark = sample.sparkSession
+    shared = spark.sparkContext.broadcast(marks)
+    held: list[Lexicon] = []
+
+    def keys(text: str) -> set[str]:
+        lexicon = held[0] if held else held.append(Lexicon(Grammar(shared.value))) or held[0]
+        return context_keys(text, lexicon)
+
+    counts = written(counts_of(sample, keys), shared_dir(spark), "contexts")
+    base = {r["stem"]: (r["a"], r["b"]) for r in counts.filter(F.length("stem") == 1).collect()}
+    found: dict[str, tuple[float, str]] = {}
+    for letter, sign, mark in ((DENIES, -1, NEGATION_MARK), (REPORTS, -1, REPORT_MARK), (AIMS, 1, TARGET_MARK), (THREATENS, 1, THREAT_MARK)):
+        a, b = base.get(letter, (0, 0))
+        if not a or not b:
+            continue
+        part = b / (a + b)
+        away = sign * (F.col("b") - part * (F.col("a") + F.col("b")))
+        words = counts.filter((F.length("stem") > 1) & F.col("stem").startswith(letter) & (away > 0)).withColumn("ratio", _ratio(part)).filter(F.col("ratio") >= CONTEXT_RATIO)
+        for r in words.collect():  # bounded by the sample
+            found[r["stem"][1:]] = max(found.get(r["stem"][1:], (0.0, "")), (r["ratio"], mark))
+    return {w: mark for w, (_, mark) in found.items()}
 
 
 def _counted(held: dict[str, list[int]]) -> pa.RecordBatch:
@@ -222,37 +308,38 @@ def regression(x: np.ndarray, y: np.ndarray, strength: float = 1.0, steps: int =
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[frozenset[str], list[float]]:
-    """Marks and weights from docs (doc_id, text) with labels (doc_id, toxic), those of HELD_FOLD excepted."""
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[Grammar, list[float]]:
+    """Grammar and weights from docs (doc_id, text) with labels (doc_id, toxic), those of HELD_FOLD excepted."""
     where = shared_dir(docs.sparkSession)
     usable = labels.filter((fold(FOLDS) != HELD_FOLD) & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     part = min(1.0, SAMPLE / max(1, usable.count()))
     chosen = written(usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < part * (1 << 20)), where, "labels")
     sample = written(docs.select("doc_id", text_or_empty().alias("text")).join(small_side(chosen), "doc_id").select("text", "toxic"), where, "sample")
     marks = learned_marks(sample)
+    grammar = Grammar(marks, learned_classes(sample, marks))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(marks)
+        lexicon = Lexicon(grammar)
         for b in batches:
-            x = [features(lexicon.classes(t)) for t in b.column(0).to_pylist()]
+            x = [features(t, lexicon) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1)], names=["x", "toxic"])
 
     held = sample.mapInArrow(rows, "x array<double>, toxic int").groupBy("x", "toxic").count().toPandas()  # bounded by the sample
     if held.empty:
-        return marks, [-10.0] + [0.0] * (len(KINDS) + 2)
+        return grammar, [-10.0, *NO_MATCH]
     x = np.repeat(np.array(held["x"].tolist()), held["count"].to_numpy(), axis=0)
-    return marks, regression(x, np.repeat(held["toxic"].to_numpy(float), held["count"].to_numpy())).tolist()
+    return grammar, regression(x, np.repeat(held["toxic"].to_numpy(float), held["count"].to_numpy())).tolist()
 
 
-def score(docs: DataFrame, marks: frozenset[str], weights: list[float]) -> DataFrame:
+def score(docs: DataFrame, grammar: Grammar, weights: list[float]) -> DataFrame:
     """doc_id, score for docs (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast((marks, weights))  # at most MARKS words
+    shared = docs.sparkSession.sparkContext.broadcast((grammar, weights))  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, w = shared.value
-        lexicon = Lexicon(words)
+        known, w = shared.value
+        lexicon = Lexicon(known)
         for b in batches:
-            z = [sum(a * c for a, c in zip(features(lexicon.classes(t)), w, strict=True)) for t in b.column(1).to_pylist()]
+            z = [sum(a * c for a, c in zip(features(t, lexicon), w, strict=True)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([1 / (1 + math.exp(-max(-30.0, min(30.0, v)))) for v in z])], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, score double")
@@ -269,15 +356,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without the toxic ones; every column stays as it is."""
     prepare(spark)
-    marks, weights = fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
-    shared = spark.sparkContext.broadcast((marks, weights))
+    shared = spark.sparkContext.broadcast(fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic")))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, w = shared.value
-        lexicon = Lexicon(words)
+        grammar, w = shared.value
+        lexicon = Lexicon(grammar)
         for b in batches:
-            z = [sum(a * c for a, c in zip(features(lexicon.classes(t or "")), w, strict=True)) for t in b.column(at).to_pylist()]
+            z = [sum(a * c for a, c in zip(features(t or "", lexicon), w, strict=True)) for t in b.column(at).to_pylist()]
             yield b.filter(pa.array([v < 0 for v in z], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
