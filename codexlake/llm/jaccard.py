@@ -38,8 +38,8 @@ from codexlake.llm.common import forget, prepare, shared_dir, small_side, table,
 from codexlake.llm.components import components
 
 SHINGLE, PERCENT = 5, 80
-#: The sketch: rows, counters a row (a power of two), counters in a piece of it; shingles of FREQUENT documents or more, by its estimate, are frequent.
-SKETCH_ROWS, SKETCH_BITS, PIECE_BITS, FREQUENT = 2, 20, 14, 64
+#: The sketch: its counters and those in a piece of it, as powers of two; shingles of FREQUENT documents or more, by its estimate, are frequent.
+SKETCH_BITS, PIECE_BITS, FREQUENT = 24, 16, 64
 STEP, PART = 1.2501, 4
 #: Buckets by hash of a set's histogram, whose sums of minima bound intersections from above.
 BUCKETS = 128
@@ -109,8 +109,9 @@ def histogram(s: np.ndarray) -> np.ndarray | None:
     return counts.astype(np.int16) if len(s) and counts.max() < 1 << 15 else None
 
 
-def cells(s: np.ndarray) -> list[np.ndarray]:
-    return [((s >> np.uint64(k * 21)) & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64) for k in range(SKETCH_ROWS)]
+def cells(s: np.ndarray) -> np.ndarray:
+    """A set's counters."""
+    return (s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)
 
 
 def needed(n: int) -> int:
@@ -159,52 +160,52 @@ def scanned(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, key, n, hist of each document; besides, rows with n null, piece and counts: parts of a sketch, to be added up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, rows = np.zeros((SKETCH_ROWS, 1 << SKETCH_BITS), dtype=np.uint32), 0
+        sketch, rows = np.zeros(1 << SKETCH_BITS, dtype=np.uint32), 0
         for b in batches:
             sets = [shingle_set(x) for x in b.column(2).to_pylist()]
-            joined = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
-            for k in range(0, len(joined), 1 << 22):
-                for row, at in zip(sketch, cells(joined[k : k + (1 << 22)]), strict=True):
-                    row += np.bincount(at, minlength=1 << SKETCH_BITS).astype(np.uint32)
+            for s in sets:
+                np.add.at(sketch, cells(s), np.uint32(1))
             rows += len(sets)
             n = len(sets)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([histogram(s) for s in sets], pa.list_(pa.int16())), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=names)
         if rows:
-            pieces = sketch.reshape(-1, 1 << PIECE_BITS)
-            for k, piece in enumerate(pieces):
+            for k, piece in enumerate(sketch.reshape(-1, 1 << PIECE_BITS)):
                 if piece.any():
-                    yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.nulls(1, pa.list_(pa.int16())), pa.array([k], pa.int64()), pa.array([piece.astype("<u4").tobytes()], pa.binary())], names=names)
+                    yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.nulls(1, pa.list_(pa.int16())), pa.array([k], pa.int64()), pa.array([np.minimum(piece, 255).astype(np.uint8).tobytes()], pa.binary())], names=names)
 
     names = ["doc_id", "text_key", "key", "n", "hist", "piece", "counts"]
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, text_key long, key long, n long, hist array<smallint>, piece long, counts binary")
 
 
 def order_classes(scan: DataFrame) -> tuple[np.ndarray, int]:
-    """The sketch as classes (bytes; SKETCH_ROWS x 2**SKETCH_BITS), and from which class on shingles are frequent."""
+    """The class of each counter in the order (bytes), and from which class on shingles are frequent. A task's part counts to 255, far above FREQUENT."""
+    load = (scan.agg(F.sum("n")).first()[0] or 0) / (1 << SKETCH_BITS)
+    noise = 4 + 4 * math.sqrt(load)
+    level = lambda x: np.where(x < noise, 0, 1 + np.log2(np.maximum(x, 1))).astype(np.uint8)
 
     def added(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(1 << PIECE_BITS, dtype=np.uint64)
         for x in pdf["counts"]:
-            total += np.frombuffer(x, dtype="<u8" if len(x) == 8 << PIECE_BITS else "<u4")
+            total += np.frombuffer(x, dtype=np.uint8 if len(x) == 1 << PIECE_BITS else "<u8")
         return pd.DataFrame({"piece": [pdf["piece"].iloc[0]], "counts": [total.astype("<u8").tobytes()]})
 
-    counts = np.zeros((SKETCH_ROWS << SKETCH_BITS) >> PIECE_BITS << PIECE_BITS, dtype=np.uint64).reshape(-1, 1 << PIECE_BITS)
+    def levels(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = added(pdf)
+        beyond = np.frombuffer(out["counts"][0], dtype="<u8").astype(float) - load
+        return out.assign(counts=[level(np.maximum(0, beyond)).tobytes()])
+
+    classes = np.zeros(1 << SKETCH_BITS, dtype=np.uint8).reshape(-1, 1 << PIECE_BITS)
     parts = scan.filter("n is null and piece is not null").select("piece", "counts", F.pmod(F.xxhash64("counts"), F.lit(8)).alias("salt"))
     half = parts.groupBy("piece", "salt").applyInPandas(added, "piece long, counts binary")
-    for r in half.groupBy("piece").applyInPandas(added, "piece long, counts binary").toLocalIterator():  # a fixed number of pieces
-        counts[r["piece"]] += np.frombuffer(r["counts"], dtype="<u8")
-    counts = counts.reshape(SKETCH_ROWS, -1)
-    load = counts.mean()
-    beyond = np.maximum(0, counts.astype(float) - load)
-    noise = 4 + 4 * math.sqrt(load)
-    level = lambda x: np.where(x < noise, 0, 1 + np.log2(np.maximum(x, 1))).astype(np.uint8)
-    return level(beyond), int(level(np.array([max(FREQUENT, noise)]))[0])
+    for r in half.groupBy("piece").applyInPandas(levels, "piece long, counts binary").toLocalIterator():  # 2**SKETCH_BITS bytes in all
+        classes[r["piece"]] = np.frombuffer(r["counts"], dtype=np.uint8)
+    return classes.reshape(-1), int(level(np.array([max(FREQUENT, noise)]))[0])
 
 
 def indexed(docs: DataFrame, classes: np.ndarray, frequent: int) -> DataFrame:
     """entry, salts, salt, key, n, rare: the index, for each set at least once; salts: how many its entry is dealt to, salt: the set's; rare: how many in a
     thousand of the set's shingles are."""
-    shared = docs.sparkSession.sparkContext.broadcast((classes, frequent))  # SKETCH_ROWS * 2**SKETCH_BITS bytes
+    shared = docs.sparkSession.sparkContext.broadcast((classes, frequent))  # 2**SKETCH_BITS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, often = shared.value
@@ -218,7 +219,7 @@ def indexed(docs: DataFrame, classes: np.ndarray, frequent: int) -> DataFrame:
                     continue
                 if len(seen) < SEEN:
                     seen.add(key)
-                levels = np.min([row[at] for row, at in zip(of, cells(s), strict=True)], axis=0)
+                levels = of[cells(s)]
                 e, level = entries(s, levels, often)
                 salts = np.minimum(1 << 14, np.ceil(np.exp2(level.astype(float)) / SALTED)).astype(np.int16)
                 rare = 1000 * np.count_nonzero(levels < often) // len(s)
