@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -33,7 +34,9 @@ def written(df: DataFrame, where: str, name: str) -> DataFrame:
 
 
 def forget(spark: SparkSession, where: str, *names: str) -> None:
-    """Remove written tables that nothing reads any more."""
+    """Remove written tables that nothing reads any more, and let the driver collect what it holds of the jobs behind them: only then are their shuffle files removed."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     jvm = spark.sparkContext._jvm
     for name in names:
         path = jvm.org.apache.hadoop.fs.Path(f"{where}/{name}")

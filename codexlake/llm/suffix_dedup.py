@@ -7,8 +7,8 @@ never all in one place:
 1. Each start of a LEAST-byte string belongs to its anchor, the K-gram of least hash inside it. Equal strings have equal anchors, so suffixes that can share
    LEAST bytes meet under one anchor's hash. The starts of an anchor's occurrence are a block, its bytes (LENGTH from the last start on) the block's context.
 2. Anchors that occur once are dropped by an aggregate. Of the rest, equal contexts are represented once, with their number.
-3. The contexts under an anchor are joined and their suffixes put in order by prefix tripling on ranks, from which the longest common prefix of any two follows. In
-   that order the previous and next places with smaller text positions give each start's longest previous factor; those with larger ones its longest later factor.
+3. Under an anchor, starts at one distance before it are put in suffix order: by the bytes up to the anchor, then by those from it on. In that order
+   the previous and next places with smaller text positions give each start's longest previous factor; those with larger ones its longest later factor.
    Factors of LEAST and of LENGTH give passages and spans.
 4. An anchor with more than HOT different contexts is extended: its blocks are split by the distance of a start from the anchor into ranges of RANGE, and keyed by
    all bytes that the strings of a range share. What is still as frequent then is extended to the whole string, which is one start; equal keys are equal
@@ -34,7 +34,7 @@ LENGTH, LEAST, K = 400, 256, 64
 #: A passage counts if it has more words than this.
 PASSAGE_WORDS = 50
 CHUNK = 1 << 18
-HOT, RANGE, JOINED = 2000, 24, 1 << 21
+HOT, RANGE = 2000, 24
 
 
 def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
@@ -72,112 +72,58 @@ def blocks_of(raw: bytes, least: int = LEAST, k: int = K, length: int = LENGTH)
                 lo = hi + 1
 
 
-def numbered(x: np.ndarray) -> np.ndarray:
-    """Each value's number among the distinct ones in order."""
-    by = np.argsort(x)
-    of = np.empty(len(x), dtype=np.int64)
-    y = x[by]
-    of[by] = np.cumsum(np.concatenate([[0], (y[1:] != y[:-1])]))
-    return of
-
-
-class SuffixOrder:
-    """The order of the suffixes of joined byte strings (contexts), each compared up to its context's end and to ``length`` bytes."""
-
-    def __init__(self, joined: np.ndarray, sizes: list[int], length: int) -> None:
-        self.length, self.bytes = length, joined
-        self.rest = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(joined))  # bytes to the context's end
-        self.levels: list[tuple[int, np.ndarray]] = []
-        n, packed, symbols = len(joined), np.zeros(len(joined), dtype=np.int64), joined.astype(np.int64)
-        for k in range(7):  # seven bytes at once, each plus 1
-            packed = packed * 512 + self._shifted(symbols, k)
-        rank, have = numbered(packed), 7
-        self.levels.append((have, rank))
-        while have * 3 <= length:
-            rank, have = numbered((rank * (n + 1) + self._shifted(rank, have)) * (n + 1) + self._shifted(rank, 2 * have)), have * 3  # under 2**63 for n < 2**21
-            self.levels.append((have, rank))
-
-    def _shifted(self, values: np.ndarray, by: int) -> np.ndarray:
-        """Of each place the value ``by`` places on, plus 1; 0 beyond the context's end."""
-        out = np.zeros(len(values), dtype=np.int64)
-        out[: max(0, len(values) - by)] = values[by:] + 1
-        out[self.rest <= by] = 0
+def common(a: bytes, b: bytes) -> int:
+    """The length of the longest common prefix."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return int((np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)).argmax())
+
+
+def reaches(order: list[int], near: list[int]) -> list[int]:
+    """For places in suffix order, given their positions in the text and the common prefix of each with the one before: the longest common prefix with the
+    previous or next place of smaller position; 0 if there is neither."""
+
+    def one_way(order: list[int], near: list[int]) -> list[int]:
+        out, stack = [], []  # positions that rise, each with its common prefix with the one below
+        for at, r in zip(order, near, strict=True):
+            while stack and stack[-1][0] > at:
+                r = min(r, stack.pop()[1])
+            out.append(r if stack else 0)
+            stack.append((at, r))
         return out
 
-    def ranks(self, starts: np.ndarray) -> np.ndarray:
-        """Ranks of the suffixes at starts; equal ones have equal ``length`` bytes, or less up to both ends."""
-        have, rank = self.levels[-1]
-        key, covered = rank[starts], have
-        while covered < self.length:
-            more = min(have, self.length - covered)
-            at = covered - (have - more)
-            key = numbered(key) * (len(rank) + 1) + self._shifted(rank, at)[starts]
-            covered += more
-        return numbered(key)
-
-    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The longest common prefixes of suffixes a and b, of ``length`` at most."""
-        at, live = np.zeros(len(a), dtype=np.int64), np.ones(len(a), dtype=bool)
-        most = np.minimum(np.minimum(self.rest[a], self.rest[b]), self.length)
-        for have, rank in reversed(self.levels):
-            for _ in range(3):
-                live = at < most
-                x, y = (a + at)[live], (b + at)[live]
-                same = rank[x] == rank[y]
-                at[np.flatnonzero(live)[same]] += have
-        for _ in range(6):
-            live = np.flatnonzero(at < most)
-            x, y = (a + at)[live], (b + at)[live]
-            at[live[self.bytes[x] == self.bytes[y]]] += 1
-        return np.minimum(at, most)
-
-
-def previous_smaller(x: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """For each place the nearest before it with a smaller value, not before begin; -1 if there is none. Places between a place and its pointer are always larger, so
-    pointers may jump along pointers, all at once."""
-    p = np.arange(len(x)) - 1
-    p[p < begin] = -1
-    todo = np.flatnonzero(p >= 0)
-    while len(todo):
-        todo = todo[x[p[todo]] > x[todo]]
-        p[todo] = p[p[todo]]
-        todo = todo[p[todo] >= 0]
-    return p
-
-
-def factors(order: SuffixOrder, starts: np.ndarray, group: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """For starts, in text order within each group, the lengths of the longest previous and the longest later factor in the group; 0 for those under ``least``."""
-    by = np.lexsort((order.ranks(starts), group))
-    previous, later = np.zeros(len(starts), dtype=np.int64), np.zeros(len(starts), dtype=np.int64)
-    if len(by) < 2:
-        return previous, later
-    same = group[by[1:]] == group[by[:-1]]
-    near = np.zeros(len(by) - 1, dtype=np.int64)
-    near[same] = order.common(starts[by[:-1][same]], starts[by[1:][same]])
-    joined = near >= least  # a factor of ``least`` reaches neither over a smaller common prefix
-    inside = np.concatenate([joined, [False]]) | np.concatenate([[False], joined])
-    held = by[inside]
-    if len(held) == 0:
-        return previous, later
-    opens = np.concatenate([[True], ~joined])[inside]
-    run = np.cumsum(opens) - 1
-    begin = np.flatnonzero(opens)[run]
-    last = np.append(np.flatnonzero(opens)[1:], len(held))[run] - 1
-    mirrored = len(held) - 1 - last[::-1]
-    for out, x in ((previous, held), (later, -held)):
-        before = previous_smaller(x, begin)
-        after = previous_smaller(x[::-1], mirrored)[::-1]
-        after = np.where(after >= 0, len(held) - 1 - after, -1)
-        for to in (before, after):
-            at = np.flatnonzero(to >= 0)
-            out[held[at]] = np.maximum(out[held[at]], order.common(starts[held[at]], starts[held[to[at]]]))
-    return previous, later
-
-
-def spans_of(hit: np.ndarray, lo: int, length: int) -> list[tuple[int, int]]:
-    """Merged spans of the strings that start at lo plus the true places."""
-    edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
-    return [(lo + a, lo + b - 1 + length) for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True)]
+    return list(map(max, one_way(order, near), reversed(one_way(order[::-1], [0, *near[:0:-1]]))))
+
+
+def factor_runs(lefts: list[bytes], rights: list[bytes], least: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """The longest-previous-factor array, and the longest-later-factor one, of the starts at distances d = 0, 1, ... before each of an anchor's occurrences, in runs:
+    (occurrence, first d, last d, previous, later), where the longest earlier string that equals one at a start has d + previous bytes, the longest later one d + later.
+
+    rights: the bytes from the anchor on; lefts: those before it, the nearest first; occurrences stand in text order. Strings of ``least`` bytes at two starts are equal only
+    if the starts have one d. Those of a d with equal bytes up to the anchor stand together in suffix order, in the order of their rights; they stay the same for a run of d, so the
+    runs of all d are the nodes of the tree of common prefixes of lefts, and each needs its previous and next smaller positions once. Runs without a factor of ``least`` are left out."""
+    rank = [0] * len(rights)
+    for k, i in enumerate(sorted(range(len(rights)), key=rights.__getitem__)):
+        rank[i] = k
+    by_left = sorted(range(len(lefts)), key=lefts.__getitem__)
+    shared = [0, *(common(lefts[i], lefts[j]) for i, j in zip(by_left, by_left[1:], strict=False))]
+    todo = [(0, len(by_left), -1)]
+    while todo:
+        begin, end, above = todo.pop()
+        if end - begin < 2:
+            continue
+        depth = min(shared[begin + 1 : end])
+        cuts = [begin, *(k for k in range(begin + 1, end) if shared[k] == depth), end]
+        todo += [(i, j, depth) for i, j in zip(cuts, cuts[1:], strict=False)]
+        order = sorted(by_left[begin:end], key=rank.__getitem__)
+        near = [0, *(common(rights[i], rights[j]) for i, j in zip(order, order[1:], strict=False))]
+        if depth + max(near) < least:
+            continue
+        previous, later = reaches(order, near), reaches([-i for i in order], near)
+        for i, p, q in zip(order, previous, later, strict=True):
+            if depth + max(p, q) >= least:
+                yield i, above + 1, depth, p, q
 
 
 PLACE = "doc_id long, k1 long, lo int, hi int, anchor int"
@@ -227,39 +173,36 @@ def _contexts(docs: DataFrame, reps: DataFrame, where: str, name: str) -> DataFr
 def _ordered(contexts: DataFrame, keep: str) -> DataFrame:
     """SPAN of the repeated starts, by suffix order under each core."""
 
-    def solve(groups: list[list[tuple]]) -> Iterator[tuple]:
-        rows = [r for g in groups for r in g]
-        sizes = [len(r[-1]) for r in rows]
-        numbers = [r[5] - r[4] + 1 for r in rows]
-        order = SuffixOrder(np.frombuffer(b"".join(r[-1] for r in rows), dtype=np.uint8), sizes, LENGTH)
-        starts = np.concatenate([np.arange(b, b + n) for b, n in zip(np.cumsum([0, *sizes[:-1]]).tolist(), numbers, strict=True)])
-        previous, later = factors(order, starts, np.repeat(np.repeat(np.arange(len(groups)), [len(g) for g in groups]), numbers), LEAST)
-        reach = previous if keep == "first" else np.maximum(previous, later)
-        at = 0
-        for r, n in zip(rows, numbers, strict=True):
-            if r[1] == 1 or keep == "first":
-                for whole, length in ((False, LEAST), (True, LENGTH)):
-                    for a, b in spans_of(reach[at : at + n] >= length, r[4], length):
-                        yield r[2], r[3], a, b, whole
-            at += n
+    def solve(rows: list[tuple]) -> Iterator[tuple]:
+        if len(rows) < 2:
+            return
+        at = [r[6] - r[4] for r in rows]  # the anchor's place in the context
+        for i, near, far, previous, later in factor_runs([r[-1][:a][::-1] for r, a in zip(rows, at, strict=True)], [r[-1][a:] for r, a in zip(rows, at, strict=True)], LEAST):
+            _, c, doc_id, k1, lo, hi, anchor, _ = rows[i]
+            if keep == "none" and c > 1:
+                continue  # all of them are reported as equal contexts
+            reach = previous if keep == "first" else max(previous, later)
+            for whole, length in ((False, LEAST), (True, LENGTH)):
+                first, last = max(lo, anchor - far), min(hi, anchor - max(near, length - reach))
+                if first <= last:
+                    yield doc_id, k1, first, last + length, whole
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready: list[list[tuple]] = []
-        held, core = 0, None
+        ready: list[tuple] = []
+        out: list[tuple] = []
         for b in batches:
             for r in zip(*(b.column(i).to_pylist() for i in range(len(CONTEXTS))), strict=True):
-                if r[0] != core:
-                    if held > JOINED // 3:  # a core has at most HOT contexts, so all together stay under JOINED
-                        yield _batch(list(solve(ready)), SPANS)
-                        ready, held = [], 0
-                    ready.append([])
-                    core = r[0]
-                ready[-1].append(r)
-                held += len(r[-1])
-        if ready:
-            yield _batch(list(solve(ready)), SPANS)
+                if ready and r[0] != ready[0][0]:
+                    out += solve(ready)
+                    ready = []
+                ready.append(r)
+            if len(out) > 10_000:
+                yield _batch(out, SPANS)
+                out = []
+        out += solve(ready)
+        yield _batch(out, SPANS)
 
-    return contexts.repartition("core").sortWithinPartitions("core", "doc_id", "k1", "lo").mapInArrow(run, SPAN)
+    return contexts.repartition("core").sortWithinPartitions("core", "doc_id", "k1", "anchor", "lo").mapInArrow(run, SPAN)
 
 
 def _extended(contexts: DataFrame) -> DataFrame:
@@ -331,6 +274,7 @@ def spans(docs: DataFrame, where: str, keep: str = "first") -> DataFrame:
         often = written(longer.groupBy("core").count().filter(F.col("count") > HOT).select("core"), where, "often")
         parts = parts.union(_ordered(longer.join(small_side(often), "core", "left_anti"), keep)).union(_single(longer.join(small_side(often), "core", "left_semi"), keep))
     out = written(parts.groupBy("doc_id", "k1").agg(F.collect_list(F.struct("s", "e", "whole")).alias("spans")), where, "spans")
+    del blocks, twice, shared, contexts, per_core, full, reps, parts, hot
     forget(docs.sparkSession, where, "twice", "shared", "contexts", "cores", "reps", "lists", "hot_lists", "extended", "often")
     return out
 
