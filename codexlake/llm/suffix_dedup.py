@@ -10,7 +10,7 @@ never all in one place:
 3. Under an anchor, starts at one distance before it are put in suffix order: by the bytes up to the anchor, then by those from it on. In that order
    the previous and next places with smaller text positions give each start's longest previous factor; those with larger ones its longest later factor.
    Factors of LEAST and of LENGTH give passages and spans.
-4. An anchor with more than HOT different contexts is extended: its blocks are split by the distance of a start from the anchor into ranges of RANGE, and keyed by
+4. An anchor with more than HOT different contexts (of under 600 bytes each; that many are a task's bound) is extended: its blocks are split by the distance of a start from the anchor into ranges of RANGE, and keyed by
    all bytes that the strings of a range share. What is still as frequent then is extended to the whole string, which is one start; equal keys are equal
    strings there, and an aggregate finds them.
 
@@ -34,7 +34,7 @@ LENGTH, LEAST, K = 400, 256, 64
 #: A passage counts if it has more words than this.
 PASSAGE_WORDS = 50
 CHUNK = 1 << 18
-HOT, RANGE = 2000, 24
+HOT, RANGE = 40_000, 24
 
 
 def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
@@ -165,7 +165,7 @@ def _contexts(docs: DataFrame, reps: DataFrame, where: str, name: str) -> DataFr
                 for k in range(0, len(cut), 2000):
                     yield _batch([(x["core"], x["c"], doc_id, k1, x["lo"], x["hi"], x["anchor"], raw[x["lo"] : x["hi"] + LENGTH]) for x in cut[k : k + 2000]], CONTEXTS)
 
-    d, c = docs.alias("d"), small_side(lists, ("cut",)).alias("c")
+    d, c = docs.alias("d"), lists.hint("shuffle_merge").alias("c")  # as large as the repeated parts of the corpus
     joined = d.join(c, F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.k1") == F.col("c.k1"))).select("d.doc_id", "d.k1", "d.text", "c.cut")
     return joined.mapInArrow(run, f"core long, c long, {PLACE}, bytes binary")
 
@@ -256,7 +256,7 @@ def spans(docs: DataFrame, where: str, keep: str = "first") -> DataFrame:
     """doc_id, k1, spans (array of s, e in bytes and whole, not merged) for the rows of docs (doc_id, k1, text) with repeated strings."""
     blocks = written(_blocks(docs), where, "blocks")
     twice = written(blocks.groupBy("core").count().filter("count > 1").select("core"), where, "twice")
-    shared = written(blocks.join(small_side(twice), "core"), where, "shared")
+    shared = written(blocks.join(twice.hint("shuffle_merge"), "core"), where, "shared")
     forget(docs.sparkSession, where, "blocks")
     place = F.struct("doc_id", "k1", "lo", "hi", "anchor")
     contexts = written(shared.groupBy("core", "ctx").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("at")), where, "contexts")
@@ -266,13 +266,13 @@ def spans(docs: DataFrame, where: str, keep: str = "first") -> DataFrame:
     last = F.least("hi", F.col("size") - LENGTH)  # nearer to the text's end no string of LENGTH starts
     ends = F.array(F.struct((F.col("hi") + LEAST).alias("e"), F.lit(False).alias("whole")), F.struct(F.when(last >= F.col("lo"), last + LENGTH).alias("e"), F.lit(True).alias("whole")))
     parts = full.select("doc_id", "k1", F.col("lo").alias("s"), F.inline(ends)).filter("e is not null")
-    reps = written(contexts.join(per_core, "core").select("core", "c", "m", "at.*"), where, "reps")
+    reps = written(contexts.join(per_core.hint("shuffle_merge"), "core").select("core", "c", "m", "at.*"), where, "reps")
     parts = parts.union(_ordered(_contexts(docs, reps.filter(F.col("m") <= HOT).drop("m"), where, "lists"), keep))
     hot = reps.filter(F.col("m") > HOT).drop("m")
     if not hot.isEmpty():
         longer = written(_extended(_contexts(docs, hot, where, "hot_lists")), where, "extended")
         often = written(longer.groupBy("core").count().filter(F.col("count") > HOT).select("core"), where, "often")
-        parts = parts.union(_ordered(longer.join(small_side(often), "core", "left_anti"), keep)).union(_single(longer.join(small_side(often), "core", "left_semi"), keep))
+        parts = parts.union(_ordered(longer.join(often, "core", "left_anti"), keep)).union(_single(longer.join(often, "core", "left_semi"), keep))
     out = written(parts.groupBy("doc_id", "k1").agg(F.collect_list(F.struct("s", "e", "whole")).alias("spans")), where, "spans")
     del blocks, twice, shared, contexts, per_core, full, reps, parts, hot
     forget(docs.sparkSession, where, "twice", "shared", "contexts", "cores", "reps", "lists", "hot_lists", "extended", "often")
