@@ -55,5 +55,5 @@ def work_rows(works: DataFrame) -> DataFrame:
         have("field").alias("field"), have("topic").alias("topic"), "id", "title", abstract_text(F.col("abstract_inverted_index")).alias("abstract"), authors(a).alias("authors"), "publication_year",
         venue(F.col("primary_location")).alias("venue"), F.col("type").alias("paper_type"), F.trim(F.coalesce("primary_location.source.type", F.lit(""))).alias("venue_type"),
         institutions(a).alias("institutions"), countries(a).alias("countries"), F.coalesce("open_access.oa_status", F.lit("")).alias("open_access_status"), F.size(a).alias("author_count"),
-        F.coalesce("institutions_distinct_count", inst).alias("institution_count"), F.coalesce("countries_distinct_count", ctry).alias("country_count"), F.col("cited_by_count").alias("citation_count"), F.col("citation_normalized_percentile.value").alias("citation_percentile"),
+        F.coalesce("institutions_distinct_count", inst).alias("institution_count"), F.coalesce("countries_distinct_count", ctry).alias("country_count"), F.col("cited_by_count").alias("citation_count"), F.coalesce(F.col("citation_normalized_percentile.value").cast("string"), F.lit("")).alias("citation_percentile"),
     )

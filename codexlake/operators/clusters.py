@@ -12,10 +12,10 @@ from codexlake.functions.vectors import cosine, dot, normalised
 
 
 def centroids(df: DataFrame) -> DataFrame:
-    """cluster, centroid (normalised), n from df (cluster, vector); noise, -1, is left out."""
+    """cluster, centroid (normalised), mean, n from df (cluster, vector); noise, -1, is left out."""
     mean = df.filter("cluster <> -1").select("cluster", F.posexplode("vector").alias("at", "x")).groupBy("cluster", "at").agg(F.avg(F.col("x").cast("double")).alias("x"), F.count(F.lit(1)).alias("n"))
     whole = mean.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("v"), F.max("n").alias("n"))
-    return whole.select("cluster", normalised(F.col("v"), 1e-12).alias("centroid"), "n")
+    return whole.select("cluster", normalised(F.col("v"), 1e-12).alias("centroid"), F.col("v").alias("mean"), "n")
 
 
 def coherence(df: DataFrame, c: DataFrame) -> DataFrame:
@@ -23,7 +23,14 @@ def coherence(df: DataFrame, c: DataFrame) -> DataFrame:
     return df.join(c.select("cluster", "centroid"), "cluster").groupBy("cluster").agg(F.avg(cosine(F.col("vector"), F.col("centroid"))).alias("coherence"))
 
 
+#: Clusters whose centroids are compared pair by pair, at most.
+MANY = 10_000
+
+
 def sibling_similarities(c: DataFrame) -> DataFrame:
+    """cluster, other, similarity of all pairs of centroids: the square of a number of clusters, which can't be over MANY (the query fails then)."""
+    size = c.agg(F.assert_true(F.count(F.lit(1)) <= MANY, F.lit("too many clusters to compare all pairs")).alias("_ok"))
+    c = c.join(F.broadcast(size), F.col("_ok").isNull()).drop("_ok")  # one row
     a, b = c.select("cluster", "centroid"), c.select(F.col("cluster").alias("other"), F.col("centroid").alias("of_other"))
     return a.join(b, F.col("cluster") != F.col("other")).select("cluster", "other", dot(F.col("centroid"), F.col("of_other")).alias("similarity"))
 
@@ -79,24 +86,24 @@ def diverse_order(df: DataFrame, weight: float = 0.7, block: int = 4096) -> Data
 
 
 def merged_clusters(c: DataFrame, least: float = 0.9, target: int = 1) -> DataFrame:
-    """cluster, merged: the most similar pair of centroids merges, again and again, down to ``target`` or to similarities under ``least``.
-
-    Sequential by nature; it works on one row for each cluster and refuses more than 10,000."""
-    rows = c.select("cluster", "centroid", "n").orderBy("cluster").limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("merging is meant for at most 10,000 clusters")
-    v, n = [np.array(r["centroid"]) for r in rows], [r["n"] for r in rows]
+    """cluster, merged: the pair of clusters whose means (cluster, mean, n) have the largest cosine merges, again and again, down to ``target`` or to similarities under ``least``;
+    the mean of a merged one is that of all its members.
+
+    Sequential by nature; it works on one row for each cluster and refuses more than MANY."""
+    rows = c.select("cluster", "mean", "n").orderBy("cluster").limit(MANY + 1).collect()
+    if len(rows) > MANY:
+        raise ValueError(f"merging is meant for at most {MANY} clusters")
+    v, n = [np.array(r["mean"]) for r in rows], [r["n"] for r in rows]
     of, live = list(range(len(rows))), list(range(len(rows)))
     while len(live) > target:
-        m = np.stack([v[i] for i in live])
+        m = np.stack([v[i] / max(np.linalg.norm(v[i]), 1e-300) for i in live])
         s = m @ m.T
         np.fill_diagonal(s, -np.inf)
         a, b = divmod(int(np.argmax(s)), len(live))
         if s[a, b] < least:
             break
         i, j = live[min(a, b)], live[max(a, b)]
-        mean = (v[i] * n[i] + v[j] * n[j]) / (n[i] + n[j])
-        v[i], n[i] = mean / (np.linalg.norm(mean) + 1e-12), n[i] + n[j]
+        v[i], n[i] = (v[i] * n[i] + v[j] * n[j]) / (n[i] + n[j]), n[i] + n[j]
         of = [i if x == j else x for x in of]
         live.remove(j)
     number = {i: k for k, i in enumerate(live)}
@@ -104,8 +111,8 @@ def merged_clusters(c: DataFrame, least: float = 0.9, target: int = 1) -> DataFr
 
 
 def grams(c: Column, stopwords: list[str], low: int = 2, high: int = 4) -> Column:
-    """Word n-grams of letters, stop-words removed first."""
-    words = F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"\b[a-zA-Z]{2,}\b"), F.lit(0)), lambda x: ~x.isin(stopwords))
+    """Word n-grams, stop-words removed first; a word has two Latin letters or more and nothing else."""
+    words = F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda x: x.rlike("^[a-zA-Z]{2,}$") & ~x.isin(stopwords))
 
     def of(w: Column, n: int) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1)))
@@ -115,18 +122,18 @@ def grams(c: Column, stopwords: list[str], low: int = 2, high: int = 4) -> Colum
     return F.flatten(F.transform(F.array(words), lambda w: F.concat(*(of(w, n) for n in range(low, high + 1)))))
 
 
-def class_tfidf(df: DataFrame, stopwords: list[str], low: int = 2, high: int = 4, least: int = 3, most: float = 0.35, top: int = 10) -> DataFrame:
-    """cluster, term, n, weight, rank of the top terms from df (cluster, text): a cluster is one document.
-
-    least, most: in how many texts, and in which part of them at most, a term must occur."""
-    terms = df.select("cluster", F.monotonically_increasing_id().alias("_d"), grams(F.col("text"), stopwords, low, high).alias("g"))
-    texts = df.count()
-    each = terms.select("cluster", "_d", F.explode("g").alias("term")).groupBy("cluster", "term", "_d").agg(F.count(F.lit(1)).alias("n"))
-    by_cluster = each.groupBy("cluster", "term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"))
-    kept = by_cluster.groupBy("term").agg(F.sum("texts").alias("all_texts"), F.count(F.lit(1)).alias("df")).filter((F.col("all_texts") >= least) & (F.col("all_texts") <= most * texts))
-    counted = by_cluster.join(kept, "term").select("cluster", "term", "n", "df")
-    sizes = counted.groupBy("cluster").agg(F.sum("n").alias("size"))
-    clusters = df.select("cluster").distinct().count()
-    weight = F.col("n") / (F.col("size") + 1e-12) * (F.log((F.lit(clusters) + 1) / (F.col("df") + 1)) + 1)
-    ranked = counted.join(sizes, "cluster").withColumn("weight", weight).withColumn("rank", F.row_number().over(W.partitionBy("cluster").orderBy(F.desc("weight"), "term")))
+def class_tfidf(df: DataFrame, stopwords: list[str], low: int = 2, high: int = 4, least: int = 3, most: float = 0.35, top: int = 10, features: int = 100_000) -> DataFrame:
+    """cluster, term, n, weight, rank of the top terms from df (cluster, text): all texts of a cluster are one document.
+
+    least, most: in how many clusters, and in which part of them at most, a term must occur; of those, the ``features`` most frequent count. One shuffle of n-grams,
+    combined before it; a term then has one entry a cluster."""
+    terms = df.select("cluster", F.explode(grams(F.col("text"), stopwords, low, high)).alias("term")).groupBy("cluster", "term").agg(F.count(F.lit(1)).alias("n"))
+    by_term = terms.groupBy("term").agg(F.collect_list(F.struct("cluster", "n")).alias("each"), F.sum("n").alias("total"))
+    clusters = df.agg(F.count_distinct("cluster").alias("clusters"))  # one row
+    kept = by_term.withColumn("df", F.size("each")).filter(F.col("df") >= least).crossJoin(F.broadcast(clusters)).filter(F.col("df") <= most * F.col("clusters"))
+    counted = kept.orderBy(F.desc("total"), "term").limit(features).select("term", "df", "clusters", F.inline("each"))
+    w = W.partitionBy("cluster")  # at most ``features`` rows
+    tf = F.col("n") / (F.sum("n").over(w) + 1e-12)
+    weighed = counted.withColumn("weight", F.round(tf * (F.log((F.col("clusters") + 1) / (F.col("df") + 1)) + 1), 9))
+    ranked = weighed.withColumn("rank", F.row_number().over(w.orderBy(F.desc("weight"), "term")))
     return ranked.filter(F.col("rank") <= top).select("cluster", "term", "n", "weight", "rank")

@@ -77,6 +77,51 @@ def broken_word_counts(df: DataFrame, key: str, column: str, dictionary: DataFra
     return joined.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
 
 
+def well_formed(df: DataFrame, key: str, column: str, dictionary: DataFrame, most: int = 2) -> DataFrame:
+    """df with well_formed: a text without boilerplate, markup, private characters and ``most`` broken words or more."""
+    broken = broken_word_counts(df.filter(clean_format(F.col(column))), key, column, dictionary).filter(F.col("n") >= most).select(key, F.lit(True).alias("_broken"))
+    return df.join(broken, key, "left").withColumn("well_formed", clean_format(F.col(column)) & F.col("_broken").isNull()).drop("_broken")
+
+
+def present(df: DataFrame, *columns: str) -> DataFrame:
+    """The rows in which no column is null or blank."""
+    return df.filter(F.coalesce(F.least(F.lit(True), *(F.trim(F.col(c).cast("string")) != "" for c in columns)), F.lit(False)) & ~F.greatest(F.lit(False), *(F.col(c).isNull() for c in columns)))
+
+
+def unexpected_type(c: Column) -> Column:
+    return ~F.coalesce(c.isin(SCANNED_TYPES), F.lit(False))
+
+
+def hard_rules(df: DataFrame, title: str, abstract: str, authors: str) -> DataFrame:
+    """df with decision and reason: rows with missing metadata, then all rows of the rest whose abstract occurs twice, are rejected."""
+    missing = missing_fields(title=F.col(title), abstract=F.col(abstract), authors=F.col(authors))
+    marked = df.withColumn("_missing", missing)
+    copied = marked.filter(F.size("_missing") == 0).groupBy(F.md5(abstract).alias("_h")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    joined = marked.join(copied, (F.md5(abstract) == F.col("_h")) & (F.size("_missing") == 0), "left")
+    rules = [(F.size("_missing") > 0, F.concat(F.lit("missing: "), F.array_join("_missing", ", "))), (F.col("_n").isNotNull(), F.lit("duplicate abstract"))]
+    return decided(joined, *rules).drop("_missing", "_h", "_n")
+
+
+def rule_filter(df: DataFrame, text: Column, similarity: Column, threshold: float = 0.5, detector: Detector = stopword_detector) -> DataFrame:
+    """df with decision and audit_reason by language, sentence after sentence, and then by the similarity of title and abstract (null where it is unknown, which passes)."""
+    english = english_prefixes(text, detector=detector)
+    language = F.when(english, "English detection passed.").otherwise("non-English content detected.")
+    low = english & F.coalesce(similarity < threshold, F.lit(False))
+    shown = F.format_string("%.4f", similarity)
+    match = F.when(low, F.concat(F.lit("Semantic Mismatch: Similarity is "), shown, F.lit(f" (threshold: {threshold:.2f})"))).when(similarity.isNull() | ~english, "not compared.").otherwise(F.concat(F.lit("Passed vector verification (similarity: "), shown, F.lit(")")))
+    rejected = F.concat_ws(" | ", F.when(~english, F.concat(F.lit("Language check failed ("), language, F.lit(")"))), F.when(low, F.concat(F.lit("Matching check failed ("), match, F.lit(")"))))
+    return df.withColumns({"decision": F.when(english & ~low, "APPROVED").otherwise("REJECTED"), "audit_reason": F.when(english & ~low, F.concat_ws(" | ", language, match)).otherwise(rejected)})
+
+
+def model_filter(df: DataFrame, answer: Column) -> DataFrame:
+    """df with decision and audit_reason by a model's JSON answer (is_english, is_matching, reason); what is no record is rejected."""
+    record = F.when(F.trim(answer).startswith("{"), F.from_json(answer, "is_english boolean, is_matching boolean, reason string"))
+    parsed = F.when(F.get_json_object(answer, "$").isNotNull(), record)
+    passed = F.coalesce(parsed["is_english"] & parsed["is_matching"], F.lit(False))
+    reason = F.when(parsed.isNull(), "LLM json parse error").otherwise(F.coalesce(parsed["reason"], F.lit("No reason provided.")))
+    return df.withColumns({"decision": F.when(passed, "APPROVED").otherwise("REJECTED"), "audit_reason": reason})
+
+
 def clean_format(c: Column) -> Column:
     """The checks of format that need no dictionary, in one."""
     return F.coalesce((c != "") & ~T.has_garbage(c) & ~T.has_markup(c) & ~T.has_private_characters(c), F.lit(False))

@@ -7,10 +7,16 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, StringType, StructType
 
 VERDICT = "match boolean, eng boolean, clean boolean, explanation string, reason string"
 
 
+def with_column(schema: StructType, name: str, kind: DataType) -> StructType:
+    """A schema with a column at its end, or itself if it has it."""
+    return schema if name in schema.names else StructType([*schema.fields]).add(name, kind)
+
+
 def prompt(df: DataFrame, group: str, rank: str, features: list[str], head: str = "", definitions: dict[str, str] | None = None) -> DataFrame:
     """group, prompt: a line for each feature of each document, in the order of rank, after definitions of the features."""
     lines = F.concat_ws("\n", *(F.concat(F.lit(f"{f}: "), F.coalesce(F.col(f).cast("string"), F.lit(""))) for f in features))
@@ -61,13 +67,74 @@ def related_score(answer: Column) -> Column:
 
 def asked(df: DataFrame, column: str, model: Callable[[list[str]], list[str]], name: str = "answer") -> DataFrame:
     """df with a model's answers to a column of prompts, a batch at a time; the model is loaded once in each worker if it is a class instance that loads lazily."""
-    at = df.schema
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pdf.assign(**{name: model(pdf[column].tolist())})
 
-    return df.mapInPandas(run, at.add(name, "string") if name not in at.names else at)
+    return df.mapInPandas(run, with_column(df.schema, name, StringType()))
+
+
+#: Fixed text: what a labelling prompt adds when the answer had no topic fence.
+REPAIR = "\n\nIMPORTANT: Your previous answer did not follow the required output format. Return exactly a json_topic fence with topic_name, description, keywords and confidence, and a json fence with []."
+
+
+def template(text: str, **values: str) -> str:
+    """A stripped prompt template with its {names} filled in; a missing one raises."""
+    return text.strip().format(**values)
+
+
+def labelled(df: DataFrame, column: str, model: Callable[[list[str]], list[str]]) -> DataFrame:
+    """df with label (topic_name, description, keywords, confidence) and raw_output from a model's answers to a column of prompts. Answers without a topic fence are asked for once more
+    with REPAIR; what fails twice has an empty label of low confidence and its first answer."""
+    first = asked(df, column, model, "_first").withColumn("_again", F.concat(column, F.lit(REPAIR)))
+
+    def repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            answers = pdf["_first"].copy()
+            todo = ~answers.fillna("").str.contains("```json_topic", regex=False)
+            if todo.any():
+                answers[todo] = model(pdf.loc[todo, "_again"].tolist())
+            yield pdf.assign(_second=answers)
+
+    both = first.mapInPandas(repair, with_column(first.schema, "_second", StringType()))
+    found = F.coalesce(topic_fence(F.col("_first")), topic_fence(F.col("_second")))
+    label = F.struct(
+        F.coalesce(found["topic_name"], F.lit("")).alias("topic_name"),
+        F.coalesce(found["description"], F.lit("")).alias("description"),
+        F.coalesce(found["keywords"], F.array().cast("array<string>")).alias("keywords"),
+        F.when(found.isNull(), "low").otherwise(F.coalesce(found["confidence"], F.lit("medium"))).alias("confidence"),
+    )
+    return both.withColumn("label", label).withColumn("raw_output", F.when(found.isNull(), F.col("_first"))).drop("_first", "_second", "_again")
+
+
+def with_tries(model: Callable[[list[str]], list[str]], tries: int = 3) -> Callable[[list[str]], list[str]]:
+    """A model that is asked again when it fails; after ``tries`` failures its answers are empty."""
+
+    def call(prompts: list[str]) -> list[str]:
+        for _ in range(tries):
+            try:
+                return model(prompts)
+            except Exception:  # a backend's failure of any kind
+                continue
+        return [""] * len(prompts)
+
+    return call
+
+
+def embedded(df: DataFrame, column: str, encoder: Callable[[list[str]], list[list[float]]], batch: int = 64) -> DataFrame:
+    """df with vector, from an encoder that is given ``batch`` texts at a time; null texts have null vectors."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            have = pdf[column].notna()
+            texts, out = pdf.loc[have, column].tolist(), []
+            for k in range(0, len(texts), batch):
+                out += encoder(texts[k : k + batch])
+            vectors = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
+            vectors[have] = pd.Series(out, index=pdf.index[have], dtype=object)
+            yield pdf.assign(vector=vectors)
+
+    return df.mapInPandas(run, with_column(df.schema, "vector", ArrayType(DoubleType())))
 
 
 def audited(papers: DataFrame, log: DataFrame, budget: int, rank: str = "rank") -> DataFrame:

@@ -85,15 +85,36 @@ def top_n(df: DataFrame, n: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def _drawn(key: str, seed: int) -> Column:
+    """A random order of keys, the same for a seed, in any engine that knows md5."""
+    return F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+
+
 def stratified(df: DataFrame, group: str, key: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows of each group, by the hash of a key and a seed."""
-    w = W.partitionBy(group).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    """n rows of each group, by the md5 of a key and a seed."""
+    w = W.partitionBy(group).orderBy(_drawn(key, seed), key)
     return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
 
 
 def reservoir(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """A uniform sample of n rows, the same for a seed: the least hashes, kept partition by partition."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(_drawn(key, seed), key).limit(n)
+
+
+def topped_up(df: DataFrame, key: str, passed: Column, n: int, seed: int = 42, chunk: int = 2000, rounds: int = 10) -> DataFrame:
+    """n rows that pass, drawn in rounds: round i takes the ``chunk`` (n in the first) rows of least hash by seed + i that no round before has taken, until n pass, a round adds
+    none, or after ``rounds``. Each round is one job over the keys that are left; only counts reach the driver."""
+    left, taken, have = df, None, 0
+    for k in range(rounds):
+        drawn = left.orderBy(_drawn(key, seed + k), key).limit(max(n, chunk) if k == 0 else chunk).withColumn("round", F.lit(k))
+        new = drawn.filter(F.coalesce(passed, F.lit(False)))
+        found = new.count()
+        taken = new if taken is None else taken.unionByName(new)
+        have += found
+        if have >= n or not found:
+            break
+        left = left.join(drawn.select(key), key, "left_anti")
+    return taken.orderBy("round", _drawn(key, seed), key).limit(n)
 
 
 def budget_needed(df: DataFrame, group: str, rank: str, passed: Column, want: int = 20, first: int = 50, step: int = 20, last: int = 230) -> DataFrame:

@@ -7,15 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codexlake.functions import countries as K
 from codexlake.functions import nested as N
 from codexlake.functions import text as T
 from codexlake.functions import vectors as V
 from codexlake.operators import clusters as C
+from codexlake.operators import diagnostics as D
 from codexlake.operators import filters as P
 from codexlake.operators import responses as R
 from codexlake.operators import statistics as S
 from codexlake.operators import tables as A
+from codexlake.operators import topics as O
 from codexlake.session import ship
+from codexlake.sources import readers as I
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -51,13 +55,23 @@ PRIVATE = "regexp_matches(text, '[\\x{E000}-\\x{F8FF}\\x{FFFD}]')"
 # --- screening -------------------------------------------------------------------------------------------------------------------
 
 
-@query(f"""with f as (select doc_id, coalesce(lang, '') <> 'en' a, coalesce(length(text), 0) < 500 b, coalesce({GARBAGE}, false) c, coalesce({MARKUP}, false) d, coalesce({PRIVATE}, false) e from documents),
+#: documents with what each rule looks for, by doc_id.
+SQL_SPOILED = """select doc_id, lang, text || case doc_id % 7 when 0 then ' Get e-Alerts' when 1 then ' <b>x' when 2 then ' &amp; x;' when 3 then chr(57345) else '' end as text from documents"""
+
+
+def spoiled(t):
+    k = F.col("doc_id") % 7
+    end = F.when(k == 0, " Get e-Alerts").when(k == 1, " <b>x").when(k == 2, " &amp; x;").when(k == 3, "").otherwise("")
+    return t("documents", "doc_id", "text", "lang").withColumn("text", F.concat("text", end))
+
+
+@query(f"""with p as ({SQL_SPOILED}), f as (select doc_id, coalesce(lang, '') <> 'en' a, coalesce(length(text), 0) < 500 b, coalesce({GARBAGE}, false) c, coalesce({MARKUP}, false) d, coalesce({PRIVATE}, false) e from p),
 r as (select doc_id, concat_ws(' | ', case when a then 'language' end, case when b then 'short' end, case when c then 'boilerplate' end, case when d then 'markup' end, case when e then 'characters' end) reason from f)
 select doc_id, reason, case when reason = '' then 'APPROVED' else 'REJECTED' end decision from r""")
 def screening_cascade(t):
     x = F.col("text")
     rules = [(F.coalesce(F.col("lang"), F.lit("")) != "en", "language"), (F.coalesce(F.length(x), F.lit(0)) < 500, "short"), (T.has_garbage(x), "boilerplate"), (T.has_markup(x), "markup"), (T.has_private_characters(x), "characters")]
-    return P.decided(t("documents", "doc_id", "text", "lang"), *rules).select("doc_id", "reason", "decision")
+    return P.decided(spoiled(t), *rules).select("doc_id", "reason", "decision")
 
 
 @query("""select doc_id, coalesce(type in ('article', 'book') and lang = 'en' and title <> '' and length(title || '. ' || text) >= 500, false) complete
@@ -73,23 +87,40 @@ def suspicious_language(t):
     return t("documents", "doc_id", "text").select("doc_id", T.suspicious_english(F.col("text")).alias("suspicious"))
 
 
-@query()
+def sql_foreign(x: str) -> str:
+    """The stop-word vote against English, on an expression."""
+    words, known = f"regexp_extract_all(lower({x}), '[a-z'']+')", ", ".join(f"'{w}'" for w in T.ENGLISH_STOPWORDS)
+    return f"((len({words}) > 10 and not list_has_any({words}, [{known}])) or (case when length({x}) > 0 then length(regexp_replace({x}, '[\\x00-\\x7F]+', '', 'g')) / length({x}) else 0 end) > 0.15)"
+
+
+SQL_SENTENCES = r"[z for z in string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) if z <> '']"
+
+
+@query(f"""with s as (select doc_id, left(text, 80) c, {SQL_SENTENCES} s from documents), f as (select doc_id, c, [{sql_foreign('z')} for z in s] every, [cast({sql_foreign('z')} as int) for z in s if length(trim(z)) >= 5] b from s)
+select doc_id, coalesce(trim(c) <> '' and length(c) >= 5 and not {sql_foreign('c')}, false) title, coalesce(list_sum(b) / nullif(len(b), 0) < 0.2, true) share, coalesce(list_sum(b) / nullif(len(b), 0) < 0.2, false) share_strict,
+coalesce(len([k for k in range(1, len(b) + 1) if list_sum(b[1:k]) / k >= 0.2]) = 0, false) prefixes, not list_contains(every, true) as "every" from f""")
 def sentence_language(t):
     x = F.col("text")
     return t("documents", "doc_id", "text").select("doc_id", P.english_title(F.substring(x, 1, 80)).alias("title"), P.english_abstract(x).alias("share"), P.english_abstract(x, empty_passes=False).alias("share_strict"), P.english_prefixes(x).alias("prefixes"), P.every_sentence_english(x).alias("every"))
 
 
-@query("""with n as (select doc_id, lower(text) t, text from documents) select doc_id,
+@query("""with p as (select doc_id, case doc_id % 9 when 0 then '<jats:p>' || text when 1 then 'Purchase this article ' || text when 2 then 'https://doi.org/10.1000/x ' || text when 3 then 'Volume 3, Issue 4 ' || text when 4 then 'ISSN 1234-567x ' || text when 5 then '© 2020 some publisher name' when 6 then text || ' Share on Twitter' else text end as text from documents), n as (select doc_id, lower(text) t, text from p) select doc_id,
 case """ + " ".join(f"when contains(t, '{m}') then 'JATS/HTML Tag Found (''{m}'')'" for m in T.MARKUP_MARKS) + " " + " ".join(f"when contains(t, '{m}') then '{r}'" for m, r in T.PAYWALL_MARKS.items()) + r"""
 when regexp_matches(text, '^.{0,150}https?://doi\.org/10\.\d{4,}') then 'Early DOI Redirection Link' when regexp_matches(t, '^(volume|vol\.?)\s+\d+,\s+(issue|iss\.?)\s+\d+') then 'Volume/Issue Header Residual'
 when regexp_matches(t, '(online issn|print issn|issn[:\s])\s*\d{4}-\d{3}[\dx]') then 'ISSN Header Noise' when regexp_matches(t, '^©\s+\d{4}\s+[a-z][a-za-z\s]{3,60}$') then 'Pure Copyright Line Abstract' else 'Passed' end reason from n""")
 def paywall_scan(t):
-    return t("documents", "doc_id", "text").select("doc_id", T.paywall_reason(F.col("text")).alias("reason"))
+    k, x = F.col("doc_id") % 9, F.col("text")
+    put = lambda head: F.concat(F.lit(head), x)
+    changed = F.when(k == 0, put("<jats:p>")).when(k == 1, put("Purchase this article ")).when(k == 2, put("https://doi.org/10.1000/x ")).when(k == 3, put("Volume 3, Issue 4 ")).when(k == 4, put("ISSN 1234-567x ")).when(k == 5, "© 2020 some publisher name").when(k == 6, F.concat(x, F.lit(" Share on Twitter"))).otherwise(x)
+    return t("documents", "doc_id", "text").withColumn("text", changed).select("doc_id", T.paywall_reason(x).alias("reason"))
 
 
-@query(f"""select page_id, len(list_distinct(regexp_extract_all(lower(html), '({alternatives(T.NOISE_PATTERNS)})'))) noises from pages""")
+@query(f"""with p as (select page_id, html || case page_id % 3 when 0 then ' Share on Facebook' when 1 then ' PubMed and Google Scholar, pubmed' else '' end html from pages)
+select page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(html), '({alternatives(T.NOISE_PATTERNS)})'))), ', ') noises from p""")
 def noise_scan(t):
-    return t("pages", "page_id", "html").select("page_id", F.size(T.noise_found(F.col("html"))).cast("bigint").alias("noises"))
+    k = F.col("page_id") % 3
+    html = F.concat("html", F.when(k == 0, " Share on Facebook").when(k == 1, " PubMed and Google Scholar, pubmed").otherwise(""))
+    return t("pages", "page_id", "html").select("page_id", F.array_join(T.noise_found(html), ", ").alias("noises"))
 
 
 @query("""with k as (select *, md5(lower(trim(text))) h from documents) select doc_id from (select doc_id, row_number() over (partition by h order by doc_id) r from k) where r = 1""")
@@ -102,10 +133,10 @@ def collision_counts(t):
     return P.collisions(t("documents", "doc_id", "text"), F.md5("text")).select("doc_id", "copies")
 
 
-@query("""select n, count(*) as n_groups from (select count(*) n from documents group by lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) having count(*) > 1) group by n""")
+@query("""select md5(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) "group", count(*) n, array_to_string(list(doc_id order by doc_id), ',') "keys" from documents where text is not null group by 1 having count(*) > 1""")
 def duplicate_groups(t):
-    key = F.lower(T.collapsed(F.col("text")))
-    return t("documents", "text").groupBy(F.md5(key)).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").groupBy("n").agg(F.count(F.lit(1)).alias("n_groups"))
+    d = D.duplicate_groups(t("documents", "doc_id", "text"), F.col("doc_id"), F.col("text"))
+    return d.select("group", "n", F.array_join(F.transform("keys", lambda x: x.cast("string")), ",").alias("keys"))
 
 
 @query("""select p_partkey, concat_ws(', ', case when p_size > 40 then 'size' end, case when p_brand = 'Brand#11' then 'brand' end) missing from part where p_size > 40 or p_brand = 'Brand#11'""")
@@ -120,12 +151,65 @@ def rows_without_nan(t):
     return P.without_nan_text(t("documents", "text", "lang", "source")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""with w as (select doc_id, unnest(regexp_extract_all(regexp_replace(text, chr(173) || '\\s*', '-', 'g'), '\\b[a-zA-Z]{2,}-\\s*[a-zA-Z]{2,}\\b')) x from documents),
-d as (select distinct lower(unnest(regexp_extract_all(text, '[a-zA-Z]{2,}'))) w from benchmark)
-select doc_id, count(*) n from w where lower(regexp_replace(x, '-\\s*', '')) in (select w from d) and lower(regexp_replace(x, '\\s+', '', 'g')) not in (select w from d) group by doc_id""")
+@query("""with w as (select doc_id, unnest(regexp_extract_all(regexp_replace(text || case doc_id % 4 when 0 then ' an exam-ple to co- operate' when 1 then ' exam' || chr(173) || ' ple' else ' well-known' end, chr(173) || '\\s*', '-', 'g'), '\\b[a-zA-Z]{2,}-\\s*[a-zA-Z]{2,}\\b')) x from documents),
+d as (select distinct lower(unnest(regexp_extract_all(text, '[a-zA-Z]{2,}'))) w from benchmark union select unnest(['example', 'cooperate', 'well-known', 'wellknown']))
+select doc_id, count(*) n from w where lower(regexp_replace(x, '-\\s*', '')) in (select w from d) and lower(x) not in (select w from d) group by doc_id""")
 def broken_word_scan(t):
-    words = t("benchmark", "text").select(F.explode(F.regexp_extract_all("text", F.lit("[a-zA-Z]{2,}"), F.lit(0))).alias("word"))
-    return P.broken_word_counts(t("documents", "doc_id", "text"), "doc_id", "text", words)
+    k = F.col("doc_id") % 4
+    d = t("documents", "doc_id", "text").withColumn("text", F.concat("text", F.when(k == 0, " an exam-ple to co- operate").when(k == 1, " exam­ ple").otherwise(" well-known")))
+    return P.broken_word_counts(d, "doc_id", "text", dictionary_words(t))
+
+
+def dictionary_words(t):
+    found = F.regexp_extract_all("text", F.lit("[a-zA-Z]{2,}"), F.lit(0))
+    return t("benchmark", "text").select(F.explode(F.concat(found, F.array(*map(F.lit, ("example", "cooperate", "well-known", "wellknown"))))).alias("word")).distinct()
+
+
+@query(f"""with p as ({SQL_SPOILED}), q as (select doc_id, text || case doc_id % 5 when 0 then ' exam-ple of co- operate' else '' end as text from p),
+w as (select doc_id, unnest(regexp_extract_all(regexp_replace(text, chr(173) || '\\s*', '-', 'g'), '\\b[a-zA-Z]{{2,}}-\\s*[a-zA-Z]{{2,}}\\b')) x from q),
+d as (select distinct lower(unnest(regexp_extract_all(text, '[a-zA-Z]{{2,}}'))) w from benchmark union select unnest(['example', 'cooperate', 'well-known', 'wellknown'])),
+b as (select doc_id from w where lower(regexp_replace(x, '-\\s*', '')) in (select w from d) and lower(x) not in (select w from d) group by doc_id having count(*) >= 2)
+select doc_id, coalesce(text <> '' and not {GARBAGE} and not {MARKUP} and not {PRIVATE}, false) and doc_id not in (select doc_id from b) well_formed from q""")
+def format_gate(t):
+    d = spoiled(t).withColumn("text", F.concat("text", F.when(F.col("doc_id") % 5 == 0, " exam-ple of co- operate").otherwise("")))
+    return P.well_formed(d, "doc_id", "text", dictionary_words(t)).select("doc_id", "well_formed")
+
+
+@query("""with d as (select doc_id, nullif(left(text, 3), 'The') title, text, case when doc_id % 10 <> 0 then source end source from documents), m as (select *, concat_ws(', ', case when coalesce(trim(title) = '', true) then 'title' end, case when coalesce(trim(text) = '', true) then 'abstract' end, case when coalesce(trim(source) = '', true) then 'authors' end) gaps from d),
+c as (select *, count(*) filter (gaps = '') over (partition by text) n from m), r as (select doc_id, case when gaps <> '' then 'missing: ' || gaps when n > 1 then 'duplicate abstract' else '' end reason from c)
+select doc_id, reason, case when reason = '' then 'APPROVED' else 'REJECTED' end decision from r""")
+def hard_rule_split(t):
+    d = t("documents", "doc_id", "text", "source").withColumns({"title": F.nullif(F.substring("text", 1, 3), F.lit("The")), "authors": F.when(F.col("doc_id") % 10 != 0, F.col("source"))})
+    return P.hard_rules(d, "title", "text", "authors").select("doc_id", "reason", "decision")
+
+
+@query(f"""with s as (select doc_id, {SQL_SENTENCES} s, case when doc_id % 5 = 4 then null else (doc_id % 5) / 4.0 end m from documents), b as (select *, [cast({sql_foreign('z')} as int) for z in s if length(trim(z)) >= 5] b from s),
+e as (select *, coalesce(len([k for k in range(1, len(b) + 1) if list_sum(b[1:k]) / k >= 0.2]) = 0, false) e from b)
+select doc_id, case when e and coalesce(m >= 0.5, true) then 'APPROVED' else 'REJECTED' end decision, case when not e then 'Language check failed (non-English content detected.)' when m is null then 'English detection passed. | not compared.'
+when m < 0.5 then 'Matching check failed (Semantic Mismatch: Similarity is ' || printf('%.4f', m) || ' (threshold: 0.50))' else 'English detection passed. | Passed vector verification (similarity: ' || printf('%.4f', m) || ')' end audit_reason from e""")
+def rule_filter(t):
+    m = F.when(F.col("doc_id") % 5 != 4, (F.col("doc_id") % 5) / 4.0)
+    return P.rule_filter(t("documents", "doc_id", "text"), F.col("text"), m).select("doc_id", "decision", "audit_reason")
+
+
+@query("""select conv_id, turn, case when turn % 4 = 0 then 'APPROVED' else 'REJECTED' end decision, case turn % 4 when 0 then 'fine' when 1 then 'off topic' when 2 then 'No reason provided.' else 'LLM json parse error' end audit_reason from conversations""")
+def model_filter(t):
+    k = F.col("turn") % 4
+    answer = F.when(k == 0, '{"is_english": true, "is_matching": true, "reason": "fine"}').when(k == 1, '{"is_english": true, "is_matching": false, "reason": "off topic"}').when(k == 2, '{"is_english": true}').otherwise("sure, it is")
+    return P.model_filter(t("conversations", "conv_id", "turn"), answer).select("conv_id", "turn", "decision", "audit_reason")
+
+
+@query("""select c_custkey from customer where c_custkey % 3 <> 0 and c_custkey % 5 <> 0""")
+def presence_guard(t):
+    c = t("customer", "c_custkey", "c_name").withColumns({"id": F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")), "text": F.when(F.col("c_custkey") % 5 == 0, "  ").otherwise("x")})
+    return P.present(c, "id", "text").select("c_custkey")
+
+
+@query("""select o_orderkey from orders where o_orderpriority not in ('1-URGENT', '5-LOW') and o_orderstatus = 'F'""")
+def type_and_flag_filters(t):
+    kind = F.when(F.col("o_orderpriority") == "1-URGENT", "article").when(F.col("o_orderpriority") == "5-LOW", "book").otherwise(F.col("o_orderpriority"))
+    flag = F.when(F.col("o_orderstatus") == "F", " true ").otherwise("FALSE")
+    return t("orders", "o_orderkey", "o_orderpriority", "o_orderstatus").filter(P.unexpected_type(kind) & P.true_text(flag)).select("o_orderkey")
 
 
 # --- scalar functions ------------------------------------------------------------------------------------------------------------
@@ -138,11 +222,22 @@ def id_functions(t):
 
 
 @query(r"""select p_partkey, array_to_string([upper(left(x, 1)) || lower(substr(x, 2)) for x in string_split(replace(p_type, ' ', '-'), '-')], '-') title,
-trim(regexp_replace(replace(p_type, ' ', '|,'), '\|', ', ', 'g')) is not null as has, cast(cast(p_retailprice as bigint) as varchar) is not null whole,
+trim(regexp_replace(replace(replace(p_type, ' ', '|,'), '|', ', '), '\s*,\s*', ', ', 'g'), ', ') labels, cast(cast(trunc(p_retailprice) as bigint) as varchar) whole,
 regexp_replace(lower(trim(p_name)), '\s+', ' ', 'g') norm, md5(lower(trim(p_name))) h, case when trim(p_brand) not in ('', 'nan') then p_brand end brand from part""")
 def label_functions(t):
     c = F.col
-    return t("part").select("p_partkey", T.hyphen_title(F.replace(c("p_type"), F.lit(" "), F.lit("-"))).alias("title"), T.clean_labels(c("p_type")).isNotNull().alias("has"), (T.whole_number_text(c("p_retailprice").cast("string")) != "nan").alias("whole"), T.normalised(c("p_name")).alias("norm"), T.content_hash(c("p_name")).alias("h"), T.null_marks_as_null(c("p_brand")).alias("brand"))
+    return t("part").select("p_partkey", T.hyphen_title(F.replace(c("p_type"), F.lit(" "), F.lit("-"))).alias("title"), T.clean_labels(F.replace(c("p_type"), F.lit(" "), F.lit("|,"))).alias("labels"), T.whole_number_text(c("p_retailprice").cast("string")).alias("whole"), T.normalised(c("p_name")).alias("norm"), T.content_hash(c("p_name")).alias("h"), T.null_marks_as_null(c("p_brand")).alias("brand"))
+
+
+NAMES = {"BO": "Bolivia, Plurinational State of"}
+
+
+@query("""select n_nationkey, case n_nationkey % 4 when 0 then 'Germany, United States' when 1 then 'Plurinational State of Bolivia, QQ' when 2 then 'nan' else 'France' end countries from nation""")
+def country_expansion(t):
+    n = t("nation", "n_nationkey")
+    k = F.col("n_nationkey") % 4
+    codes = F.when(k == 0, "DE, US,DE").when(k == 1, "BO, QQ").when(k == 2, " , ").otherwise("FR")
+    return n.select("n_nationkey", K.country_names(codes, K.iso_names(n.sparkSession) | NAMES).alias("countries"))
 
 
 @query("""select doc_id, case when instr(text, '. ') > 0 then left(text, instr(text, '. ') - 1) else left(text, 100) end title, length(case when instr(text, '. ') > 0 then substr(text, instr(text, '. ') + 2) else text end) rest,
@@ -152,7 +247,7 @@ def combined_text_functions(t):
     return d.select("doc_id", "s.title", F.length("s.abstract").cast("bigint").alias("rest"), r6(T.non_ascii_share(F.col("text")), "foreign_share"))
 
 
-@query(r"""select doc_id, array_to_string(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')[1:60], ' ') abstract from documents where length(trim(text)) > 0""")
+@query(r"""select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) abstract from documents where length(trim(text)) > 0""")
 def inverted_index_abstracts(t):
     texts = t("documents", "doc_id", "text").filter("length(trim(text)) > 0").repartition("doc_id")  # moved once, before they become words
     words = texts.select("doc_id", F.posexplode(F.split(T.collapsed(F.col("text")), " ")).alias("at", "w"))
@@ -160,18 +255,21 @@ def inverted_index_abstracts(t):
     return index.select("doc_id", N.abstract_text(F.col("index")).alias("abstract"))
 
 
-@query("""select s_suppkey, n_name || '|' || r_name as institutions, case when n_name = r_name then 1 else 2 end as institution_count, s_name as authors from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey""")
+@query("""select r_name field, '' topic, cast(s_suppkey as varchar) id, s_name title, 'Hello ' || s_name abstract, s_name authors, 2020 + s_suppkey % 3 publication_year, case when s_suppkey % 2 = 0 then r_name else n_name end venue, 'article' paper_type, 'journal' venue_type,
+case when n_name = r_name then n_name else n_name || '|' || r_name end institutions, 'DE|US' countries, case when s_suppkey % 3 = 0 then '' else 'gold' end open_access_status, 1 author_count, case when s_suppkey % 5 = 0 then 7 when n_name = r_name then 1 else 2 end institution_count, 1 country_count, cast(s_suppkey * 2 as bigint) citation_count,
+case when s_suppkey % 2 = 0 then '0.5' else '' end citation_percentile from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey""")
 def work_flattening(t):
     s = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    k = F.col("s_suppkey")
     inst = F.array(*(F.struct(F.col(c).alias("display_name"), F.lit("US").alias("country_code")) for c in ("n_name", "r_name", "n_name")))
     author = F.array(F.struct(F.struct(F.col("s_name").alias("display_name")).alias("author"), F.array(F.lit("DE")).alias("countries"), inst.alias("institutions")))
-    null = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    place = F.struct(F.when(k % 2 == 0, F.col("r_name")).otherwise("").alias("raw_source_name"), F.struct(F.col("n_name").alias("display_name"), F.lit(" journal ").alias("type")).alias("source"))
     works = s.select(
-        F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("title"), F.lit("article").alias("type"), F.lit("en").alias("language"), null("map<string,array<int>>", "abstract_inverted_index"), F.lit(2020).alias("publication_year"),
-        F.lit(1).cast("bigint").alias("cited_by_count"), null("struct<raw_source_name:string,source:struct<display_name:string,type:string>>", "primary_location"), author.alias("authorships"), null("int", "institutions_distinct_count"), null("int", "countries_distinct_count"),
-        null("struct<value:double>", "citation_normalized_percentile"), null("struct<is_oa:boolean,oa_status:string>", "open_access"),
+        F.col("r_name").alias("field"), k.cast("string").alias("id"), F.col("s_name").alias("title"), F.lit("article").alias("type"), F.lit("en").alias("language"), F.create_map(F.lit("Hello"), F.array(F.lit(0)), F.col("s_name"), F.array(F.lit(1))).alias("abstract_inverted_index"),
+        (2020 + k % 3).cast("int").alias("publication_year"), (k * 2).cast("bigint").alias("cited_by_count"), place.alias("primary_location"), author.alias("authorships"), F.when(k % 5 == 0, 7).alias("institutions_distinct_count"), F.lit(None).cast("int").alias("countries_distinct_count"),
+        F.struct(F.when(k % 2 == 0, 0.5).alias("value")).alias("citation_normalized_percentile"), F.struct(F.lit(True).alias("is_oa"), F.when(k % 3 != 0, "gold").alias("oa_status")).alias("open_access"),
     )
-    return N.work_rows(works).select(F.col("id").cast("bigint").alias("s_suppkey"), "institutions", "institution_count", "authors")
+    return N.work_rows(works)
 
 
 # --- vectors and clusters --------------------------------------------------------------------------------------------------------
@@ -217,7 +315,8 @@ def diverse_ranking(t):
 
 @query()
 def cluster_merging(t):
-    return C.merged_clusters(C.centroids(members(t)), least=0.1, target=4)
+    m = members(t).withColumn("vector", V.normalised(F.col("vector"), 1e-12))
+    return C.merged_clusters(C.centroids(m), least=0.1, target=4)
 
 
 @query("""with v as (select vec_id, vec_id % 100 k, unnest(range(1, 65)) i, cast(unnest(embedding) as double) x from embeddings), q as (select * from v where vec_id < 100)
@@ -228,18 +327,14 @@ def semantic_match(t):
     return pairs.select("vec_id", r6(V.cosine(F.col("embedding"), F.col("other")), "similarity"), P.matching(F.col("embedding"), F.col("other")).alias("matching"))
 
 
-@query("""with d as (select row_number() over () d, source as "cluster", [x for x in regexp_extract_all(lower(text), '\\b[a-zA-Z]{2,}\\b') if x not in ('the', 'of')] w from documents where n_chars < 600),
-g as (select "cluster", d, array_to_string(w[i:i + 1], ' ') term from (select *, unnest(range(1, len(w))) i from d where len(w) >= 2)),
-e as (select "cluster", term, d, count(*) n from g group by all), b as (select "cluster", term, sum(n) n, count(*) texts from e group by all),
-k as (select term, sum(texts) t, count(*) df from b group by term having sum(texts) >= 3 and sum(texts) <= 0.35 * (select count(*) from d)), c as (select b."cluster", b.term, n, df from b join k on b.term = k.term),
-z as (select "cluster", sum(n) size from c group by 1), w as (select c."cluster", term, cast(n as bigint) n, n / (size + 1e-12) * (ln(((select count(distinct "cluster") from d) + 1) / (df + 1)) + 1) weight from c join z on c."cluster" = z."cluster")
-select "cluster", term, n, round(weight, 6) weight from (select *, row_number() over (partition by "cluster" order by round(weight, 9) desc, term) r from w) where r <= 10""")
+@query(r"""with d as (select source as "cluster", [x for x in regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') if regexp_full_match(x, '[a-zA-Z]{2,}') and x not in ('the', 'of')] w from documents),
+g as (select "cluster", array_to_string(w[i:i + k - 1], ' ') term from (select *, unnest(range(1, len(w) - k + 2)) i from d, (select unnest([2, 3, 4]) k))),
+b as (select "cluster", term, count(*) n from g group by all), k as (select term, count(*) df, sum(n) total from b group by term having count(*) >= 3 and count(*) <= 0.35 * (select count(distinct "cluster") from d) order by total desc, term limit 100000),
+c as (select b."cluster", b.term, n, df from b join k on b.term = k.term), z as (select "cluster", sum(n) size from c group by 1),
+w as (select c."cluster", term, cast(n as bigint) n, round(n / (size + 1e-12) * (ln(((select count(distinct "cluster") from d) + 1) / (df + 1)) + 1), 9) weight from c join z on c."cluster" = z."cluster")
+select "cluster", term, n, round(weight, 6) weight from (select *, row_number() over (partition by "cluster" order by weight desc, term) r from w) where r <= 10""")
 def class_tfidf(t):
-    d = t("documents", "source", "text").select(F.col("source").alias("cluster"), "text")
-    ranked = C.class_tfidf(d, ["the", "of"], 2, 4, top=2**31 - 1)
-    from pyspark.sql import Window as W
-
-    return ranked.withColumn("r", F.row_number().over(W.partitionBy("cluster").orderBy(F.desc(F.round("weight", 9)), "term"))).filter("r <= 10").select("cluster", "term", "n", r6(F.col("weight"), "weight"))
+    return C.class_tfidf(t("documents", "source", "text").withColumnRenamed("source", "cluster"), ["the", "of"]).select("cluster", "term", "n", r6(F.col("weight"), "weight"))
 
 
 # --- aggregates ------------------------------------------------------------------------------------------------------------------
@@ -250,9 +345,9 @@ def null_profile(t):
     return A.null_shares(t("documents", "doc_id", "lang", "text"))
 
 
-@query("""with c as (select cast(year(o_orderdate) as int) y, count(*) n from orders where year(o_orderdate) <> 1994 group by 1) select cast(s.y as int) as year, coalesce(c.n, 0) n from (select unnest(range((select min(y) from c), (select max(y) from c) + 1)) y) s left join c on s.y = c.y""")
+@query("""with c as (select cast(year(o_orderdate) * 2 as int) y, count(*) n from orders group by 1) select cast(s.y as int) as year, coalesce(c.n, 0) n from (select unnest(range((select min(y) from c), (select max(y) from c) + 1)) y) s left join c on s.y = c.y""")
 def year_counts(t):
-    return A.dense_counts(t("orders", "o_orderdate").select(F.year("o_orderdate").alias("year")).filter("year <> 1994"), "year")
+    return A.dense_counts(t("orders", "o_orderdate").select((F.year("o_orderdate") * 2).alias("year")), "year")  # twice the year, so that there are gaps
 
 
 @query("""select trim(source) as value, count(*) n from documents where trim(source) <> '' group by 1""")
@@ -293,9 +388,136 @@ def threshold_calibration(t):
     return A.threshold_report(t("events", "value", "event_type"), F.col("value"), F.col("event_type") == "purchase", 50.0).select(*(r6(F.col(c), c) for c in ("agreement", "leaked_mean", "suggested")))
 
 
-@query("""select s_nationkey, count(*) n, count(*) filter (s_acctbal > 0) open, count(*) filter (s_acctbal > 5000) diamond, count(*) > 4 eligible from supplier group by 1""")
+@query("""select s_nationkey, count(*) n, count(*) filter (s_acctbal > 0) open, count(*) filter (s_acctbal > 5000) diamond, count(*) > 4 pass_any, count(*) filter (s_acctbal > 5000) > 4 pass_diamond from supplier group by 1""")
 def grouped_counts(t):
-    return t("supplier", "s_nationkey", "s_acctbal").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("s_acctbal") > 0).alias("open"), F.count_if(F.col("s_acctbal") > 5000).alias("diamond")).withColumn("eligible", F.col("n") > 4)
+    return D.topic_counts(t("supplier", "s_nationkey", "s_acctbal"), "s_nationkey", F.col("s_acctbal") > 0, F.when(F.col("s_acctbal") > 5000, "diamond").otherwise("gold"), 4)
+
+
+@query("""with c as (select s_nationkey, count(*) > 4 a, count(*) filter (s_acctbal > 5000) > 4 d from supplier group by 1) select n_regionkey, count(*) topics, count(*) filter (a) pass_any, count(*) filter (d) pass_diamond from c join nation on s_nationkey = n_nationkey group by 1""")
+def field_summary(t):
+    return D.field_summary(grouped_counts(t).join(t("nation", "n_nationkey", "n_regionkey"), F.col("s_nationkey") == F.col("n_nationkey")), "n_regionkey")
+
+
+@query("""with c as (select cast(l_linenumber as varchar) as value, count(*) n from lineitem group by 1) select value, n, cast(row_number() over (order by cast(value as double)) as int) place from c""")
+def value_distribution(t):
+    return D.value_distribution(t("lineitem", "l_linenumber"), "l_linenumber")
+
+
+@query(f"""with s as (select doc_id, left(text, 80) c, {SQL_SENTENCES} s from documents), f as (select c, [cast({sql_foreign('z')} as int) for z in s if length(trim(z)) >= 5] b from s),
+p as (select coalesce(trim(c) <> '' and length(c) >= 5 and not {sql_foreign('c')}, false) t, coalesce(list_sum(b) / nullif(len(b), 0) < 0.2, false) a from f), n as (select count(*) total, count(*) filter (t) title_pass, count(*) filter (a) abstract_pass, count(*) filter (t and a) both_pass from p)
+select *, round(100.0 * title_pass / total, 6) title_pass_rate, round(100.0 * abstract_pass / total, 6) abstract_pass_rate, round(100.0 * both_pass / total, 6) both_pass_rate from n""")
+def language_diagnostics(t):
+    x = F.col("text")
+    d = D.language_diagnostics(t("documents", "text"), P.english_title(F.substring(x, 1, 80)), P.english_abstract(x, empty_passes=False))
+    return d.select("total", "title_pass", "abstract_pass", "both_pass", *(r6(F.col(k), k) for k in ("title_pass_rate", "abstract_pass_rate", "both_pass_rate")))
+
+
+@query(f"""with g as (select count(*) n from (select 1 from documents where text is not null group by lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) having count(*) > 1)), p as ({SQL_SPOILED})
+select count(*) scanned, count(*) filter (regexp_matches(lower(text), '({alternatives(T.NOISE_PATTERNS)})')) noisy, count(*) filter (lang = 'en' and {sql_foreign('text')}) "foreign", count(*) filter (coalesce(trim(text) = '', true) or lang is null) missing,
+count(*) filter (doc_id % 2 <> 0) unexpected_type, (select n from g) duplicate_groups from p""")
+def corpus_diagnostics(t):
+    x, d = F.col("text"), spoiled(t).join(t("documents", "doc_id", F.col("text").alias("own")), "doc_id")
+    return D.corpus_diagnostics(d, F.col("own"), F.size(T.noise_found(x)) > 0, (F.col("lang") == "en") & T.suspicious_english(x), F.size(P.missing_fields(text=x, lang=F.col("lang"))) > 0, F.when(F.col("doc_id") % 2 == 0, "article").otherwise("dataset"))
+
+
+@query("""with c as (select case when doc_id % 6 = 0 then 'h' when (doc_id % 6) / 10.0 < 0.35 then 's' else 'c' end k from documents), n as (select count(*) total, count(*) filter (k = 'h') heuristic, count(*) filter (k = 's') semantic, count(*) filter (k <> 'c') garbage from c)
+select *, round(100.0 * heuristic / total, 6) heuristic_rate, round(100.0 * semantic / total, 6) semantic_rate, round(100.0 * garbage / total, 6) garbage_rate from n""")
+def scan_summary(t):
+    k = F.col("doc_id") % 6
+    d = t("documents", "doc_id").withColumns({"abstract": F.when(k == 0, F.when(F.col("doc_id") % 12 == 0, "").otherwise("see EasyBib")).otherwise("plain"), "similarity": k / 10.0})
+    s = D.scan_summary(D.scanned(d, F.lit("title"), F.col("abstract"), F.col("similarity"), 0.35))
+    return s.select("total", "heuristic", "semantic", "garbage", *(r6(F.col(c), c) for c in ("heuristic_rate", "semantic_rate", "garbage_rate")))
+
+
+@query("""with c as (select c_mktsegment, c_acctbal > 0 pass, c_custkey from customer), r as (select c_mktsegment, count(*) n from c where not pass group by 1) select c_custkey, c_mktsegment from (select *, row_number() over (order by c_custkey) r from c where not pass) where r <= 10""")
+def failure_samples(t):
+    return D.failures(t("customer", "c_custkey", "c_mktsegment", "c_acctbal"), F.col("c_acctbal") > 0, "c_custkey").select("c_custkey", "c_mktsegment")
+
+
+# --- topics ----------------------------------------------------------------------------------------------------------------------
+
+
+def nations_as_topics(t):
+    """Topics made of nations, with regions as fields; some lack names, ids or fields."""
+    k = F.col("n_nationkey")
+    field = F.when(k % 6 != 0, F.struct(F.concat(F.lit("https://x.org/fields/"), F.col("r_regionkey").cast("string")).alias("id"), F.col("r_name").alias("display_name")))
+    n = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return n.select(F.when(k % 7 == 0, " ").otherwise(F.concat(F.lit("https://x.org/T"), k.cast("string"))).alias("id"), F.when(k % 4 != 0, F.col("n_name")).alias("display_name"), F.lit("d").alias("description"), (k * 1000).cast("bigint").alias("works_count"), field.alias("field"), F.lit(None).cast("struct<display_name: string>").alias("domain"))
+
+
+SQL_TOPICS = """t as (select n_nationkey k, case when n_nationkey % 7 = 0 then ' ' else 'https://x.org/T' || n_nationkey end id, case when n_nationkey % 4 <> 0 then n_name end name, n_nationkey * 1000 works, case when n_nationkey % 6 <> 0 then r_name end field, case when n_nationkey % 6 <> 0 then cast(r_regionkey as varchar) end field_id
+from nation join region on n_regionkey = r_regionkey)"""
+
+
+@query(f"with {SQL_TOPICS} select field, array_to_string(list(id order by id), ',') ids from t where works >= 8000 and trim(id) <> '' and field is not null group by field")
+def eligible_topics(t):
+    return O.ids_by_field(O.eligible(nations_as_topics(t))).select("field", F.array_join("ids", ",").alias("ids"))
+
+
+@query(f"with {SQL_TOPICS} select case when id = ' ' then ' ' else 'T' || k end topic_id, coalesce(name, 'Unknown') topic_name, coalesce(field_id, 'Unknown') field_id, coalesce(field, 'Unknown') field_name, 'Unknown' domain_name from t")
+def flat_topics(t):
+    return O.flat_topics(nations_as_topics(t))
+
+
+@query(f"""with {SQL_TOPICS} select c_custkey, coalesce(name, case when c_nationkey % 7 <> 0 then 'T' || c_nationkey end, 'T' || c_nationkey) || ' (T' || c_nationkey || ')' topic, coalesce(field || ' (' || field_id || ')', '') field
+from customer left join t on c_nationkey = k and k % 7 <> 0""")
+def topic_lookup(t):
+    k = F.col("c_custkey") % 3
+    bare = F.concat(F.lit("T"), F.col("c_nationkey").cast("string"))
+    url = F.when(k == 0, bare).when(k == 1, F.concat(F.lit("https://x.org/"), bare)).otherwise(F.concat(F.lit("https://x.org/"), bare, F.lit("//")))
+    found = O.with_topics(t("customer", "c_custkey", "c_nationkey").withColumn("url", url), "url", nations_as_topics(t))
+    return found.select("c_custkey", O.topic_label(F.col("topic.display_name"), bare).alias("topic"), O.field_label(F.col("topic.field.display_name"), F.col("topic.field.id")).alias("field"))
+
+
+@query("""with l as (select s_suppkey, case when s_suppkey % 3 = 0 then 'High' else 'low' end confidence, s_nationkey from supplier) select s_suppkey, n_name from l left join (select * from nation where n_nationkey < 12) on s_nationkey = n_nationkey where confidence = 'High'""")
+def labels_with_metrics(t):
+    labels = t("supplier", "s_suppkey", F.col("s_nationkey").alias("cluster")).withColumn("confidence", F.when(F.col("s_suppkey") % 3 == 0, "High").otherwise("low"))
+    metrics = t("nation", F.col("n_nationkey").alias("cluster"), "n_name").filter("cluster < 12")
+    return O.confident(O.with_metrics(labels, metrics)).select("s_suppkey", "n_name")
+
+
+@query("""select o_orderkey, o_orderpriority from orders where o_orderstatus = 'F' and o_orderkey % 2 = 0""")
+def verified_papers(t):
+    o = t("orders", F.col("o_orderkey").alias("id"), "o_orderpriority", "o_orderstatus")
+    return O.verified(o.select("id").filter("id % 2 = 0"), o.select("id", "o_orderpriority", (F.col("o_orderstatus") == "F").alias("pass"))).select(F.col("id").alias("o_orderkey"), "o_orderpriority")
+
+
+@query("""select c_custkey, r_name field, case when c_custkey % 2 = 0 then n_name else c_name end topic from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where n_nationkey < 20 and (c_custkey % 2 = 0 or c_custkey % 3 = 0)""")
+def labelled_papers(t):
+    k = F.col("c_custkey")
+    papers = t("customer", "c_custkey", "c_name", F.col("c_nationkey").cast("string").alias("n")).withColumn("folder", F.concat("n", F.lit("_"), (k % 2).cast("string"))).withColumn("topic_name", F.when(k % 3 == 0, F.col("c_name")).otherwise(""))
+    n = t("nation").filter("n_nationkey < 20").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    labels = n.select(F.explode(F.array(F.lit("0"), F.lit("1"))).alias("odd"), "n_nationkey", "n_name", "r_name").select(F.concat(F.col("n_nationkey").cast("string"), F.lit("_"), "odd").alias("folder"), F.col("r_name").alias("umbrella"), F.when(F.col("odd") == "0", F.col("n_name")).otherwise("").alias("label"))
+    return O.labelled_papers(papers, labels).select("c_custkey", "field", "topic")
+
+
+@query("""select s_suppkey from supplier order by s_acctbal desc, s_suppkey limit 1""")
+def best_cluster(t):
+    return O.best(t("supplier", "s_suppkey", "s_acctbal"), "s_acctbal", "s_suppkey").select("s_suppkey")
+
+
+@query("""select doc_id from documents order by md5(doc_id || ':42'), doc_id limit 15""")
+def preview_sample(t):
+    return O.preview(t("documents", "doc_id"), "doc_id")
+
+
+@query("""select o_orderkey from (select o_orderkey, row_number() over (order by md5(o_orderkey || ':42'), o_orderkey) r, o_orderstatus from orders) where r <= 300 and o_orderstatus = 'F'
+and (select count(*) from (select o_orderstatus s, row_number() over (order by md5(o_orderkey || ':42'), o_orderkey) r from orders) where r <= 300 and s = 'F') < 100000""")
+def topped_up_sample(t):
+    return A.topped_up(t("orders", "o_orderkey", "o_orderstatus"), "o_orderkey", F.col("o_orderstatus") == "F", 300, chunk=300, rounds=1).select("o_orderkey")
+
+
+@query("""select o_orderkey from orders where o_orderstatus = 'O' and o_orderpriority = '1-URGENT' order by cast(o_orderkey as varchar) limit 40""")
+def first_works(t):
+    o = t("orders", F.col("o_orderkey").cast("string").alias("id"), "o_orderstatus", "o_orderpriority")
+    return I.first_works(o, 40, o_orderstatus="O", o_orderpriority="1-URGENT").select(F.col("id").cast("bigint").alias("o_orderkey"))
+
+
+@query("""select page_id, 'w' || page_id abstract from pages where page_id % 11 = 0""")
+def point_lookup(t):
+    p = t("pages", "page_id", "url").withColumns({"id": F.concat(F.lit("https://x.org/W"), F.col("page_id").cast("string")), "abstract_inverted_index": F.create_map(F.concat(F.lit("w"), F.col("page_id").cast("string")), F.array(F.lit(0)))})
+    ids = t("pages", "page_id").filter("page_id % 11 = 0").select(F.concat(F.lit("W"), F.col("page_id").cast("string")).alias("id"))
+    return I.wanted_works(p, ids).select("page_id", "abstract")
 
 
 SQL_DELTAS = """x as (select case when o_orderstatus = 'O' then 'biased' else 'unbiased' end condition, o_custkey paper_id, o_orderpriority metadata, case when o_totalprice > 150000 then 1 else 0 end selected from orders),
@@ -324,27 +546,35 @@ def run_expansion(t):
 # --- statistics ------------------------------------------------------------------------------------------------------------------
 
 
-@query("""select count(*) n, round(corr(l_quantity, l_extendedprice), 6) r from lineitem""")
+#: p of a correlation in c (n, r), by Simpson's rule over the density of Student's t.
+SQL_STUDENT = """t as (select n, r, n - 2 df, abs(r) * sqrt((n - 2) / (1 - r * r)) t from c),
+s as (select n, r, df, sum((case when k in (0, 4000) then 1 when k % 2 = 1 then 4 else 2 end) * exp(-(df + 1) / 2.0 * ln(1 + pow(t * k / 4000, 2) / df))) * t / 12000 s from t, (select unnest(range(0, 4001)) k) group by n, r, df, t)
+select n, round(r, 6) r, round(1 - 2 * s * exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0)) / sqrt(pi() * df), 6) p from s"""
+
+
+@query(f"""with c as (select count(*) n, corr(l_quantity, l_discount) r from lineitem), {SQL_STUDENT}""")
 def pearson(t):
-    return S.pearson(t("lineitem", "l_quantity", "l_extendedprice"), "l_quantity", "l_extendedprice").select("n", r6(F.col("r"), "r"))
+    return S.pearson(t("lineitem", "l_quantity", "l_discount"), "l_quantity", "l_discount").select("n", r6(F.col("r"), "r"), r6(F.col("p"), "p"))
 
 
-@query("""with r as (select rank() over (order by l_quantity) + (count(*) over (partition by l_quantity) - 1) / 2.0 a, rank() over (order by l_discount) + (count(*) over (partition by l_discount) - 1) / 2.0 b from lineitem) select count(*) n, round(corr(a, b), 6) r from r""")
+@query(f"""with r as (select rank() over (order by l_quantity) + (count(*) over (partition by l_quantity) - 1) / 2.0 a, rank() over (order by l_discount) + (count(*) over (partition by l_discount) - 1) / 2.0 b from lineitem), c as (select count(*) n, corr(a, b) r from r), {SQL_STUDENT}""")
 def spearman(t):
-    return S.spearman(t("lineitem", "l_quantity", "l_discount"), "l_quantity", "l_discount").select("n", r6(F.col("r"), "r"))
+    return S.spearman(t("lineitem", "l_quantity", "l_discount"), "l_quantity", "l_discount").select("n", r6(F.col("r"), "r"), r6(F.col("p"), "p"))
 
 
-@query("""with g as (select l_shipdate is not null, l_returnflag, count(*) n, avg(l_quantity) m, var_pop(l_quantity) v from lineitem group by all having count(*) > 1), t as (select count(*) k, sum(n) n, sum(n * m) s, sum(n * m * m) q, sum(n * v) w from g)
-select k, cast(n as bigint) n, round(((q - s * s / n) / (k - 1)) / (w / (n - k)), 5) f from t""")
+@query("""with g as (select l_shipdate is not null, l_returnflag, count(*) n, avg(l_quantity) m, var_pop(l_quantity) v from lineitem group by all having count(*) > 1), t as (select count(*) k, sum(n) n, sum(n * m) s, sum(n * m * m) q, sum(n * v) w from g),
+f as (select k, n, ((q - s * s / n) / (k - 1)) / (w / (n - k)) f from t)
+select k, cast(n as bigint) n, round(f, 5) f, round(pow((n - 3) / (n - 3 + 2 * f), (n - 3) / 2.0), 6) p from f""")
 def anova(t):
-    return S.anova(t("lineitem", "l_returnflag", "l_quantity"), "l_returnflag", "l_quantity").select("k", "n", F.round("f", 5).alias("f"))
+    return S.anova(t("lineitem", "l_returnflag", "l_quantity"), "l_returnflag", "l_quantity").select("k", "n", F.round("f", 5).alias("f"), r6(F.col("p"), "p"))
 
 
 @query("""with r as (select l_returnflag g, l_quantity x, rank() over (order by l_quantity) + (count(*) over (partition by l_quantity) - 1) / 2.0 a from lineitem), s as (select g, count(*) n, sum(a) s from r group by g),
-t as (select count(*) k, sum(n) n, sum(s * s / n) q from s), z as (select sum(c * c * c - c) t from (select cast(count(*) as double) c from lineitem group by l_quantity))
-select k, cast(n as bigint) n, round((12.0 / (cast(n as double) * (n + 1)) * q - 3.0 * (n + 1)) / (1 - z.t / (cast(n as double) * n * n - n)), 5) h from t, z""")
+t as (select count(*) k, sum(n) n, sum(s * s / n) q from s), z as (select sum(c * c * c - c) t from (select cast(count(*) as double) c from lineitem group by l_quantity)),
+h as (select k, n, (12.0 / (cast(n as double) * (n + 1)) * q - 3.0 * (n + 1)) / (1 - z.t / (cast(n as double) * n * n - n)) h from t, z)
+select k, cast(n as bigint) n, round(h, 5) h, round(exp(-h / 2), 6) p from h""")
 def kruskal(t):
-    return S.kruskal(t("lineitem", "l_returnflag", "l_quantity"), "l_returnflag", "l_quantity").select("k", "n", F.round("h", 5).alias("h"))
+    return S.kruskal(t("lineitem", "l_returnflag", "l_quantity"), "l_returnflag", "l_quantity").select("k", "n", F.round("h", 5).alias("h"), r6(F.col("p"), "p"))
 
 
 @query("""select round(regr_slope(l_extendedprice, l_quantity), 5) slope, round(regr_intercept(l_extendedprice, l_quantity), 3) intercept from lineitem""")
@@ -354,13 +584,16 @@ def trend_line(t):
 
 @query(f"with {SQL_DELTAS} select metadata, count(*) n, round(avg(delta), 6) mean from d where delta is not null group by 1")
 def category_means(t):
-    return _deltas(t).filter("delta is not null").groupBy("metadata").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("delta"), "mean"))
+    return D.category_means(_deltas(t), "metadata", "delta").select("metadata", "n", r6(F.col("mean"), "mean"))
 
 
-@query()
+@query(f"""with {SQL_DELTAS}, v as (select metadata g, delta x from d where delta is not null), g as (select g, count(*) n, avg(x) m, var_pop(x) v from v group by g), t as (select count(*) k, sum(n) n, sum(n * m) s, sum(n * m * m) q, sum(n * v) w from g),
+f as (select k, n, ((q - s * s / n) / (k - 1)) / (w / (n - k)) f from t), r as (select g, rank() over (order by x) + (count(*) over (partition by x) - 1) / 2.0 a from v), u as (select count(*) k, sum(n) n, sum(s * s / n) q from (select g, count(*) n, sum(a) s from r group by g)),
+z as (select sum(c * c * c - c) t from (select cast(count(*) as double) c from v group by x)), h as (select (12.0 / (cast(n as double) * (n + 1)) * q - 3.0 * (n + 1)) / (1 - z.t / (cast(n as double) * n * n - n)) h from u, z)
+select k, cast(n as bigint) n, round(f, 5) f, round(h, 5) h, round(pow((n - k) / (n - k + 4 * f), (n - k) / 2.0) * (1 + (n - k) / 2.0 * (1 - (n - k) / (n - k + 4 * f))), 6) p, round(exp(-h / 2) * (1 + h / 2), 6) p_h, 'categorical' kind from f, h""")
 def effect_test(t):
     kind, found = S.effect(_deltas(t), "metadata", "delta")
-    return found.withColumn("kind", F.lit(kind))
+    return found.select("k", "n", F.round("f", 5).alias("f"), F.round("h", 5).alias("h"), r6(F.col("p"), "p"), r6(F.col("p_h"), "p_h"), F.lit(kind).alias("kind"))
 
 
 # --- order, samples, windows, sets -----------------------------------------------------------------------------------------------
@@ -396,12 +629,12 @@ def rotated_contexts(t):
     return A.rotated(t("nation", "n_nationkey").withColumn("rank", F.col("n_nationkey")), 5, 25).select("n_nationkey", F.col("run").cast("bigint").alias("run"), "place")
 
 
-@query()
+@query("""select doc_id, source from (select *, row_number() over (partition by source order by md5(doc_id || ':42'), doc_id) r from documents) where r <= 3""")
 def stratified_sample(t):
     return A.stratified(t("documents", "doc_id", "source"), "source", "doc_id", 3)
 
 
-@query()
+@query("""select doc_id from documents order by md5(doc_id || ':42'), doc_id limit 50""")
 def reservoir_sample(t):
     return A.reservoir(t("documents", "doc_id"), "doc_id", 50)
 
@@ -411,10 +644,10 @@ def anti_join(t):
     return R.audited(t("labels").filter("quality = 1").withColumn("rank", F.lit(1)).withColumn("id", F.col("doc_id")), t("documents", "doc_id", "lang").filter("lang = 'en'").select(F.col("doc_id").alias("id")), 10).select("doc_id")
 
 
-@query("""select d.doc_id, d.source, l.quality from documents d join labels l on d.doc_id = l.doc_id where d.source is not null union all select doc_id, source, null from documents where doc_id not in (select doc_id from labels)""")
+@query("""select d.doc_id, d.source, l.quality from documents d join labels l on d.doc_id = l.doc_id union all select doc_id, source, null from documents where doc_id not in (select doc_id from labels)""")
 def aligned_reports(t):
     d, l = t("documents", "doc_id", "source"), t("labels", "doc_id", "quality")
-    return d.join(l, "doc_id").unionByName(d.join(l, "doc_id", "left_anti"), allowMissingColumns=True)
+    return D.aligned(d, l, "doc_id").unionByName(d.join(l, "doc_id", "left_anti"), allowMissingColumns=True)
 
 
 @query("""select c_custkey, coalesce(n_name, '') country from customer left join nation on c_nationkey = n_nationkey and n_nationkey < 20""")
@@ -439,11 +672,26 @@ def citation_extraction(t):
     return x.select("conv_id", "turn", R.citations(F.col("a")).alias("citations"), R.without_fences(F.col("a")).alias("rest"))
 
 
-@query("""select conv_id, turn, turn % 4 < 3 as "match", turn % 4 <> 1 as clean, turn % 4 in (0, 2) as "pass" from conversations""")
+@query("""select conv_id, turn, turn % 4 < 3 as "match", true eng, turn % 4 <> 1 as clean, turn % 4 in (0, 2) as "pass", case turn % 4 when 0 then 'ok' when 3 then '[NLP Fallback] match: false, eng: true, clean: true oh...' else 'Parsed.' end explanation from conversations""")
 def audit_verdicts(t):
     k = F.col("turn") % 4
     answer = F.when(k == 0, '{"match": true, "eng": true, "clean": true, "explanation": "ok"}').when(k == 1, 'see\n```json\n{"match": true, "eng": true, "clean": false}\n```').when(k == 2, 'well {"match": true, "eng": true, "clean": true} yes').otherwise('"match": false, "eng": true, "clean": true oh')
-    return t("conversations", "conv_id", "turn").withColumn("v", R.verdict(answer)).select("conv_id", "turn", "v.match", "v.clean", "v.pass")
+    return t("conversations", "conv_id", "turn").withColumn("v", R.verdict(answer)).select("conv_id", "turn", "v.match", "v.eng", "v.clean", "v.pass", "v.explanation")
+
+
+@query("""select conv_id, turn, case when turn % 3 = 2 then '' else 'Name' end topic_name, case turn % 3 when 0 then 'high' when 1 then 'medium' else 'low' end confidence from conversations""")
+def topic_labelling(t):
+    def model(prompts: list[str]) -> list[str]:
+        fence = '```json_topic\n{"topic_name": "Name", "keywords": ["k"]%s}\n```'
+        return [fence % ', "confidence": "high"' if p.startswith("0") else fence % "" if p.startswith("1") and "IMPORTANT" in p else "no fence" for p in prompts]
+
+    c = t("conversations", "conv_id", "turn").withColumn("prompt", (F.col("turn") % 3).cast("string"))
+    return R.labelled(c, "prompt", R.with_tries(model)).select("conv_id", "turn", "label.topic_name", "label.confidence")
+
+
+@query("""select conv_id, turn, cast(length(text) as double) first, cast(1 as double) last from conversations""")
+def text_embedding(t):
+    return R.embedded(t("conversations", "conv_id", "turn", "text"), "text", lambda texts: [[float(len(x)), 1.0] for x in texts]).select("conv_id", "turn", F.col("vector")[0].alias("first"), F.col("vector")[1].alias("last"))
 
 
 @query("""select conv_id, turn, cast(case turn % 4 when 0 then 77 when 1 then 10 when 2 then 50 else 0 end as int) score from conversations""")

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from codexlake.functions.nested import WORK
+from codexlake.functions.nested import WORK, abstract_text
+from codexlake.functions.text import id_suffix
 
 TOPIC = "id string, display_name string, description string, works_count bigint, field struct<id: string, display_name: string>, domain struct<display_name: string>"
 
@@ -67,6 +68,24 @@ def results(spark: SparkSession, folder: str, prompt: str, topic: str, bias: str
     return json_documents(spark, f"{folder}/{result_name(prompt, topic, bias)}", "iteration int, order array<string>, answer string, citations array<string>")
 
 
+def wanted_works(works: DataFrame, ids: DataFrame) -> DataFrame:
+    """The works of ids (id, bare or a URL), with abstract."""
+    want = ids.select(id_suffix(F.col("id")).alias("_id")).distinct()
+    return works.withColumn("_id", id_suffix(F.col("id"))).join(want, "_id", "left_semi").drop("_id").withColumn("abstract", abstract_text(F.col("abstract_inverted_index")))
+
+
+def one_work(works: DataFrame, id_: str) -> DataFrame:
+    """The work with an id, as a JSON document."""
+    return works.filter(id_suffix(F.col("id")) == id_.rstrip("/").rpartition("/")[2]).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("document"))
+
+
+def first_works(works: DataFrame, n: int, **equal: str | bool) -> DataFrame:
+    """The first n works, by id, whose columns (nested ones with __ for the dot) have these values; filters reach the scan."""
+    for name, value in equal.items():
+        works = works.filter(F.col(name.replace("__", ".")) == value)
+    return works.orderBy("id").limit(n)
+
+
 def with_retries(call: Callable[[], tuple[int, Any]], tries: int = 6, wait: Callable[[float], None] = time.sleep) -> Any:
     """The body of a call that gives (status, body), tried again with growing waits on 429 and 5xx; other failures raise."""
     for k in range(tries):
@@ -80,10 +99,20 @@ def with_retries(call: Callable[[], tuple[int, Any]], tries: int = 6, wait: Call
 
 
 class PagedReader(DataSourceReader):
-    """A partition for each seed; pages follow cursors until there is none."""
+    """A partition for each seed; pages follow cursors until there is none. Equalities of top-level columns named in the option ``pushed`` become filters of the request."""
 
     def __init__(self, schema, options: dict) -> None:
-        self.names, self.options = schema.names, options
+        self.names, self.options, self.filters = schema.names, options, {}
+
+    def pushFilters(self, filters: list) -> Iterator:
+        from pyspark.sql.datasource import EqualTo
+
+        allowed = self.options.get("pushed", "").split(",")
+        for f in filters:
+            if isinstance(f, EqualTo) and len(f.attribute) == 1 and f.attribute[0] in allowed:
+                self.filters[f.attribute[0]] = str(f.value)
+            else:
+                yield f
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(s) for s in self.options.get("seeds", "0").split(",")]
@@ -94,7 +123,7 @@ class PagedReader(DataSourceReader):
         module, _, name = self.options["client"].partition(":")
         fetch, cursor = getattr(importlib.import_module(module), name), "*"
         while cursor:
-            page = with_retries(lambda c=cursor: fetch(c, partition.value, dict(self.options)))
+            page = with_retries(lambda c=cursor: fetch(c, partition.value, {**self.options, **({"filter": ",".join(f"{k}:{v}" for k, v in sorted(self.filters.items()))} if self.filters else {})}))
             for row in page["results"]:
                 yield tuple(row.get(n) for n in self.names)
             cursor = page.get("next_cursor")

@@ -10,21 +10,16 @@ from codexlake.plans.queries import QUERIES
 
 
 def brute_class_tfidf(rows, least=3, most=0.35):
-    in_texts, n = collections.Counter(), collections.Counter()
+    n = collections.Counter()
     for cluster, text in rows:
-        words = [w for w in re.findall(r"\b[a-zA-Z]{2,}\b", (text or "").lower()) if w not in ("the", "of")]
-        grams = [" ".join(words[i : i + k]) for k in (2, 3, 4) for i in range(len(words) - k + 1)]
-        n.update((cluster, g) for g in grams)
-        in_texts.update((cluster, g) for g in set(grams))
-    all_texts, df = collections.Counter(), collections.Counter()
-    for (_, g), k in in_texts.items():
-        all_texts[g] += k
-        df[g] += 1
-    n = {k: v for k, v in n.items() if least <= all_texts[k[1]] <= most * len(rows)}
+        words = [w for w in re.findall(r"\w+", (text or "").lower()) if re.fullmatch("[a-zA-Z]{2,}", w) and w not in ("the", "of")]
+        n.update((cluster, " ".join(words[i : i + k])) for k in (2, 3, 4) for i in range(len(words) - k + 1))
+    df, clusters = collections.Counter(g for _, g in n), len({c for c, _ in rows})
+    n = {k: v for k, v in n.items() if least <= df[k[1]] <= most * clusters}
     size = collections.Counter()
     for (c, _), v in n.items():
         size[c] += v
-    clusters, got = len({c for c, _ in rows}), set()
+    got = set()
     for c in size:
         weighed = [(-round(v / size[c] * (math.log((clusters + 1) / (df[g] + 1)) + 1), 9), g, v) for (x, g), v in n.items() if x == c]
         got |= {(c, g, v, round(-w, 6)) for w, g, v in sorted(weighed)[:10]}
@@ -32,15 +27,40 @@ def brute_class_tfidf(rows, least=3, most=0.35):
 
 
 def test_class_tfidf_counts_long_texts_and_longer_grams(spark, tmp_path):
-    shared = ["alpha beta gamma delta", "red green blue", "the cat of house"]
-    rows = [("abc"[i % 3], " ".join(f"w{'xyz'[j % 3] * (1 + (i + j) % 4)} {shared[(i + j) % 3] if j % (5 + i % 3) == 0 else 'q' + 'uv'[j % 2]}" for j in range(4 + 60 * (i % 2)))) for i in range(24)]
-    rows += [("a", f"only{'k' * i} {shared[0]}") for i in range(2, 5)] + [("b", None), ("c", "")]
+    phrase = [" ".join(chr(97 + k) + x for x in ("one", "two", "three", "four")) for k in range(10)]  # each in three clusters of ten
+    rows = [(chr(97 + c), " ".join(f"{phrase[(c + (j + d) % 3) % 10]} été-ci nci{'z' * (j % 5)} the of{j % 4}" for j in range(2 + 12 * d))) for c in range(10) for d in range(3)]
+    rows += [("a", f"only{'k' * i} {phrase[0]}") for i in range(2, 5)] + [("b", None), ("c", "")]
     assert any(len(t or "") > 600 for _, t in rows)
     spark.createDataFrame([(c, t, len(t or "")) for c, t in rows], "source string, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     got = {(r["cluster"], r["term"], r["n"], r["weight"]) for r in QUERIES["class_tfidf"](spark, str(tmp_path)).collect()}
     assert got == brute_class_tfidf(rows) and any(t.count(" ") == 3 for _, t, _, _ in got)
 
 
+def test_merging_follows_the_means_of_members(spark):
+    from codexlake.operators import clusters
+
+    rng = np.random.default_rng(4)
+    vectors = {c: rng.normal(size=(5 + c, 6)) + 2 * rng.normal(size=6) for c in range(8)}
+    unit = {c: v / np.linalg.norm(v, axis=1, keepdims=True) for c, v in vectors.items()}
+    held = {c: list(v) for c, v in unit.items()}
+    of = {c: c for c in held}
+    while len(held) > 3:
+        names = sorted(held)
+        m = np.stack([np.mean(held[c], axis=0) for c in names])
+        m /= np.linalg.norm(m, axis=1, keepdims=True)
+        s = m @ m.T
+        np.fill_diagonal(s, -np.inf)
+        i, j = np.unravel_index(np.argmax(s), s.shape)
+        if s[i, j] < 0.2:
+            break
+        a, b = names[min(i, j)], names[max(i, j)]
+        held[a] += held.pop(b)
+        of = {c: a if x == b else x for c, x in of.items()}
+    want = {c: sorted(held).index(x) for c, x in of.items()}
+    df = spark.createDataFrame([(10 * c + k, c, [float(y) for y in x]) for c, v in unit.items() for k, x in enumerate(v)], "id long, cluster int, vector array<double>")
+    assert {r["cluster"]: r["merged"] for r in clusters.merged_clusters(clusters.centroids(df), 0.2, 3).collect()} == want
+
+
 def test_abstracts_have_all_words(spark, tmp_path):
     rows = [(1, " ".join(f"w{i % 70}" for i in range(500))), (2, "a  b\n a"), (3, " "), (4, None)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
