@@ -402,7 +402,7 @@ def labelled(members: DataFrame, links: DataFrame, where: str, name: str) -> Dat
 
 
 def classes_of(docs: DataFrame, where: str) -> DataFrame:
-    """doc_id, text_key, key, n, component of each document; component is the smallest doc_id that links reach."""
+    """doc_id, text_key, key, n, c, component of each document; component is the smallest doc_id that links reach, c tells components with one such id apart."""
     spark = docs.sparkSession
     near = lambda n, m: 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
     scan = written(scanned(docs), where, "scan")
@@ -430,9 +430,9 @@ def classes_of(docs: DataFrame, where: str) -> DataFrame:
     links = links.union(compared(compared(pairs2, reps, docs, where, "fine", True), reps, docs, where, "second", False))
     label = components(links, f"{where}/all").select(F.col("node").alias("key"), F.col("component").alias("c"))
     named = reps.join(label, "key", "left").select("key", "id", F.coalesce("c", "key").alias("c"))
-    found = written(named.join(named.groupBy("c").agg(F.min("id").alias("component")), "c").select("key", "component"), where, "found")
+    found = written(named.join(named.groupBy("c").agg(F.min("id").alias("component")), "c").select("key", "c", "component"), where, "found")
     forget(spark, where, "all", "pairs1", "pairs2", "classes", "first_links", "fine_links", "second_links", "block_links")
-    return members.join(found, "key", "left").select("doc_id", "text_key", "key", "n", F.coalesce("component", F.when(F.col("n") == 0, F.col("doc_id"))).alias("component"))
+    return members.join(found, "key", "left").select("doc_id", "text_key", "key", "n", "c", F.coalesce("component", F.when(F.col("n") == 0, F.col("doc_id"))).alias("component"))
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -442,15 +442,15 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: that with its smallest doc_id, of several texts under this id the one of least hash, of repeated rows one. Rows
+    """One document of each component: that with its smallest doc_id, of several of its texts under this id the one of least hash, of repeated rows one. Rows
     without words, and those without doc_id whose component has none, stay."""
     prepare(spark)
     where = shared_dir(spark)
     rows = written(classes_of(docs.select("doc_id", "text"), where).filter("n > 0 and component is not null"), where, "members")
     me = F.struct("key", "text_key")
     first = rows.filter("doc_id = component")
-    clash = written(first.groupBy("doc_id").agg(F.min(me).alias("least"), F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1), where, "clash")
-    clashing = first.join(clash, "doc_id")
+    clash = written(first.groupBy("doc_id", "c").agg(F.min(me).alias("least"), F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1), where, "clash")
+    clashing = first.join(clash, ["doc_id", "c"])
     gone = rows.filter("doc_id is null or doc_id <> component").select("doc_id", "text_key").union(clashing.filter(me != F.col("least")).select("doc_id", "text_key")).distinct()
     id_, key = unused(docs, "id", "key")
     this = docs["doc_id"].eqNullSafe(F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(key))

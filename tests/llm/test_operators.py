@@ -1,11 +1,13 @@
 import collections
+import json
 import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
-from codexlake.llm import common, html_text, jaccard, language, line_dedup, packing, quality, registry, suffix_dedup, token_files, tokens, toxicity
+from codexlake.llm import common, decontamination, html_text, jaccard, language, line_dedup, packing, quality, registry, suffix_dedup, token_files, tokens, toxicity
 from conftest import DATA
 
 TEXTS = [None, "", "a", "One two three. " * 40, "One two three. " * 40, "x y z\n" * 9, " ".join(f"w{i}" for i in range(400)), " ".join(f"w{i}" for i in range(395)) + " q", "L1\nL2\nL3\nend", "L1\nL2\nL3\nfin", "é" * 900, "tab\tx  y \n z, k. O'k 12"]
@@ -94,6 +96,12 @@ def test_damaged_frames_are_noticed(tmp_path):
     for k in range(3):
         w.add(k, np.arange(100_000, dtype=np.uint32) % 50_000)
     w.close()
+    raw = (tmp_path / "x.zst").read_bytes()
+    n, descriptor, magic = int.from_bytes(raw[-9:-5], "little"), raw[-5], int.from_bytes(raw[-4:], "little")
+    sizes = [int.from_bytes(raw[-9 - 12 * (n - k) :][:4], "little") for k in range(n)]
+    assert magic == 0x8F92EAB1 and descriptor == 0x80 and sum(sizes) + 8 + 12 * n + 9 == len(raw)  # the public seekable layout
+    with pytest.raises(ValueError):
+        token_files.TokenFileWriter(f"file://{tmp_path}/y.zst").add(1, np.array([70_000], dtype=np.uint32))
     r = token_files.TokenFileReader(uri)
     assert r.get(1)[0].tolist() == (np.arange(100_000) % 50_000).tolist() and r.frames_read == 1
     raw = bytearray((tmp_path / "x.zst").read_bytes())
@@ -136,6 +144,55 @@ def test_jaccard_components(spark, docs, none):
     assert jaccard.classes_of(none, where(spark)).count() == 0
 
 
+def test_long_entries_and_salts_give_the_same_components(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "PAIRED", 1)
+    monkeypatch.setattr(jaccard, "SALTED", 3)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 7)
+    monkeypatch.setattr(jaccard, "FREQUENT", 8)
+    rng = np.random.default_rng(13)
+    base = [[f"{g}v{i}" for i in range(120)] for g in "abc"]
+    rows = [(k, " ".join(f"e{k}" if rng.random() < 0.004 * (k % 9) else w for w in base[k % 3])) for k in range(150)] + [(900 + k, " ".join(base[0][: 60 + 5 * k])) for k in range(12)]
+    got = {r["doc_id"]: (r["n"], r["component"]) for r in jaccard.classes_of(spark.createDataFrame(rows, "doc_id long, text string"), where(spark)).collect()}
+    assert got == brute_components(rows) and len({c for _, c in got.values()}) > 4
+
+
+def test_blocks_link_what_pairs_link():
+    rng = np.random.default_rng(14)
+    pool = np.unique(rng.integers(0, 1 << 63, 400, dtype=np.uint64))
+    sets = [np.sort(rng.choice(pool[: 60 + 40 * (k % 9)], 40 + 5 * (k % 9), replace=False)) for k in range(60)] + [np.sort(pool[:50]), np.sort(pool[:49])]
+
+    def joined(pairs, n):
+        up = list(range(n))
+
+        def top(a):
+            while up[a] != a:
+                a = up[a]
+            return a
+
+        for i, j in pairs:
+            a, b = top(i), top(j)
+            up[max(a, b)] = min(a, b)
+        return [top(i) for i in range(n)]
+
+    link = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))
+    n = len(sets)
+    every = [(i, j) for i in range(n) for j in range(i) if link(sets[i], sets[j])]
+    assert every and joined(jaccard.block_links(sets, None, list(range(n)), []), n) == joined(every, n)
+    half = n // 2
+    found = jaccard.block_links(sets[:half], sets[half:], list(range(half)), list(range(half, n)))
+    assert joined([(i, half + j) for i, j in found], n) == joined([(i, j) for i, j in every if (i < half) != (j < half)], n)
+    assert jaccard.histogram(np.zeros(0, dtype=np.uint64)) is None and jaccard.histogram(np.arange(1 << 15, dtype=np.uint64)) is None
+
+
+def test_different_texts_under_one_id_stay_apart(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b), (3, b), (4, "c d"), (5, None), (5, ""), (None, a), (None, "own"), (7, "c d"), (7, "c d")]
+    df = spark.createDataFrame([(d, t, "u", "v") for d, t in rows], "doc_id long, text string, id string, key string")
+    left = sorted(((r["doc_id"], r["text"]) for r in jaccard.stage(spark, df, DATA).collect()), key=repr)
+    assert len(left) == 6 and {(4, "c d"), (5, None), (5, ""), (None, "own")} <= set(left)  # and one row each for a and b
+    assert {t for _, t in left if t and len(t) > 20} == {a, b}
+
+
 def test_short_hashes_bound_intersections():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) // np.uint64(1 << 40) * np.uint64(1 << 40)) for n in (1, 40, 900, 70_000)]
@@ -170,19 +227,65 @@ def test_repeated_strings(spark, docs, none):
     assert suffix_dedup.dedup(docs, where(spark)).count() == docs.count() and suffix_dedup.dedup(none, where(spark)).count() == 0
 
 
-def test_hot_anchors_give_the_same(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [1, 5])
+def test_hot_anchors_give_the_same(spark, monkeypatch, hot):
     rng = np.random.default_rng(8)
     shared = " ".join(f"s{i}" for i in rng.integers(0, 999, 150))
-    rows = [(k, " ".join(f"u{k}_{i}" for i in range(30)) + shared[: 420 + 3 * k]) for k in range(12)]
+    rows = [(k, " ".join(f"u{k}_{i}" for i in range(30)) + shared[: 420 + 3 * k] + "!" * (k % 2)) for k in range(12)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    usual = sorted(map(tuple, suffix_dedup.dedup(df, where(spark), "none").select("doc_id", "kept").collect()))
-    monkeypatch.setattr(suffix_dedup, "HOT", 1)
-    assert sorted(map(tuple, suffix_dedup.dedup(df, where(spark), "none").select("doc_id", "kept").collect())) == usual
+    for keep in ("none", "first"):
+        got = lambda: sorted(map(repr, suffix_dedup.dedup(df, where(spark), keep).select("doc_id", "kept", "passages").collect()))  # noqa: B023, E731
+        monkeypatch.setattr(suffix_dedup, "HOT", 1000)
+        usual = got()
+        monkeypatch.setattr(suffix_dedup, "HOT", hot)
+        assert got() == usual
+
+
+def test_factor_arrays_are_the_brute_force_ones():
+    rng = np.random.default_rng(9)
+
+    def common(x, y):
+        n = 0
+        while n < min(len(x), len(y)) and x[n] == y[n]:
+            n += 1
+        return n
+
+    for _ in range(150):
+        m, least = int(rng.integers(1, 9)), int(rng.integers(1, 9))
+        lefts = [bytes(rng.integers(97, 99, rng.integers(0, 9)).tolist()) for _ in range(m)]
+        rights = [b"zzz" + bytes(rng.integers(97, 99, rng.integers(0, 9)).tolist()) for _ in range(m)]
+        if m > 3:
+            lefts[1], rights[2], lefts[3], rights[3] = lefts[0], rights[0], lefts[0], rights[0]
+        got = {}
+        for i, a, b, p, q in suffix_dedup.factor_runs(lefts, rights, least):
+            for d in range(a, b + 1):
+                assert (i, d) not in got
+                got[i, d] = (d + p if p else 0, d + q if q else 0)
+        for i in range(m):
+            for d in range(len(lefts[i]) + 1):
+                of = lambda js: max((d + common(rights[i], rights[j]) for j in js if lefts[j][:d] == lefts[i][:d] and len(lefts[j]) >= d), default=0)  # noqa: B023, E731
+                want = (of(range(i)), of(range(i + 1, m)))
+                assert tuple(x if x >= least else 0 for x in got.get((i, d), (0, 0))) == tuple(x if x >= least else 0 for x in want)
+
+
+def test_passages_and_texts_beyond_a_chunk(spark):
+    rng = np.random.default_rng(10)
+    words = [f"w{i}" for i in range(9000)]
+    passage = " ".join(f"pp{i}" for i in range(60))  # over 50 words, over 256 and under 400 bytes
+    assert 256 < len(passage) < 390
+    long = " ".join(rng.choice(words, 2 * suffix_dedup.CHUNK // 5))
+    edge = long[suffix_dedup.CHUNK - 300 : suffix_dedup.CHUNK + 300]  # stands across a chunk's edge
+    rows = [(1, long), (2, "a " + edge + " b"), (3, f"x {passage} y"), (4, f"z {passage}"), (5, "clean " * 3), (6, None)]
+    got = {r["doc_id"]: (sum(x["e"] - x["s"] for x in r["removed"]), max((x["words"] for x in r["passages"]), default=0)) for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), where(spark), "none").collect()}
+    assert got[1][0] == got[2][0] >= 600 and got[3][0] == got[4][0] == 0
+    assert got[3][1] >= 60 and got[4][1] >= 60 and got[5] == got[6] == (0, 0)
 
 
 def test_line_dedup_edges(spark, docs, none):
     out = {r["doc_id"]: r["text"] for r in line_dedup.stage(spark, docs.filter("doc_id <> 3"), DATA).collect()}
     assert out[8] == "L1\nL2\nL3\nend" and out[9] == "fin" and out[0] is None and out[1] == ""
+    copies = spark.createDataFrame([(1, "a\nb\nc", "x"), (2, "a\nb\nc", "y"), (3, "\n\n", "z")], "doc_id long, text string, n_removed string")
+    assert sorted(map(tuple, line_dedup.stage(spark, copies, DATA).collect())) == [(1, "a\nb\nc", "x"), (3, "\n\n", "z")]  # what stands in an earlier one goes whole
     assert line_dedup.stage(spark, none, DATA).count() == 0
 
 
@@ -201,6 +304,10 @@ def test_languages(spark, docs):
     rows = registry.QUERIES["op9_language"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id")
     held = rows.filter("held_out")
     assert held.filter("lang = lang_pred").count() > 0.98 * held.count()
+    assert language.fit(docs.filter("lang = 'none'")).predict("text") == ("und", 0.0)
+    many = spark.createDataFrame([(i, f"{chr(0x4E00 + i) * 4} {chr(0x5E00 + i) * 3}", f"l{i:03}") for i in range(150)], "doc_id long, text string, lang string")
+    known = language.fit(many)
+    assert [known.predict(f"{chr(0x5E00 + i) * 3}")[0] for i in (0, 70, 149)] == ["l000", "l070", "l149"] and known.predict("zzz")[1] == 0
     filters = language.fit(docs.filter("lang is not null"))
     assert filters.predict(None) == ("und", 0.0) and filters.predict("12 !") == ("und", 0.0) and filters.predict("zz")[0] in ("en", "de")
 
@@ -208,21 +315,32 @@ def test_languages(spark, docs):
 def test_toxicity(spark, docs, none):
     rows = registry.QUERIES["op8_toxicity"](spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").filter("held_out")
     right, bad, found = rows.filter("toxic = predicted").count(), rows.filter("toxic = 1").count(), rows.filter("toxic = 1 and predicted = 1").count()
-    assert right > 0.97 * rows.count() and found > 0.8 * bad
+    assert right > 0.98 * rows.count() and found > 0.9 * bad
     labels = spark.createDataFrame([(1, None)], "doc_id long, toxic int")
     assert toxicity.score(docs, *toxicity.fit(docs, labels)).filter("score >= 0.5").count() == 0
-    assert toxicity.clause_counts("IY|NI|RI|") == [0, 1, 1, 1, 0, 0, 3]
+    weights = lambda c: [2.0 * (x == "I") for x in c]
+    counts = [round(float(np.expm1(x))) for x in toxicity.clause_counts("IY|NI|RI|", weights("IY|NI|RI|"))[:-1]]
+    assert counts == [0, 1, 1, 1, 0, 0, 0, 2, 2, 2, 0, 0, 3]  # clauses by kind, their weights, matched clauses
 
 
 def test_html():
     page = '<html><body><nav><ul><li>a<li>b</ul></nav><div class="ad x">buy</div><article><h1>T &amp; t</h1><p>one\n two<br>three<p>four<aside>no</aside><div class="comments"><p>hi</div></article><footer>f</footer><script>"</p>"</script>'
     other = "<html><body><article><p>z</article></body></html>"
     wrapper = html_text.merge(html_text.skeleton(page), html_text.skeleton(other))
-    import json
-
     assert html_text.extract(page, json.dumps(wrapper)) == "T & t\none two three\nfour"
     assert html_text.extract("", json.dumps(wrapper)) == ""
-    assert "(<h1>#</>)?" in html_text.expression(wrapper)
+    assert "(<h1>=</>)?" in html_text.expression(wrapper)
+
+
+def test_template_text_is_told_from_slots(spark):
+    page = lambda k: f"<html><body><div class='top'>Same on all</div><div><p>own {k} <span class='advert'>buy</span> more</p><p>and {k}</p></div><div class='post-body comments-off'>kept {k}</div><div class='comments'>no {k}</div></body></html>"
+    pages = [(k, f"http://h{k // 10}/x", page(k)) for k in range(14)] + [(20, "http://one/x", "<p>alone"), (21, "http://same/a", "<p>copy"), (22, "http://same/b", "<p>copy"), (23, "http://same/c", "<p>copy"), (24, "http://e/", "")]
+    got = {r["page_id"]: r["text"] for r in html_text.extracted(spark.createDataFrame(pages, "page_id long, url string, html string"), where(spark)).collect()}
+    assert all(got[k] == f"own {k} more\nand {k}\nkept {k}" for k in range(14))  # three pages or more say what the template is
+    assert got[20] == "alone" and got[21] == got[22] == got[23] == "copy" and got[24] == ""
+    assert html_text.extracted(spark.createDataFrame([], "page_id long, url string, html string"), where(spark)).count() == 0
+    long = "<article>" + "".join(f"<p>word {k}</p>" for k in range(60_000)) + "</article>"
+    assert html_text.extract(long, json.dumps(html_text.skeleton(long))).count("\n") == 59_999
 
 
 def test_pages_edges(spark):
@@ -258,9 +376,150 @@ def test_quality_bounds_and_labelled_texts(spark):
     assert np.linalg.eigvalsh(got - floor).min() > -1e-9 and np.linalg.eigvalsh(got - cov).min() > -1e-9
     assert np.allclose(quality.bounded(floor * 2), floor * 2) and np.allclose(quality.bounded(floor / 9), floor)
     bins = quality.bin_of(np.full(9, 0.5))
-    import pandas as pd
-
     assert quality._middle(pd.DataFrame({"pool": "p", "bin": bins, "n": 1})).scale[0] < 0.1
     rows = registry.QUERIES["op4_quality"](spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").filter("not base_failed")
     n = {(r["quality"], r["kept"]): r["count"] for r in rows.groupBy("quality", "kept").count().collect()}
     assert n.get((0, True), 0) <= 0.02 * (n.get((0, True), 0) + n[0, False]) and n.get((1, False), 0) <= 0.005 * n[1, True]
+
+
+def test_concentration_steps_lower_the_determinant_and_find_the_clean_half(spark):
+    rng = np.random.default_rng(15)
+    x = np.concatenate([rng.normal(0, 1, (160, quality.D)) * np.array(quality.FLOOR) * 2 + 1, rng.normal(9, 1, (60, quality.D))])
+    rows = spark.createDataFrame([(["s\x01en\x01a", "l\x01en", "a"], [float(v) for v in r], i) for i, r in enumerate(x)], "pools array<string>, x array<double>, id long")
+    found = {r["pool"]: r for r in quality.estimated(rows, where(spark)).collect()}
+    assert set(found) == {"s\x01en\x01a", "l\x01en", "a"}
+    for r in found.values():
+        mean, inverse = np.array(r["mean"]), np.reshape(r["inverse"], (quality.D, quality.D))
+        assert np.abs(mean - x[:160].mean(axis=0)).max() < 0.3 and r["n"] == 220
+        d2 = np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean)
+        assert d2[:160].max() < d2[160:].min()
+        for _ in range(20):  # no random half that concentrates has a lesser determinant, up to the width of a bin
+            half = rng.choice(220, 110, replace=False)
+            for _ in range(30):
+                m, c = x[half].mean(axis=0), np.cov(x[half].T, bias=True) + np.diag(np.square(quality.FLOOR)) * quality.RIDGE**2
+                half = np.argsort(np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m))[:114]
+            assert r["logdet"] < np.linalg.slogdet(c)[1] + 0.7
+
+
+def test_outliers_of_small_groups_are_rejected(spark):
+    rng = np.random.default_rng(16)
+    words = [f"wo{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600)]
+    clean = lambda: ". ".join(" ".join(rng.choice(words, 12)) for _ in range(20))
+    rows = [(i, clean(), "en" if i % 2 else None, f"s{i % 7}") for i in range(140)] + [(500 + i, re.sub(" ", " # $ % ", clean()), "en", "s1") for i in range(3)]
+    out = {r["doc_id"]: r["kept"] for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), where(spark)).collect()}
+    assert not any(out[500 + i] for i in range(3)) and sum(out[i] for i in range(140)) >= 138
+
+
+def test_repeated_words_are_the_brute_force_ones():
+    rng = np.random.default_rng(17)
+    for _ in range(200):
+        words = rng.choice(list("abcd"), rng.integers(0, 30)).tolist()
+        windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+        hit = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(3)}
+        assert quality.base_counts(" ".join(words))[4] == len(hit)
+
+
+def test_negation_report_and_target_change_the_score(spark):
+    rng = np.random.default_rng(18)
+    rows, n = [], 0
+    plain = lambda: " ".join(rng.choice([f"n{chr(97 + i)}x" for i in range(26)], 8))
+    for _ in range(60):
+        for text, toxic in ((f"you are a zzidiot {plain()}.", 1), (f"zzidiot {plain()}.", 1), (f"{plain()} you zzidiot.", 1), (f"she said that he is one big zzidiot {plain()}.", 0), (f"this is not a zzidiot {plain()}.", 0), (f"{plain()}. {plain()}.", 0), (f"kvetch zzidiot {plain()}.", 0)):
+            rows.append((n, text, toxic))
+            n += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    grammar, weights = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert "=zzidiot" in grammar.marks and grammar.classes.get("kvetch") == toxicity.NEGATION_MARK  # learned to deny
+    texts = ["you zzidiot.", "a zzidiot.", "not a zzidiot.", "he said it is a big old zzidiot.", "kvetch zzidiot.", "fine.", "", None]
+    got = [r["score"] for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), grammar, weights).orderBy("doc_id").collect()]
+    assert min(got[:2]) > 0.5 > max(got[2:])
+
+
+def test_proximity_is_the_brute_force_one(spark):
+    rng = np.random.default_rng(19)
+    vocabulary = [f"q{i}" for i in range(12)]
+    items = [(k, " ".join(rng.choice(vocabulary, n))) for k, n in enumerate((1, 3, 8, 9, 4))]
+    docs = [(d, " ".join(rng.choice(vocabulary, rng.integers(0, 60)))) for d in range(40)] + [(99, None), (None, items[2][1])]
+    slop = 2
+    got = {r["doc_id"]: r["item_ids"] for r in decontamination.near_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), where(spark), slop).collect()}
+    want = {}
+    for d, text in docs:
+        w, near = (text or "").split(), set()
+        for k, item in items:
+            g = item.split()
+            for gram in [g[i : i + 8] for i in range(max(1, len(g) - 7))]:
+                if any(set(gram) <= set(w[i : i + len(gram) + slop]) for i in range(len(w))):
+                    near.add(str(k))
+        if near:
+            want[d] = sorted(near)
+    assert got == want
+
+
+def test_any_exact_match_goes_in_the_stage(spark):
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").filter("length(text) > 200").first()["text"]
+    rows = [(1, f"some words. {item} more", "a"), (2, "clean words here and there", "b"), (3, None, "c"), (3, "", "d"), (4, " ".join(re.findall(r"\w+", item)[:8]).upper(), "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, doc_key string")
+    assert sorted(map(repr, decontamination.stage(spark, df, DATA).collect())) == sorted(map(repr, df.filter("doc_id in (2, 3)").collect()))
+
+
+def test_cuts_are_the_cheapest_over_every_sentence_end():
+    rng = np.random.default_rng(20)
+    for _ in range(30):
+        ends = np.cumsum(rng.integers(1, 40, 6))
+        sentence = np.unique(rng.integers(1, ends[-1] + 1, 9))
+        pos, penalty = packing.places(ends, sentence, 16)
+        assert set(ends) | set(sentence) | {0} <= set(pos.tolist()) and np.diff(pos).max() <= 16
+        cost = lambda n: 0 if n & (n - 1) == 0 else 16 - n
+        kind = {int(p): packing.SENTENCE_CUT for p in sentence} | {int(p): 0 for p in ends}
+        firm = sorted({0, *kind})
+        gap = {p for a, b in zip(firm, firm[1:]) if b - a > 16 for p in range(a, b)}
+        best = {0: 0}
+        for j in range(1, int(ends[-1]) + 1):
+            if j in kind or j in gap:
+                best[j] = min((best[i] + cost(j - i) for i in best if j - i <= 16), default=10**9) + kind.get(j, packing.HARD_CUT)
+        cuts = packing.window_ends(pos, penalty, 16)
+        assert sum(cost(b - a) + kind.get(b, packing.HARD_CUT) for a, b in zip([0, *cuts], cuts)) == best[int(ends[-1])]
+
+
+def test_very_long_texts(spark):
+    rng = np.random.default_rng(21)
+    words = np.array([f"{a}{b}" for a in "bcdfgklm" for b in ("ara", "ilo", "enu", "os", "ut")])
+    text = " ".join(rng.choice(words, 700_000)) + "."
+    assert len(text) > tokens.TAKEN
+    for name, kept in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
+        t = tokens.PieceTokenizer(tokens.vocabulary_path(name), kept)
+        whole = t._tokenizer.encode(text, add_special_tokens=False).ids
+        assert t.ids([text, "a", text])[0].tolist() == whole
+    df = spark.createDataFrame([(1, text, "en", "s", len(text)), (2, "short one", "en", "s", 9), (3, "x" * 3_000_000, "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = packing.pack(df, tokens.vocabulary_path("word_bpe_49k.json")).filter("doc_id = 1").collect()
+    assert sum(r["length"] for r in rows) == rows[0]["doc_tokens"] > 700_000
+    assert quality.judged(df, where(spark)).filter("doc_id = 1").first()["n_words"] == 700_000
+    assert {r["doc_id"]: r["n"] for r in jaccard.classes_of(df, where(spark)).collect()}[3] == 1
+    assert language.predict(df, language.fit(df)).filter("lang_pred = 'en'").count() == 3
+
+
+def test_planted_cases_through_the_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(22)
+    common.prepare(spark)
+    base = spark.read.parquet(f"{DATA}/documents.parquet").limit(60).collect()
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").filter("length(text) > 300").first()["text"]
+    line = lambda: " ".join(f"{a}{b}" for a, b in zip(rng.choice(list("bcdfgklm"), 12), rng.choice(["ara", "ilo", "enu", "os"], 12)))
+    clean = ["\n".join(line() for _ in range(12)) for _ in range(10)]
+    rows = [(10_000 + k, t) for k, t in enumerate(clean)]
+    rows += [(20_000 + k, t) for k, t in enumerate(clean[:3])]  # exact copies
+    rows += [(30_000 + k, "\n".join(x + " x" if i % 2 else x for i, x in enumerate(t.split("\n")))) for k, t in enumerate(clean[3:5])]  # an edit in every window of lines
+    rows += [(40_000, clean[5] + "\n" + item)]
+    docs = spark.createDataFrame([tuple(r) for r in base] + [(d, t, "en", "p", len(t)) for d, t in rows], spark.read.parquet(f"{DATA}/documents.parquet").schema)
+    left, sizes = docs, []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        left = common.written(stage(spark, left, DATA), where(spark), "stage")
+        sizes.append(left.count())
+    ids = {r["doc_id"] for r in left.collect()}
+    assert {10_000 + k for k in range(10)} <= ids and not ids & {20_000, 20_001, 20_002, 40_000}
+    linked = brute_components([(d, t) for d, t in rows if d < 40_000])
+    assert all((30_000 + k in ids) == (linked[30_000 + k][1] == 30_000 + k) for k in range(2))
+    assert sizes == sorted(sizes, reverse=True)
+    packed = corpus_pipeline.STAGES[-1][1](spark, left, DATA)
+    assert {r["doc_id"] for r in packed.select("doc_id").collect()} == ids
