@@ -134,12 +134,17 @@ def digest(text: str) -> int:
     return (xxhash.xxh3_64_intdigest(text) >> 11) or 1
 
 
-#: A node of a skeleton or wrapper: [name, quantifier ("", "?", "+", "*"), children]; a leaf's name is "#", and its text's digest (0 for a slot) and pages follow.
+#: A node of a skeleton or wrapper: [name, quantifier ("", "?", "+", "*"), children]; a leaf's name is "#", and its text's digest (0 for a slot) and up to
+#: TEMPLATE_PAGES digests of the bodies of pages that have it follow: copies of a page, or pages that differ in their furniture alone, count once.
 def skeleton(page: str) -> list:
     """The page's tree, equal neighbours folded."""
     root: list = ["", "", []]
     opened = [root]
+    body: list[str] = []
+    mark: list[int] = []
     for path, text in blocks(page):
+        if text is not None and not any(map(furniture, path)):
+            body.append(text)
         depth = len(path)
         del opened[depth + (text is not None) :]
         while len(opened) < depth:  # can't be, but for text in an element that has just opened
@@ -149,9 +154,10 @@ def skeleton(page: str) -> list:
             opened[-1][2].append(node)
             opened.append(node)
         elif not opened[-1][2] or opened[-1][2][-1][0] != "#":
-            opened[-1][2].append(["#", "", [], digest(text), 1])
+            opened[-1][2].append(["#", "", [], digest(text), mark])
         else:
             opened[-1][2][-1][3] = 0
+    mark.append(digest("\n".join(body)))
     return fold(root)
 
 
@@ -171,9 +177,9 @@ def fold(node: list) -> list:
     out: list = []
     for c in map(fold, children):
         if out and out[-1][0] == c[0] and c[0] != "#":
-            out[-1] = repeated(merge(out[-1], c, max))
+            out[-1] = repeated(merge(out[-1], c))
         elif len(out) > 2 and out[-2][0] == c[0] and out[-3][0] == out[-1][0]:  # a b a + b: the pair repeats
-            out[-3:] = [repeated(merge(out[-3], out[-1], max)), repeated(merge(out[-2], c, max))]
+            out[-3:] = [repeated(merge(out[-3], out[-1])), repeated(merge(out[-2], c))]
         else:
             out.append(c)
     return [name, q, out]
@@ -183,18 +189,18 @@ def repeated(node: list) -> list:
     return [node[0], many(node[1]), *node[2:]]
 
 
-def merge(a: list, b: list, pages=lambda m, n: m + n) -> list:
-    """The wrapper of two nodes of one name; pages: of two leaves' pages, their sum, or within one page their maximum."""
+def merge(a: list, b: list) -> list:
+    """The wrapper of two nodes of one name."""
     q = a[1] if a[1] == b[1] else "*" if "*" in (a[1], b[1]) or {a[1], b[1]} == {"?", "+"} else "".join((a[1], b[1]))
     if a[0] == "#":
-        return ["#", q, [], a[3] if a[3] == b[3] else 0, pages(a[4], b[4])]
-    return [a[0], q, align(a[2], b[2], pages)]
+        return ["#", q, [], a[3] if a[3] == b[3] else 0, a[4] if a[4] == b[4] else sorted({*a[4], *b[4]})[:TEMPLATE_PAGES]]
+    return [a[0], q, align(a[2], b[2])]
 
 
-def align(a: list, b: list, pages) -> list:
+def align(a: list, b: list) -> list:
     """Children in one order: a longest common subsequence of names merges, the rest is optional."""
     if [x[0] for x in a] == [x[0] for x in b]:
-        return [merge(x, y, pages) for x, y in zip(a, b, strict=True)]
+        return [merge(x, y) for x, y in zip(a, b, strict=True)]
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
@@ -203,7 +209,7 @@ def align(a: list, b: list, pages) -> list:
     out, i, j = [], 0, 0
     while i < n or j < m:
         if i < n and j < m and a[i][0] == b[j][0] and best[i][j] == best[i + 1][j + 1] + 1:
-            out.append(merge(a[i], b[j], pages))
+            out.append(merge(a[i], b[j]))
             i, j = i + 1, j + 1
         elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
             out.append([a[i][0], maybe(a[i][1]), *a[i][2:]])
@@ -214,7 +220,7 @@ def align(a: list, b: list, pages) -> list:
     tidy: list = []
     for c in out:  # an optional node beside one of its name is a repetition
         if tidy and tidy[-1][0] == c[0]:
-            merged = merge(tidy[-1], c, pages)
+            merged = merge(tidy[-1], c)
             tidy[-1] = repeated(merged) if c[0] != "#" else merged
         else:
             tidy.append(c)
@@ -258,13 +264,13 @@ def furniture(name: str) -> bool:
 
 
 def leaves(wrapper: list) -> list[tuple[tuple[str, ...], int, int]]:
-    """Path, digest (0 for a slot) and pages of a wrapper's leaves that are no furniture."""
+    """Path, digest (0 for a slot) and pages (up to TEMPLATE_PAGES) of a wrapper's leaves that are no furniture."""
     out: list[tuple[tuple[str, ...], int, int]] = []
 
     def walk(node: list, path: tuple[str, ...]) -> None:
         for c in node[2]:
             if c[0] == "#":
-                out.append((path, c[3], c[4]))
+                out.append((path, c[3], len(c[4])))
             elif not furniture(c[0]) and not (c[0].partition(".")[0] == "header" and not any(x.partition(".")[0] in MAIN for x in path)):
                 walk(c, (*path, c[0]))
 
