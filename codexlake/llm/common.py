@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import os
 import tempfile
@@ -23,7 +25,15 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-    return f"{top.rstrip('/')}/codexlake-{uuid.uuid4().hex}"
+    where = f"{top.rstrip('/')}/codexlake-{uuid.uuid4().hex}"
+    atexit.register(_removed_at_exit, spark, where)  # results are read from it until then
+    return where
+
+
+def _removed_at_exit(spark: SparkSession, where: str) -> None:
+    with contextlib.suppress(Exception):  # a session that has ended can't, and needn't
+        parent, _, name = where.rpartition("/")
+        forget(spark, parent, name)
 
 
 def written(df: DataFrame, where: str, name: str) -> DataFrame:

@@ -272,6 +272,8 @@ def compared(pairs: DataFrame, reps: DataFrame, docs: DataFrame, where: str, nam
 
     Pairs are compared in blocks, so that a set is sent once for a block and not for each of its pairs: what pairs connect is cut into parts of
     about BLOCK_TOKENS tokens (FINE_TOKENS of the short ones), and a block holds the pairs between two parts."""
+    if pairs.isEmpty():
+        return pairs
     near = components(pairs, f"{where}/{name}_near").select(F.col("node").alias("key"), F.col("component").alias("c"))
     sized = near.join(reps.select("key", "id", "n"), "key")
     parts = sized.groupBy("c").agg(F.ceil(F.sum("n") / (FINE_TOKENS if fine else BLOCK_TOKENS)).alias("parts"))
@@ -395,10 +397,9 @@ def starred(index: DataFrame, where: str) -> DataFrame:
     return of(held).union(of(centres.join(tops, "entry")))
 
 
-def labelled(members: DataFrame, links: DataFrame, where: str, name: str) -> DataFrame:
-    """members (entry, key, n) with c, their component by the links."""
-    label = components(links, f"{where}/{name}").select(F.col("node").alias("key"), F.col("component").alias("of"))
-    return members.join(label, "key", "left").select("entry", "key", "n", F.coalesce("of", "key").alias("c"))
+def labelled(members: DataFrame, label: DataFrame) -> DataFrame:
+    """members (entry, key, n) with c, their component (node, component)."""
+    return members.join(label.select(F.col("node").alias("key"), F.col("component").alias("of")), "key", "left").select("entry", "key", "n", F.coalesce("of", "key").alias("c"))
 
 
 def classes_of(docs: DataFrame, where: str) -> DataFrame:
@@ -413,25 +414,28 @@ def classes_of(docs: DataFrame, where: str) -> DataFrame:
     pairs = written(met.filter(near(F.col("n"), F.col("n0"))).select(F.col("key0").alias("a"), F.col("key").alias("b")).distinct(), where, "pairs1")
     links = compared(written(possible(pairs, reps), where, "possible1"), reps, docs, where, "first", False)
     inside = met.select("entry", "key", "n").union(met.select("entry", F.col("key0").alias("key"), F.col("n0").alias("n"))).distinct()
-    placed = written(labelled(inside, links, where, "label1"), where, "placed")
-    forget(spark, where, "starred", "met", "possible1", "label1")
+    label = components(links, f"{where}/label1")
+    placed = written(labelled(inside, label), where, "placed")
+    forget(spark, where, "starred", "met", "possible1")
     sizes = placed.groupBy("entry").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("m")).filter("c0 <> c1").select("entry", "m")
     open_ = written(placed.join(sizes, "entry"), where, "open")
     many = open_.filter(F.col("m") > PAIRED).drop("m")
     few = open_.filter(F.col("m") <= PAIRED).select("entry", "key", "n")
     if not many.isEmpty():
         links = links.union(block_compared(many, reps, docs, where))
-    listed = labelled(few, links, where, "label2").groupBy("entry").agg(F.array_sort(F.collect_list(F.struct("key", "n", "c"))).alias("s"))  # at most PAIRED
+        label = components(links, f"{where}/label2")
+    listed = labelled(few, label).groupBy("entry").agg(F.array_sort(F.collect_list(F.struct("key", "n", "c"))).alias("s"))  # at most PAIRED
     partners = lambda x: F.transform(F.filter("s", lambda y: (x["key"] < y["key"]) & (x["c"] != y["c"]) & near(x["n"], y["n"])), lambda y: F.struct(x["key"].alias("a"), y["key"].alias("b")))
     rest = listed.select(F.inline(F.flatten(F.transform("s", partners)))).distinct()
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs2 = written(possible(rest.join(done, ["a", "b"], "left_anti"), reps), where, "pairs2")
-    forget(spark, where, "placed", "open", "label2")
-    links = links.union(compared(compared(pairs2, reps, docs, where, "fine", True), reps, docs, where, "second", False))
-    label = components(links, f"{where}/all").select(F.col("node").alias("key"), F.col("component").alias("c"))
-    named = reps.join(label, "key", "left").select("key", "id", F.coalesce("c", "key").alias("c"))
+    forget(spark, where, "placed", "open")
+    last = compared(compared(pairs2, reps, docs, where, "fine", True), reps, docs, where, "second", False)
+    if not last.isEmpty():
+        label = components(links.union(last), f"{where}/all")
+    named = reps.join(label.select(F.col("node").alias("key"), F.col("component").alias("of")), "key", "left").select("key", "id", F.coalesce("of", "key").alias("c"))
     found = written(named.join(named.groupBy("c").agg(F.min("id").alias("component")), "c").select("key", "c", "component"), where, "found")
-    forget(spark, where, "all", "pairs1", "pairs2", "classes", "first_links", "fine_links", "second_links", "block_links")
+    forget(spark, where, "label1", "label2", "all", "pairs1", "pairs2", "classes", "first_links", "fine_links", "second_links", "block_links")
     return members.join(found, "key", "left").select("doc_id", "text_key", "key", "n", "c", F.coalesce("component", F.when(F.col("n") == 0, F.col("doc_id"))).alias("component"))
 
 
