@@ -14,6 +14,7 @@ from codexlake.functions import vectors as V
 from codexlake.operators import clusters as C
 from codexlake.operators import diagnostics as D
 from codexlake.operators import filters as P
+from codexlake.operators import reduction as M
 from codexlake.operators import responses as R
 from codexlake.operators import statistics as S
 from codexlake.operators import tables as A
@@ -308,6 +309,11 @@ def cluster_similarities(t):
     return C.sibling_similarities(C.centroids(members(t))).select("cluster", "other", r6(F.col("similarity"), "similarity"))
 
 
+@query()
+def reduced_clusters(t):
+    return M.clustered(members(t).select("id", "vector"), 10).select("id", "cluster")
+
+
 @query()
 def diverse_ranking(t):
     return C.diverse_order(members(t))
@@ -629,6 +635,11 @@ def rotated_contexts(t):
     return A.rotated(t("nation", "n_nationkey").withColumn("rank", F.col("n_nationkey")), 5, 25).select("n_nationkey", F.col("run").cast("bigint").alias("run"), "place")
 
 
+@query("""with r as (select doc_id, row_number() over (partition by source order by md5(doc_id || ':42'), doc_id) - 1 r, count(*) over (partition by source) n from documents) select doc_id, cast(run as int) run, cast(((r - run) % n + n) % n as int) place from r, (select unnest(range(0, 3)) run)""")
+def rotating_runs(t):
+    return M.rotating_runs(t("documents", "doc_id", "source"), "source", "doc_id", 3).select("doc_id", "run", "place")
+
+
 @query("""select doc_id, source from (select *, row_number() over (partition by source order by md5(doc_id || ':42'), doc_id) r from documents) where r <= 3""")
 def stratified_sample(t):
     return A.stratified(t("documents", "doc_id", "source"), "source", "doc_id", 3)

@@ -179,3 +179,16 @@ def test_reports_and_templates(spark):
 def test_fences(spark):
     got = one(spark, responses.topic_fence(F.col("v")), v='a ```json_topic\n{"topic_name": "N", "keywords": ["k"]}\n``` b')
     assert got["topic_name"] == "N" and got["keywords"] == ["k"] and one(spark, responses.topic_fence(F.col("v")), v="none") is None
+
+
+def test_reduced_clusters_find_blobs(spark):
+    import random
+
+    from codexlake.operators import reduction
+
+    draw = random.Random(3)
+    centre = {0: 0, 1: 5, 2: 9}
+    rows = [(100 * c + i, [draw.gauss(0, 0.05) + (j == at) for j in range(12)]) for c, at in centre.items() for i in range(60 if c < 2 else 5)] + [(999, None)]
+    got = {r["id"]: r["cluster"] for r in reduction.clustered(spark.createDataFrame(rows, "id long, vector array<double>"), 3, dims=4, least=20).collect()}
+    groups = [{got[100 * c + i] for i in range(60 if c < 2 else 5)} for c in centre]
+    assert all(len(g) == 1 for g in groups) and groups[0] != groups[1] and groups[2] == {-1} and got[999] == -1 and len(got) == 126
