@@ -77,10 +77,11 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return at.select("doc_id", *DOC, F.size("w").cast("long").alias("n_words"), F.transform("at", lambda i: F.struct(F.get("w", i).alias("term"), i.alias("pos"))).alias("posts"))
 
 
-def lists_of(docs: DataFrame, candidates: DataFrame, grams: DataFrame) -> DataFrame:
+def lists_of(docs: DataFrame, candidates: DataFrame, grams: DataFrame, where: str) -> DataFrame:
     """DOC, term, pos of every word of the candidates' grams in the candidates' documents."""
+    chosen = small_side(written(candidates.select(*DOC).distinct(), where, "chosen"), ("doc_key",))  # else every text would be shuffled
     terms = small_side(grams.join(candidates.select("gram_id").distinct(), "gram_id", "left_semi").select(F.explode("gram").alias("term")).distinct(), ("term",))
-    some = docs.select(*row_key(), "text").join(candidates.select(*DOC).distinct(), DOC, "left_semi")
+    some = docs.select(*row_key(), "text").join(chosen, DOC, "left_semi")
     return some.dropDuplicates(DOC).select(*DOC, F.posexplode(words()).alias("pos", "term")).join(terms, "term", "left_semi")
 
 
@@ -91,7 +92,7 @@ def phrase_matches(index: DataFrame, docs: DataFrame, grams: DataFrame, first: D
     both = starts.groupBy(*DOC, "gram_id", "start").agg(F.bit_or(F.expr("shiftleft(1, rank)")).alias("met"), F.first("n").alias("n"))
     candidates = written(both.filter(F.bit_count("met") == F.least("n", F.lit(FIRST))).select(*DOC, "gram_id", "start", "n"), where, "candidates")
     needs = candidates.join(small_side(grams.select("gram_id", "gram"), ("gram",)), "gram_id").select(*DOC, "gram_id", "start", "n", F.posexplode("gram").alias("place", "term"))
-    met = needs.withColumn("pos", F.col("start") + F.col("place")).join(lists_of(docs, candidates, grams), [*DOC, "term", "pos"])
+    met = needs.withColumn("pos", F.col("start") + F.col("place")).join(lists_of(docs, candidates, grams, where), [*DOC, "term", "pos"])
     return met.groupBy(*DOC, "gram_id", "start", "n").agg(F.count(F.lit(1)).alias("met")).filter("met = n").drop("met")
 
 
@@ -103,7 +104,7 @@ def proximity_matches(index: DataFrame, docs: DataFrame, grams: DataFrame, first
     rarest, second = near.filter("rank = 0").drop("rank"), near.filter("rank = 1").select(*DOC, "gram_id", F.col("pos").alias("other"))
     paired = rarest.join(second, [*DOC, "gram_id"], "left").filter((F.col("n") == 1) | (F.abs(F.col("other") - F.col("pos")) < reach))
     candidates = written(paired.select(*DOC, "gram_id", "n", "pos").distinct(), where, "near")
-    lists = lists_of(docs, candidates, grams).withColumnRenamed("pos", "at")
+    lists = lists_of(docs, candidates, grams, where).withColumnRenamed("pos", "at")
     needs = candidates.join(grams.select("gram_id", F.explode(F.array_distinct("gram")).alias("term"), F.size(F.array_distinct("gram")).alias("kinds")), "gram_id")
     held = needs.join(lists, [*DOC, "term"]).filter(F.abs(F.col("at") - F.col("pos")) < reach)
     each = held.groupBy(*DOC, "gram_id", "n", "kinds", "pos").agg(F.collect_set(F.struct("at", "term")).alias("s"))
