@@ -140,3 +140,9 @@ def embedded(df: DataFrame, column: str, encoder: Callable[[list[str]], list[lis
 def audited(papers: DataFrame, log: DataFrame, budget: int, rank: str = "rank") -> DataFrame:
     """The papers up to a rank that the log (id) lacks."""
     return papers.filter(F.col(rank) <= budget).join(log.select("id"), "id", "left_anti")
+
+
+def audit(papers: DataFrame, log: DataFrame, budget: int, column: str, model: Callable[[list[str]], list[str]], tries: int = 3, rank: str = "rank") -> DataFrame:
+    """The papers up to a rank that the log (id) lacks, with the verdicts of a model on a column of prompts; a model that fails ``tries`` times passes nothing."""
+    asked_ = asked(audited(papers, log, budget, rank), column, with_tries(model, tries), "_answer")
+    return asked_.withColumn("verdict", verdict(F.col("_answer"))).drop("_answer")

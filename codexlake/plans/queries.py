@@ -710,3 +710,15 @@ def related_scores(t):
     k = F.col("turn") % 4
     answer = F.when(k == 0, 'a {"related_score": 77, "is_matching": true} b').when(k == 1, "a Redirect page").when(k == 2, "nothing").otherwise('{"is_matching": false}')
     return t("conversations", "conv_id", "turn").select("conv_id", "turn", R.related_score(answer).alias("score"))
+
+
+@query("""select l.doc_id, l.doc_id % 2 = 0 as "pass" from (select doc_id, row_number() over (order by doc_id) r from labels) l where r <= 50 and doc_id not in (select doc_id from documents where lang = 'fr')""")
+def budgeted_audit(t):
+    from pyspark.sql import Window as W
+
+    def model(prompts: list[str]) -> list[str]:
+        return ['{"match": %s, "eng": true, "clean": true}' % ("true" if p == "0" else "false") for p in prompts]
+
+    papers = t("labels", "doc_id").withColumns({"id": F.col("doc_id"), "rank": F.row_number().over(W.orderBy("doc_id")), "prompt": (F.col("doc_id") % 2).cast("string")})
+    log = t("documents", F.col("doc_id").alias("id"), "lang").filter("lang = 'fr'")
+    return R.audit(papers, log, 50, "prompt", model).select("doc_id", "verdict.pass")

@@ -192,3 +192,23 @@ def test_reduced_clusters_find_blobs(spark):
     got = {r["id"]: r["cluster"] for r in reduction.clustered(spark.createDataFrame(rows, "id long, vector array<double>"), 3, dims=4, least=20).collect()}
     groups = [{got[100 * c + i] for i in range(60 if c < 2 else 5)} for c in centre]
     assert all(len(g) == 1 for g in groups) and groups[0] != groups[1] and groups[2] == {-1} and got[999] == -1 and len(got) == 126
+
+
+def test_works_are_looked_up_and_scanned(spark):
+    rows = [("https://x.org/W1", {"b": [1], "a": [0]}, True, ("f1",)), ("https://x.org/W2", None, False, ("f1",)), ("https://x.org/W3", {"c": [0]}, False, ("f2",))]
+    works = spark.createDataFrame(rows, "id string, abstract_inverted_index map<string, array<int>>, is_oa boolean, field struct<id: string>")
+    ids = spark.createDataFrame([("W1",), ("https://x.org/W3/",), ("W9",)], "id string")
+    assert sorted((r["id"][-2:], r["abstract"]) for r in readers.wanted_works(works, ids).collect()) == [("W1", "a b"), ("W3", "c")]
+    import json
+
+    assert json.loads(readers.one_work(works, "https://x.org/W2").first()["document"])["abstract_inverted_index"] is None and readers.one_work(works, "W9").count() == 0
+    assert [r["id"][-2:] for r in readers.first_works(works, 5, is_oa=False).collect()] == ["W2", "W3"]
+    assert [r["id"][-2:] for r in readers.first_works(works, 1, field__id="f1").collect()] == ["W1"]
+
+
+def test_country_names(spark):
+    from codexlake.functions import countries
+
+    names = countries.iso_names(spark)
+    assert len(names) > 200 and names["FR"] == "France" and countries.plain_order("B, A of") == "A of B"
+    assert one(spark, countries.country_names(F.col("v"), {"X": "B, A"}), v="X, Y,X") == "A B, Y" and one(spark, countries.country_names(F.col("v"), names), v="NaN") == "nan"
