@@ -155,10 +155,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those that contain a window of any benchmark item."""
+    """docs without those of which WINDOW words or more stand in benchmark windows: any whole window goes, an item of a word or two alone doesn't."""
     prepare(spark)
     names = unused(docs, *DOC)
-    bad = hits(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"), shared_dir(spark))[1].select(*DOC).toDF(*names)
+    bad = hits(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"), shared_dir(spark))[1].filter(F.col("n_hit") >= WINDOW).select(*DOC).toDF(*names)
     doc_key, text_key = row_key()
     return docs.withColumns(dict(zip(names, (doc_key, text_key), strict=True))).join(bad, names, "left_anti").drop(*names)
 

@@ -1,7 +1,7 @@
 """The corpus pipeline: each stage works on all that the one before it kept, written as Parquet and read again.
 
 toxicity: documents that the grammar rejects go; line_dedup: later copies of three-line windows go, and documents of which nothing else is left; near_duplicates: the smallest doc_id of
-each component of the Jaccard join stays; decontamination: documents with any window of a benchmark item go; packing: the rest becomes sequences of 4096 tokens.
+each component of the Jaccard join stays; decontamination: documents with any window of eight words of a benchmark item go; packing: the rest becomes sequences of 4096 tokens.
 """
 
 from __future__ import annotations
