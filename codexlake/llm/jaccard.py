@@ -43,7 +43,9 @@ SKETCH_BITS, PIECE_BITS, FREQUENT = 24, 16, 64
 STEP, PART = 1.2501, 4
 #: Buckets by hash of a set's histogram, whose sums of minima bound intersections from above.
 BUCKETS = 128
-BLOCK_TOKENS, FINE_TOKENS, BLOCK_SETS = 2_000_000, 8_000_000, 4096
+BLOCK_TOKENS, FINE_TOKENS, BLOCK_SETS, PART_TOKENS = 2_000_000, 8_000_000, 4096, 1_000_000
+#: Texts after which a task hands on its counters and starts anew, so that 16 bits hold each.
+COUNTED = 60_000
 #: Sets of an entry whose pairs become rows, at most; sets of a salt of a very frequent entry, about.
 PAIRED, SALTED = 16, 4096
 SEEN = 50_000
@@ -160,18 +162,25 @@ def scanned(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, key, n, hist of each document; besides, rows with n null, piece and counts: parts of a sketch, to be added up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, rows = np.zeros(1 << SKETCH_BITS, dtype=np.uint32), 0
+        sketch, rows = np.zeros(1 << SKETCH_BITS, dtype=np.uint16), 0
+
+        def counters() -> Iterator[pa.RecordBatch]:
+            for k, piece in enumerate(sketch.reshape(-1, 1 << PIECE_BITS)):
+                if piece.any():
+                    yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.nulls(1, pa.list_(pa.int16())), pa.array([k], pa.int64()), pa.array([np.minimum(piece, 255).astype(np.uint8).tobytes()], pa.binary())], names=names)
+
         for b in batches:
             sets = [shingle_set(x) for x in b.column(2).to_pylist()]
             for s in sets:
-                np.add.at(sketch, cells(s), np.uint32(1))
+                np.add.at(sketch, cells(s), np.uint16(1))
             rows += len(sets)
             n = len(sets)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([histogram(s) for s in sets], pa.list_(pa.int16())), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=names)
+            if rows >= COUNTED:
+                yield from counters()
+                sketch[:], rows = 0, 0
         if rows:
-            for k, piece in enumerate(sketch.reshape(-1, 1 << PIECE_BITS)):
-                if piece.any():
-                    yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.nulls(1, pa.list_(pa.int16())), pa.array([k], pa.int64()), pa.array([np.minimum(piece, 255).astype(np.uint8).tobytes()], pa.binary())], names=names)
+            yield from counters()
 
     names = ["doc_id", "text_key", "key", "n", "hist", "piece", "counts"]
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, text_key long, key long, n long, hist array<smallint>, piece long, counts binary")
@@ -358,7 +367,7 @@ def block_compared(members: DataFrame, reps: DataFrame, docs: DataFrame, where:
     step = F.floor(F.log(F.col("n").cast("double")) / math.log(STEP)).cast("long")
     near = components(members.groupBy("entry").agg(F.min("key").alias("a")).join(members.select("entry", F.col("key").alias("b")), "entry").select("a", "b"), f"{where}/block_near")
     distinct = members.select("key", F.col("n").cast("long").alias("n"), "c").distinct().join(near.select(F.col("node").alias("key"), F.col("component").alias("g")), "key", "left").withColumn("g", F.coalesce("g", "key")).withColumn("step", step)
-    sizes = distinct.groupBy("g", "step").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_TOKENS, F.count(F.lit(1)) / BLOCK_SETS)).alias("parts"))
+    sizes = distinct.groupBy("g", "step").agg(F.ceil(F.greatest(F.sum("n") / PART_TOKENS, F.count(F.lit(1)) / BLOCK_SETS)).alias("parts"))
     part = F.shiftleft("step", 40) + F.pmod(F.xxhash64("key"), "parts")
     slots = written(distinct.join(sizes, ["g", "step"]).select("key", "g", "step", "c", part.alias("part")), where, "block_slots")
     met = members.join(slots.select("key", "g", "part"), "key").groupBy("entry").agg(F.min("g").alias("g"), F.array_sort(F.collect_set("part")).alias("parts"))

@@ -14,7 +14,7 @@ from itertools import chain
 import numpy as np
 
 #: Pieces kept; beyond, the table starts anew with those of the batch.
-KNOWN_PIECES = 2_000_000
+KNOWN_PIECES = 1_000_000
 #: Bytes of text taken at once; longer texts are taken in parts, cut at a space between ASCII letters.
 TAKEN = 2 << 20
 SPACE, LINE, COMMA, STOP = 32, 10, 44, 46
