@@ -424,7 +424,8 @@ def test_negation_report_and_target_change_the_score(spark):
     rows, n = [], 0
     plain = lambda: " ".join(rng.choice([f"n{chr(97 + i)}x" for i in range(26)], 8))
     for _ in range(60):
-        for text, toxic in ((f"you are a zzidiot {plain()}.", 1), (f"zzidiot {plain()}.", 1), (f"{plain()} you zzidiot.", 1), (f"she said that he is one big zzidiot {plain()}.", 0), (f"this is not a zzidiot {plain()}.", 0), (f"{plain()}. {plain()}.", 0), (f"kvetch zzidiot {plain()}.", 0)):
+        told = [(f"you are a zzidiot {plain()}.", 1), (f"zzidiot {plain()}.", 1), (f"{plain()} you zzidiot.", 1), (f"she said that he is one big zzidiot {plain()}.", 0), (f"this is not a zzidiot {plain()}.", 0), (f"kvetch zzidiot {plain()}.", 0)]
+        for text, toxic in told + [(f"you are {plain()}. he said that {plain()}. this is not {plain()} a kvetch.", 0)] * 8:
             rows.append((n, text, toxic))
             n += 1
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
