@@ -229,6 +229,14 @@ def presence_guard(t):
     return P.present(c, "id", "text").select("c_custkey")
 
 
+@query("""select o_orderkey, cast(2.5 + o_orderkey % 2 as double) relevance from orders where o_orderkey % 3 = 2 and o_orderkey % 5 <> 0""")
+def relevant_rows(t):
+    k = F.col("o_orderkey")
+    text = F.when(k % 3 == 0, "x").when(k % 3 == 1, "NaN").otherwise((2.5 + k % 2).cast("string"))
+    o = t("orders", "o_orderkey").withColumns({"relevance": T.number(text), "abstract": F.when(k % 5 != 0, "a")})
+    return o.filter("relevance is not null and abstract is not null").select("o_orderkey", "relevance")
+
+
 @query("""select o_orderkey from orders where o_orderpriority not in ('1-URGENT', '5-LOW') and o_orderstatus = 'F'""")
 def type_and_flag_filters(t):
     kind = F.when(F.col("o_orderpriority") == "1-URGENT", "article").when(F.col("o_orderpriority") == "5-LOW", "book").otherwise(F.col("o_orderpriority"))
@@ -331,6 +339,12 @@ def cluster_scores(t):
     return C.scores(members(t)).select("cluster", "n", *(r6(F.col(c), c) for c in ("coherence", "distinctiveness", "score")))
 
 
+@query(SQL_SCORES + """ select label as "cluster", round(1 - avg(s), 6) distinctiveness
+from (select *, row_number() over (partition by label order by s desc, other) r from o) where r <= 3 group by label""")
+def cluster_distinctiveness(t):
+    return C.distinctiveness(C.centroids(members(t)), 3).select("cluster", r6(F.col("distinctiveness"), "distinctiveness"))
+
+
 @query(SQL_SCORES + """ select label as "cluster", vec_id id, round(s, 6) similarity, cast(r as int) as rank from (select *, row_number() over (partition by label order
 by s desc, vec_id) r from s) where r <= 5""")
 def cluster_representatives(t):
@@ -748,9 +762,10 @@ def dimension_lookup(t):
 # --- prompts and answers ---------------------------------------------------------------------------------------------------------
 
 
-@query("""select conv_id, string_agg('role: ' || role || chr(10) || 'text: ' || text, chr(10) || chr(10) order by turn) prompt from conversations group by conv_id""")
+@query("""select conv_id, 'Read.' || chr(10) || chr(10) || 'role: who speaks' || chr(10) || chr(10) || string_agg('role: ' || role || chr(10) || 'text: ' || text, chr(10) || chr(10) order by turn) prompt
+from conversations group by conv_id""")
 def prompts(t):
-    return R.prompt(t("conversations"), "conv_id", "turn", ["role", "text"])
+    return R.prompt(t("conversations"), "conv_id", "turn", ["role", "text"], "Read.", {"role": "who speaks", "other": "not used"})
 
 
 @query("""select conv_id, turn, case turn % 3 when 0 then [role, 'b'] else [] end citations, case turn % 3 when 0 then 'x' when 1 then 'no list' else 'y' end rest from

@@ -143,8 +143,11 @@ class PagedSource(DataSource):
         return PagedReader(schema, dict(self.options))
 
 
-def write_csv(df: DataFrame, path: str, *columns: str) -> None:
-    (df.select(*columns) if columns else df).write.mode("overwrite").options(header=True, escape='"').csv(path)
+def write_csv(df: DataFrame, path: str, *columns: str, bom: bool = False) -> None:
+    """bom: each file starts with a byte order mark, before its header."""
+    out = df.select(*columns) if columns else df
+    out = out.withColumnRenamed(out.columns[0], "\ufeff" + out.columns[0]) if bom else out
+    out.write.mode("overwrite").options(header=True, escape='"').csv(path)
 
 
 def write_scores(df: DataFrame, path: str) -> None:

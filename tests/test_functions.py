@@ -97,6 +97,8 @@ def test_readers_and_writers_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "b", c', 0.5), (2, "x\ny", 1 / 3)], "id int, t string, d double")
     readers.write_csv(df, at("c"), "t", "id")
     assert sorted(map(tuple, readers.typed_csv(spark, at("c"), "t string, id int").collect())) == [('a "b", c', 1), ("x\ny", 2)]
+    readers.write_csv(df.coalesce(1), at("m"), "id", bom=True)
+    assert next((tmp_path / "m").glob("part-*")).read_bytes() == b"\xef\xbb\xbfid\n1\n2\n"
     readers.write_scores(df.select("id", "d"), at("s"))
     assert sorted(map(tuple, readers.tsv_with(spark, at("s"), id="int", d="double").collect())) == [(1, 0.5), (2, 0.333333)]
     readers.write_nested(df.select("id", "t"), at("n"), ["id"], "rows")
