@@ -15,6 +15,16 @@ from codexlake.functions import vectors as V
 WORK_TYPES = ["article", "book-chapter", "preprint", "dissertation", "book", "review", "report"]
 SCANNED_TYPES = ["article", "dissertation", "book-chapter", "preprint", "book"]
 
+#: The texts of reasons; {} stands for a similarity or a threshold.
+REASONS = {
+    "mismatch": "Semantic Mismatch: Similarity is {} (threshold: {})",
+    "match": "Passed vector verification (similarity: {})",
+    "language": "Language check failed ({})",
+    "matching": "Matching check failed ({})",
+    "parse": "LLM json parse error",
+    "none": "No reason provided.",
+}
+
 Detector = Callable[[Column], Column]
 
 
@@ -107,9 +117,10 @@ def rule_filter(df: DataFrame, text: Column, similarity: Column, threshold: floa
     english = english_prefixes(text, detector=detector)
     language = F.when(english, "English detection passed.").otherwise("non-English content detected.")
     low = english & F.coalesce(similarity < threshold, F.lit(False))
+    said = lambda reason, *values: F.format_string(REASONS[reason].replace("{}", "%s"), *values)
     shown = F.format_string("%.4f", similarity)
-    match = F.when(low, F.concat(F.lit("Semantic Mismatch: Similarity is "), shown, F.lit(f" (threshold: {threshold:.2f})"))).when(similarity.isNull() | ~english, "not compared.").otherwise(F.concat(F.lit("Passed vector verification (similarity: "), shown, F.lit(")")))
-    rejected = F.concat_ws(" | ", F.when(~english, F.concat(F.lit("Language check failed ("), language, F.lit(")"))), F.when(low, F.concat(F.lit("Matching check failed ("), match, F.lit(")"))))
+    match = F.when(low, said("mismatch", shown, F.lit(f"{threshold:.2f}"))).when(similarity.isNull() | ~english, "not compared.").otherwise(said("match", shown))
+    rejected = F.concat_ws(" | ", F.when(~english, said("language", language)), F.when(low, said("matching", match)))
     return df.withColumns({"decision": F.when(english & ~low, "APPROVED").otherwise("REJECTED"), "audit_reason": F.when(english & ~low, F.concat_ws(" | ", language, match)).otherwise(rejected)})
 
 
@@ -118,7 +129,7 @@ def model_filter(df: DataFrame, answer: Column) -> DataFrame:
     record = F.when(F.trim(answer).startswith("{"), F.from_json(answer, "is_english boolean, is_matching boolean, reason string"))
     parsed = F.when(F.get_json_object(answer, "$").isNotNull(), record)
     passed = F.coalesce(parsed["is_english"] & parsed["is_matching"], F.lit(False))
-    reason = F.when(parsed.isNull(), "LLM json parse error").otherwise(F.coalesce(parsed["reason"], F.lit("No reason provided.")))
+    reason = F.when(parsed.isNull(), REASONS["parse"]).otherwise(F.coalesce(parsed["reason"], F.lit(REASONS["none"])))
     return df.withColumns({"decision": F.when(passed, "APPROVED").otherwise("REJECTED"), "audit_reason": reason})
 
 
