@@ -112,11 +112,11 @@ def merged_clusters(c: DataFrame, least: float = 0.9, target: int = 1) -> DataFr
 
 def grams(c: Column, stopwords: list[str], low: int = 2, high: int = 4) -> Column:
     """Word n-grams, stop-words removed first; a word has two Latin letters or more and nothing else."""
-    words = F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda x: x.rlike("^[a-zA-Z]{2,}$") & ~x.isin(stopwords))
+    words = F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"(?<![\p{L}\p{N}_])[a-zA-Z]{2,}(?![\p{L}\p{N}_])"), F.lit(0)), lambda x: ~x.isin(stopwords))
 
     def of(w: Column, n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1)))
-        return F.when(F.size(w) >= n, F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+        firsts = F.slice(w, F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(0)))
+        return F.transform(firsts, lambda x, i: F.concat_ws(" ", x, *(F.get(w, i + k) for k in range(1, n))))
 
     # bound as a variable, the words are found once a text and not once an n-gram
     return F.flatten(F.transform(F.array(words), lambda w: F.concat(*(of(w, n) for n in range(low, high + 1)))))
