@@ -16,6 +16,10 @@ Sets that share an entry are compared in three steps, so that no link between di
 3. Of the other entries, which have at most PAIRED sets and so pairs in proportion to the index, the pairs between components are held against a
    bound from the sets' histograms, one from 16 bits of each shingle's hash, and then compared.
 
+The sketch's noise grows with the corpus, and shingles of some dozen unlike documents then pass for rare. Where the sets of long entries are too many for step 2, the index's own
+counts mend the order: the shingles of these entries become frequent, and the sets in them, which any pair not yet seen is among, are indexed once more, until they are few. What
+step 2 sends at once is bounded: blocks are done in as many rounds as that takes.
+
 Comparisons are exact, on the whole sets of 64-bit shingle hashes. A group of copies that stay unlinked costs rows for members times blocks, and the square of its size in products of bits alone.
 
 Null and empty texts and texts without words have an empty set and are linked with nothing. A row without doc_id gets the component of its class, null if
@@ -26,6 +30,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -44,6 +49,8 @@ STEP, PART = 1.2501, 4
 #: Buckets by hash of a set's histogram, whose sums of minima bound intersections from above.
 BUCKETS = 128
 BLOCK_TOKENS, FINE_TOKENS, BLOCK_SETS, PART_TOKENS = 2_000_000, 8_000_000, 4096, 1_000_000
+#: Tokens sent to blocks at once: this part of all sets' tokens, ROOM_TOKENS at least.
+ROOM, ROOM_TOKENS = 0.25, 16_000_000
 #: Texts after which a task hands on its counters and starts anew, so that 16 bits hold each.
 COUNTED = 60_000
 #: Sets of an entry whose pairs become rows, at most; sets of a salt of a very frequent entry, about.
@@ -361,22 +368,23 @@ def block_links(xs: list[np.ndarray], ys: list[np.ndarray] | None, labels_x: lis
     return out
 
 
-def block_compared(members: DataFrame, reps: DataFrame, docs: DataFrame, where: str) -> DataFrame:
-    """Links (a, b) that join the components c which any links join, among members (entry, key, n, c) of entries."""
+def block_compared(members: DataFrame, reps: DataFrame, docs: DataFrame, where: str, room: float) -> DataFrame:
+    """Links (a, b) that join the components c which any links join, among members (entry, key, n, c) of entries; about ``room`` tokens are sent at once."""
     spark = docs.sparkSession
     step = F.floor(F.log(F.col("n").cast("double")) / math.log(STEP)).cast("long")
     near = components(members.groupBy("entry").agg(F.min("key").alias("a")).join(members.select("entry", F.col("key").alias("b")), "entry").select("a", "b"), f"{where}/block_near")
     distinct = members.select("key", F.col("n").cast("long").alias("n"), "c").distinct().join(near.select(F.col("node").alias("key"), F.col("component").alias("g")), "key", "left").withColumn("g", F.coalesce("g", "key")).withColumn("step", step)
     sizes = distinct.groupBy("g", "step").agg(F.ceil(F.greatest(F.sum("n") / PART_TOKENS, F.count(F.lit(1)) / BLOCK_SETS)).alias("parts"))
     part = F.shiftleft("step", 40) + F.pmod(F.xxhash64("key"), "parts")
-    slots = written(distinct.join(sizes, ["g", "step"]).select("key", "g", "step", "c", part.alias("part")), where, "block_slots")
+    slots = written(distinct.join(sizes, ["g", "step"]).select("key", "n", "g", "step", "c", part.alias("part")), where, "block_slots")
     met = members.join(slots.select("key", "g", "part"), "key").groupBy("entry").agg(F.min("g").alias("g"), F.array_sort(F.collect_set("part")).alias("parts"))
     close = lambda p: F.filter("parts", lambda q: (q >= p) & (F.shiftright(q, 40) - F.shiftright(p, 40) <= 1))
     each = F.flatten(F.transform("parts", lambda p: F.transform(close(p), lambda q: F.struct(p.alias("x"), q.alias("y")))))
-    blocks = met.select("g", F.inline(each)).distinct()
+    blocks = written(met.select("g", F.inline(each)).distinct(), where, "block_blocks")
     block = F.struct(F.col("g").alias("c"), "x", "y").alias("block")
-    of = blocks.select(F.col("g"), F.col("x").alias("part"), block).union(blocks.filter("x <> y").select(F.col("g"), F.col("y").alias("part"), block)).groupBy("g", "part").agg(F.collect_set("block").alias("blocks"))
-    nodes = written(slots.join(of, ["g", "part"]).join(reps.select("key", "id"), "key").select("key", "id", "part", F.col("c").alias("label"), "blocks"), where, "block_nodes")
+    ends = blocks.select("g", F.col("x").alias("part"), block).union(blocks.filter("x <> y").select("g", F.col("y").alias("part"), block))
+    sent = ends.join(slots.groupBy("g", "part").agg(F.sum("n").alias("n")), ["g", "part"]).agg(F.sum("n")).first()[0] or 0
+    rounds = max(1, math.ceil(sent / room))
 
     def compare(block: tuple, held: pd.DataFrame) -> pd.DataFrame:
         held = held.drop_duplicates("key")
@@ -390,9 +398,14 @@ def block_compared(members: DataFrame, reps: DataFrame, docs: DataFrame, where:
         found = block_links([sets[k] for k in xs], None if own else [sets[k] for k in ys], [labels[k] for k in xs], [labels[k] for k in ys])
         return pd.DataFrame([(keys[xs[i]], keys[ys[j]]) for i, j in found], columns=["a", "b"], dtype="int64")
 
-    links = written(token_sets(docs, nodes, False).groupBy("block.c", "block.x", "block.y").applyInPandas(compare, "a long, b long"), where, "block_links")
-    forget(spark, where, "block_near", "block_slots", "block_nodes")
-    return links
+    links = []
+    for k in range(rounds):
+        of = ends.filter(F.pmod(F.xxhash64("block"), F.lit(rounds)) == k).groupBy("g", "part").agg(F.collect_set("block").alias("blocks"))
+        nodes = written(slots.join(of, ["g", "part"]).join(reps.select("key", "id"), "key").select("key", "id", "part", F.col("c").alias("label"), "blocks"), where, "block_nodes")
+        links.append(written(token_sets(docs, nodes, False).groupBy("block.c", "block.x", "block.y").applyInPandas(compare, "a long, b long"), f"{where}/block_links", str(k)))
+        forget(spark, where, "block_nodes")
+    forget(spark, where, "block_near", "block_slots", "block_blocks")
+    return reduce(DataFrame.union, links)
 
 
 def starred(index: DataFrame, where: str) -> DataFrame:
@@ -411,6 +424,15 @@ def labelled(members: DataFrame, label: DataFrame) -> DataFrame:
     return members.join(label.select(F.col("node").alias("key"), F.col("component").alias("of")), "key", "left").select("entry", "key", "n", F.coalesce("of", "key").alias("c"))
 
 
+def mended(classes: np.ndarray, frequent: int, members: DataFrame) -> np.ndarray:
+    """The order with the shingles of the members' entries frequent (and those of the same counters; a combination's mark is chance, which costs nothing but work)."""
+    cell = F.col("entry").bitwiseAND(F.lit((1 << SKETCH_BITS) - 1)).cast("int").alias("cell")
+    at = members.select(cell).distinct().toArrow().column(0).to_numpy()  # 2**SKETCH_BITS at most
+    out = classes.copy()
+    out[at] = np.maximum(out[at], frequent)
+    return out
+
+
 def classes_of(docs: DataFrame, where: str) -> DataFrame:
     """doc_id, text_key, key, n, c, component of each document; component is the smallest doc_id that links reach, c tells components with one such id apart."""
     spark = docs.sparkSession
@@ -419,32 +441,49 @@ def classes_of(docs: DataFrame, where: str) -> DataFrame:
     members = scan.filter("n is not null").select("doc_id", "text_key", "key", "n")
     reps = written(scan.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"), F.max("hist").alias("hist")).filter("id is not null"), where, "classes")
     known = reps.select("key")
-    met = written(starred(indexed(docs, *order_classes(scan)), where).join(known, "key", "left_semi").join(known.withColumnRenamed("key", "key0"), "key0", "left_semi"), where, "met")
-    pairs = written(met.filter(near(F.col("n"), F.col("n0"))).select(F.col("key0").alias("a"), F.col("key").alias("b")).distinct(), where, "pairs1")
-    links = compared(written(possible(pairs, reps), where, "possible1"), reps, docs, where, "first", False)
-    inside = met.select("entry", "key", "n").union(met.select("entry", F.col("key0").alias("key"), F.col("n0").alias("n"))).distinct()
-    label = components(links, f"{where}/label1")
-    placed = written(labelled(inside, label), where, "placed")
-    forget(spark, where, "starred", "met", "possible1")
-    sizes = placed.groupBy("entry").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("m")).filter("c0 <> c1").select("entry", "m")
-    open_ = written(placed.join(sizes, "entry"), where, "open")
-    many = open_.filter(F.col("m") > PAIRED).drop("m")
-    few = open_.filter(F.col("m") <= PAIRED).select("entry", "key", "n")
+    room = max(ROOM_TOKENS, ROOM * (reps.agg(F.sum("n")).first()[0] or 0))
+    classes, frequent = order_classes(scan)
+    these, crowded, linked, tried, few, k = docs, math.inf, [], [], [], 0
+    while True:
+        met = written(starred(indexed(these, classes, frequent), where).join(known, "key", "left_semi").join(known.withColumnRenamed("key", "key0"), "key0", "left_semi"), where, "met")
+        pairs = written(met.filter(near(F.col("n"), F.col("n0"))).select(F.col("key0").alias("a"), F.col("key").alias("b")).distinct(), where, f"pairs1_{k}")
+        linked.append(compared(written(possible(pairs, reps), where, f"possible1_{k}"), reps, docs, where, f"first_{k}", False))
+        tried.append(pairs)
+        inside = met.select("entry", "key", "n").union(met.select("entry", F.col("key0").alias("key"), F.col("n0").alias("n"))).distinct()
+        label = components(reduce(DataFrame.union, linked), f"{where}/label1_{k}")
+        placed = written(labelled(inside, label), where, "placed")
+        forget(spark, where, "starred", "met")
+        sizes = placed.groupBy("entry").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("m")).filter("c0 <> c1").select("entry", "m")
+        open_ = written(placed.join(sizes, "entry"), where, f"open_{k}")
+        forget(spark, where, "placed")
+        many = open_.filter(F.col("m") > PAIRED).drop("m")
+        few.append(open_.filter(F.col("m") <= PAIRED).select("entry", "key", "n"))
+        crowd = written(many.select("key", "n").distinct().join(reps.select("key", "id"), "key"), where, f"crowd_{k}")
+        tokens = crowd.agg(F.sum("n")).first()[0] or 0
+        rows = many.count()
+        # all parts against all would send the tokens tokens / PART_TOKENS times; long entries of combinations stay when the order is mended
+        if tokens * max(1, tokens / PART_TOKENS) <= room or rows > crowded / 2:
+            break
+        crowded, k = rows, k + 1
+        classes = mended(classes, frequent, many)
+        these = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(small_side(crowd.select("id")), "id", "left_semi")
+    links = reduce(DataFrame.union, linked)
     if not many.isEmpty():
-        links = links.union(block_compared(many, reps, docs, where))
+        links = links.union(block_compared(many, reps, docs, where, room))
         label = components(links, f"{where}/label2")
-    listed = labelled(few, label).groupBy("entry").agg(F.array_sort(F.collect_list(F.struct("key", "n", "c"))).alias("s"))  # at most PAIRED
+    listed = labelled(reduce(DataFrame.union, few), label).groupBy("entry").agg(F.array_sort(F.collect_list(F.struct("key", "n", "c"))).alias("s"))  # at most PAIRED of each index
     partners = lambda x: F.transform(F.filter("s", lambda y: (x["key"] < y["key"]) & (x["c"] != y["c"]) & near(x["n"], y["n"])), lambda y: F.struct(x["key"].alias("a"), y["key"].alias("b")))
     rest = listed.select(F.inline(F.flatten(F.transform("s", partners)))).distinct()
-    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    done = reduce(DataFrame.union, tried).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs2 = written(possible(rest.join(done, ["a", "b"], "left_anti"), reps), where, "pairs2")
-    forget(spark, where, "placed", "open")
+    forget(spark, where, *(f"{x}_{i}" for x in ("open", "crowd") for i in range(k + 1)))
     last = compared(compared(pairs2, reps, docs, where, "fine", True), reps, docs, where, "second", False)
     if not last.isEmpty():
         label = components(links.union(last), f"{where}/all")
     named = reps.join(label.select(F.col("node").alias("key"), F.col("component").alias("of")), "key", "left").select("key", "id", F.coalesce("of", "key").alias("c"))
     found = written(named.join(named.groupBy("c").agg(F.min("id").alias("component")), "c").select("key", "c", "component"), where, "found")
-    forget(spark, where, "label1", "label2", "all", "pairs1", "pairs2", "classes", "first_links", "fine_links", "second_links", "block_links")
+    forget(spark, where, *(f"{x}_{i}" for x in ("label1", "pairs1", "possible1") for i in range(k + 1)), *(f"first_{i}_links" for i in range(k + 1)))
+    forget(spark, where, "label2", "all", "pairs2", "classes", "fine_links", "second_links", "block_links")
     return members.join(found, "key", "left").select("doc_id", "text_key", "key", "n", "c", F.coalesce("component", F.when(F.col("n") == 0, F.col("doc_id"))).alias("component"))
 
 

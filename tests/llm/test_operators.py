@@ -156,6 +156,52 @@ def test_long_entries_and_salts_give_the_same_components(spark, monkeypatch):
     assert got == brute_components(rows) and len({c for _, c in got.values()}) > 4
 
 
+def test_shared_passages_that_the_sketch_takes_for_rare(spark, monkeypatch):
+    """As in a corpus so large that the sketch tells nothing: no shingle is frequent, and passages in 40 unlike documents each are long entries."""
+    monkeypatch.setattr(jaccard, "order_classes", lambda scan: (np.zeros(1 << jaccard.SKETCH_BITS, dtype=np.uint8), 7))
+    monkeypatch.setattr(jaccard, "PART_TOKENS", 1000)
+    monkeypatch.setattr(jaccard, "ROOM_TOKENS", 10_000, raising=False)
+    monkeypatch.setattr(jaccard, "ROOM", 0, raising=False)
+    sent, put = [], jaccard.written
+
+    def written(df, place, name):
+        out = put(df, place, name)
+        if name == "block_nodes":
+            sent.append(out.selectExpr("sum(size(blocks))").first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(jaccard, "written", written)
+    rng = np.random.default_rng(15)
+    words = [[f"d{k}w{i}" for i in range(40)] + [f"p{k % 6}w{i}" for i in range(30)] + [f"d{k}x{i}" for i in range(40)] for k in range(240)]
+    rows = [(k, " ".join(x)) for k, x in enumerate(words)] + [(1000 + k, " ".join(w if rng.random() > 0.01 else "z" for w in words[k])) for k in range(60)]
+    got = {r["doc_id"]: (r["n"], r["component"]) for r in jaccard.classes_of(spark.createDataFrame(rows, "doc_id long, text string"), where(spark)).collect()}
+    assert got == brute_components(rows) and 240 < len({c for _, c in got.values()}) < 290
+    assert max(sent, default=0) <= 150 and sum(sent) <= len(rows)  # sets sent to blocks, of some 106 tokens
+
+
+def test_blocks_are_sent_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 7)
+    sent, put = [], jaccard.written
+
+    def written(df, place, name):
+        out = put(df, place, name)
+        if name == "block_nodes":
+            sent.append(out.selectExpr("sum(size(blocks))").first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(jaccard, "written", written)
+    base = [f"v{i}" for i in range(40)]
+    rows = [(k, " ".join([*base, *(f"e{k % 30}w{i}" for i in range(25)), f"z{k}"])) for k in range(60)]  # k and k + 30 differ in a word
+    held = {d: jaccard.shingle_set(t) for d, t in rows}
+    key = {d: jaccard.set_key(x) for d, x in held.items()}
+    members = spark.createDataFrame([(1, key[d], len(held[d]), key[d]) for d, _ in rows], "entry long, key long, n int, c long")
+    reps = spark.createDataFrame([(key[d], d) for d, _ in rows], "key long, id long")
+    links = jaccard.block_compared(members, reps, spark.createDataFrame(rows, "doc_id long, text string"), where(spark), 2000).collect()
+    ids = {k: d for d, k in key.items()}
+    assert sorted(tuple(sorted((ids[r["a"]], ids[r["b"]]))) for r in links) == [(k, k + 30) for k in range(30)]
+    assert len(sent) > 4 and max(sent) <= sum(sent) / 3
+
+
 def test_blocks_link_what_pairs_link():
     rng = np.random.default_rng(14)
     pool = np.unique(rng.integers(0, 1 << 63, 400, dtype=np.uint64))
