@@ -42,8 +42,10 @@ def dedup(docs: DataFrame, where: str, size: int = WINDOW) -> DataFrame:
     gone = repeated_lines(written(line_windows(docs.select("doc_id", "text"), size), where, "windows"), size).toDF(id_, key, covered)
     joined = docs.join(gone, (docs["doc_id"] == F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(key)), "left")
     lines = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(covered))
-    text = F.when(F.col(covered).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    numbers = lambda ls: F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col(covered))
+    # an array of one, so that a text is split once and not for each line that stays
+    kept = F.get(F.transform(F.array(lines), lambda ls: F.array_join(F.transform(numbers(ls), lambda i: F.get(ls, i)), "\n")), 0)
+    text = F.when(F.col(covered).isNull(), F.col("text")).otherwise(kept)
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
     return joined.withColumns({n_lines: n, n_removed: F.coalesce(F.size(covered), F.lit(0)).cast("long"), "text": text}).drop(id_, key, covered)
 

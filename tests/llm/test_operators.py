@@ -1,6 +1,7 @@
 import collections
 import json
 import re
+import time
 import zlib
 
 import numpy as np
@@ -335,6 +336,16 @@ def test_line_dedup_edges(spark, docs, none):
     assert line_dedup.stage(spark, none, DATA).count() == 0
 
 
+def test_line_dedup_of_a_text_of_many_lines(spark):
+    lines = [f"line {i} of it" for i in range(30_000)]
+    own = [f"line {i} of its own" for i in range(15_000)]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(lines[:15_000] + own))], "doc_id long, text string")
+    began = time.time()
+    out = {r["doc_id"]: r["text"] for r in line_dedup.stage(spark, docs, DATA).collect()}
+    assert out == {1: "\n".join(lines), 2: "\n".join(own)}
+    assert time.time() - began < 20  # a text is split once, not for each line that stays
+
+
 def test_base_counts():
     assert quality.base_counts("a b c a b c\n\nx #\nx #") == (10, 10, 2, 1, 6, 3, 5)
     assert quality.base_counts("") == (0, 0, 0, 0, 0, 0, 0)
