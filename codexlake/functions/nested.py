@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,17 +15,35 @@ authorships array<struct<author: struct<display_name: string>, countries: array<
 institutions_distinct_count int, countries_distinct_count int, citation_normalized_percentile struct<value: double>, open_access struct<is_oa: boolean, oa_status: string>"""
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of c as a variable: c is computed once a row, however often f names it."""
+    return F.get(F.transform(F.array(c), f), 0)
+
+
+def inverted_index(text: Column) -> Column:
+    """The inverted index of a text of words between single blanks: each word's places, from 0. Built within the row: words sorted with their places, then cut where the word changes."""
+
+    def of(s: Column) -> Column:
+        firsts = F.filter(F.sequence(F.lit(0), F.array_size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["w"] != F.get(s, i - 1)["w"]))
+        run = lambda a, b: F.struct(F.get(s, a)["w"].alias("w"), F.transform(F.slice(s, a + 1, b - a), lambda x: x["at"]).alias("at"))
+        return bound(firsts, lambda f: F.map_from_entries(F.transform(f, lambda a, k: run(a, F.coalesce(F.get(f, k + 1), F.array_size(s))))))
+
+    return bound(F.sort_array(F.transform(F.split(text, " "), lambda w, i: F.struct(w.alias("w"), i.alias("at")))), of)
+
+
 def abstract_text(index: Column, collisions: bool = True) -> Column:
     """The text of an inverted index. collisions: of several words on one position the last stands, positions below 0 don't count; otherwise all words stand."""
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(F.filter(e["value"], lambda p: p >= 0), lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
     numbered = F.transform(pairs, lambda x, i: F.struct(x["p"].alias("p"), i.alias("i"), x["w"].alias("w")))
-    ordered = F.array_sort(numbered)
-    kept = F.transform(ordered, lambda x: x["w"])
-    if collisions:
-        following = F.slice(F.transform(ordered, lambda x: x["p"]), F.lit(2), F.greatest(F.size(ordered), F.lit(1)))
-        kept = F.array_compact(F.zip_with(ordered, following, lambda x, p: F.when(p.isNull() | (p != x["p"]), x["w"])))
-    text = F.array_join(kept, " ")
-    return F.when(F.trim(text) != "", text)
+
+    def of(ordered: Column) -> Column:
+        if not collisions:
+            return F.array_join(F.transform(ordered, lambda x: x["w"]), " ")
+        following = lambda i: F.get(ordered, i + 1)["p"]
+        kept = F.filter(ordered, lambda x, i: following(i).isNull() | (following(i) != x["p"]))
+        return F.array_join(F.transform(kept, lambda x: x["w"]), " ")
+
+    return bound(bound(F.sort_array(numbered), of), lambda text: F.when(F.trim(text) != "", text))
 
 
 def venue(location: Column) -> Column:

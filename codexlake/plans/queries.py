@@ -284,10 +284,8 @@ def combined_text_functions(t):
 
 @query(r"""select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) abstract from documents where length(trim(text)) > 0""")
 def inverted_index_abstracts(t):
-    texts = t("documents", "doc_id", "text").filter("length(trim(text)) > 0").repartition("doc_id")  # moved once, before they become words
-    words = texts.select("doc_id", F.posexplode(F.split(T.collapsed(F.col("text")), " ")).alias("at", "w"))
-    index = words.groupBy("doc_id", "w").agg(F.collect_list("at").alias("at")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "at"))).alias("index"))
-    return index.select("doc_id", N.abstract_text(F.col("index")).alias("abstract"))
+    texts = t("documents", "doc_id", "text").filter("length(trim(text)) > 0")
+    return texts.select("doc_id", F.coalesce(N.abstract_text(N.inverted_index(T.collapsed(F.col("text")))), F.lit("")).alias("abstract"))  # blank where all is white space, as in the SQL
 
 
 @query("""select r_name field, '' topic, cast(s_suppkey as varchar) id, s_name title, 'Hello ' || s_name abstract, s_name authors, 2020 + s_suppkey % 3 publication_year,

@@ -68,6 +68,24 @@ def test_abstracts_have_all_words(spark, tmp_path):
     assert got == {1: rows[0][1], 2: "a b a"}
 
 
+def test_abstracts_are_built_within_the_row(spark, tmp_path):
+    rows = [(1, "b a b a"), (1, "b  c"), (None, "c c"), (2, "\n"), (3, "x")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    df = QUERIES["inverted_index_abstracts"](spark, str(tmp_path))
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert collections.Counter(map(tuple, df.collect())) == {(1, "b a b a"): 1, (1, "b c"): 1, (None, "c c"): 1, (2, ""): 1, (3, "x"): 1}
+
+
+def test_inverted_index_has_each_words_places(spark):
+    from pyspark.sql import functions as F
+
+    from codexlake.functions.nested import inverted_index
+
+    rows = [(0, "b a b a c"), (1, ""), (2, None), (3, "z")]
+    got = {r[0]: r[1] for r in spark.createDataFrame(rows, "k int, t string").select("k", inverted_index(F.col("t"))).collect()}
+    assert got == {0: {"a": [1, 3], "b": [0, 2], "c": [4]}, 1: {"": [0]}, 2: None, 3: {"z": [0]}}
+
+
 def test_diverse_ranking_is_a_permutation_of_each_cluster(spark, tmp_path):
     rng = np.random.default_rng(2)
     sizes = {0: 450, 1: 3, 2: 1}
