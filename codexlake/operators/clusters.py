@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codexlake.functions.vectors import cosine, dot, normalised
+from codexlake.operators.terms import frequent_grams
 
 
 def centroids(df: DataFrame) -> DataFrame:
@@ -110,24 +111,12 @@ def merged_clusters(c: DataFrame, least: float = 0.9, target: int = 1) -> DataFr
     return c.sparkSession.createDataFrame([(int(r["cluster"]), number[of[k]]) for k, r in enumerate(rows)], "cluster int, merged int")
 
 
-def grams(c: Column, stopwords: list[str], low: int = 2, high: int = 4) -> Column:
-    """Word n-grams, stop-words removed first; a word has two Latin letters or more and nothing else."""
-    words = F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"(?<![\p{L}\p{N}_])[a-zA-Z]{2,}(?![\p{L}\p{N}_])"), F.lit(0)), lambda x: ~x.isin(stopwords))
-
-    def of(w: Column, n: int) -> Column:
-        firsts = F.slice(w, F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(0)))
-        return F.transform(firsts, lambda x, i: F.concat_ws(" ", x, *(F.get(w, i + k) for k in range(1, n))))
-
-    # bound as a variable, the words are found once a text and not once an n-gram
-    return F.flatten(F.transform(F.array(words), lambda w: F.concat(*(of(w, n) for n in range(low, high + 1)))))
-
-
 def class_tfidf(df: DataFrame, stopwords: list[str], low: int = 2, high: int = 4, least: int = 3, most: float = 0.35, top: int = 10, features: int = 100_000) -> DataFrame:
     """cluster, term, n, weight, rank of the top terms from df (cluster, text): all texts of a cluster are one document.
 
-    least, most: in how many clusters, and in which part of them at most, a term must occur; of those, the ``features`` most frequent count. One shuffle of n-grams,
-    combined before it; a term then has one entry a cluster."""
-    terms = df.select("cluster", F.explode(grams(F.col("text"), stopwords, low, high)).alias("term")).groupBy("cluster", "term").agg(F.count(F.lit(1)).alias("n"))
+    least, most: in how many clusters, and in which part of them at most, a term must occur; of those, the ``features`` most frequent count. A count by packed hashes
+    leaves out n-grams that can't be among them before n-grams are shuffled; a term then has one entry a cluster."""
+    terms = frequent_grams(df.select("cluster", "text"), stopwords, low, high, least, most, features).groupBy("cluster", "term").agg(F.count(F.lit(1)).alias("n"))
     by_term = terms.groupBy("term").agg(F.collect_list(F.struct("cluster", "n")).alias("each"), F.sum("n").alias("total"))
     clusters = df.agg(F.count_distinct("cluster").alias("clusters"))  # one row
     kept = by_term.withColumn("df", F.size("each")).filter(F.col("df") >= least).crossJoin(F.broadcast(clusters)).filter(F.col("df") <= most * F.col("clusters"))
