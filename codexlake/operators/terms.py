@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from codexlake.session import ship
 
 #: N-grams that a task of the first count holds before it packs them; bits of a hash that name its bucket, at least; bits of the filter (64 MB at most) as a power of two; words at once.
-CHUNK, BUCKET_BITS, FILTER_BITS, WORDS = 4_000_000, 11, (20, 29), 1 << 20
+CHUNK, BUCKET_BITS, FILTER_BITS, WORDS = 2_000_000, 11, (20, 29), 1 << 19
 
 
 def words(c: Column, stopwords: list[str]) -> Column:
